@@ -74,8 +74,12 @@ def panels_all_channels(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART)
 
 def panels_by_vanity(df: DataFrame, vanities, n: int = model.DEFAULT_SENSORS_PER_CHART,
                      by_channel: bool = True) -> DataFrame:
-    """Panels per chosen vanity; groups restart within each vanity."""
-    sub = df.filter(F.col("vanity").isin(list(vanities)))
+    """Panels per chosen vanity (a list, or a DataFrame of vanities); groups
+    restart within each vanity."""
+    if isinstance(vanities, DataFrame):
+        sub = df.join(vanities.select(F.col(vanities.columns[0]).alias("vanity")).distinct(), "vanity", "left_semi")
+    else:
+        sub = df.filter(F.col("vanity").isin(list(vanities)))
     pts = _points(sub, chart_groups(sub, n, within="vanity"), ["vanity", "ID"])
     keys = ["vanity", "group_no"] + (["type"] if by_channel else [])
     if by_channel:

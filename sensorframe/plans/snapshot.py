@@ -73,7 +73,7 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
     ``skip_existing=False`` rows are appended as given (the reference's
     plain append, which readers de-duplicate).
     """
-    new = route(coerce_facts(facts)).withColumn("date", F.to_date("timestamp"))
+    new = route(coerce_facts(facts), routing).withColumn("date", F.to_date("timestamp"))
     existing = _stored(spark, root) if skip_existing else None
     if existing is not None:
         if start is None or end is None:
