@@ -12,7 +12,10 @@ Plan shape: one partial/final aggregation on ``(keys, bin)`` (map-side
 combine, so a hot sensor is pre-reduced before the shuffle), then one window
 on the *aggregated* rows to find each bin's successor, then ``sequence`` +
 ``posexplode`` to emit the gap bins. The expansion happens last so the
-shuffles carry sparse rows only. No self-join, no calendar table.
+shuffles carry sparse rows only. No self-join, no calendar table. After
+aggregation a series holds at most (time span / bin step) rows whatever the
+raw volume, so windows per series are safe even for a sensor that holds a
+third of the readings.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from sensorframe import model
 from sensorframe.functions.bins import bin_label, bin_start, bin_step
 from sensorframe.operators.enrich import meta_keyed
+from sensorframe.operators.joins import bounded_broadcast
 
 AGG_FUNCS = ("mean", "sum", "max", "min", "median")
 
@@ -51,6 +55,12 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     first and last bin. Gap bins get the function's empty value."""
     keys = list(keys)
     step = bin_step(frequency)
+    # The expansion multiplies rows after this shuffle, so its size says
+    # little about the work behind it: fix the partition count (AQE does not
+    # coalesce an explicit count) instead of letting small sparse input
+    # collapse into a few tasks.
+    parts = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sparse = sparse.repartition(parts, *keys)
     w = Window.partitionBy(*keys).orderBy(bin_col)
     nxt = F.lead(bin_col).over(w)
     with_last = sparse.withColumn("_last", F.coalesce(nxt - step, F.col(bin_col)))
@@ -80,26 +90,26 @@ def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str
                     fill: bool = True) -> DataFrame:
     """Enrich-then-resample, computed as aggregate-then-enrich.
 
-    Equal to ``resample(enrich(facts, meta), ...)`` but the aggregation runs
-    on the four narrow fact columns and the metadata join touches one row
-    per (series, bin) instead of one per reading. Duplicate metadata rows are
-    kept as a multiplicity so ``sum`` still counts each copy, as the
-    fan-out join would.
+    Equal to ``resample(enrich(facts, meta), ...)``, but the aggregation runs
+    on the four narrow fact columns, the gap fill is partitioned by
+    ``(ID, type)`` only, and metadata (a dimension, broadcast after a row
+    count check) is joined to the dense bins without a further shuffle. The
+    output stays hash-partitioned by ``(ID, type)``, so a following rolling
+    mean needs no exchange. Duplicate metadata rows are kept as a
+    multiplicity so ``sum`` still counts each copy, as the fan-out join would.
     """
     f = facts.filter(F.col("timestamp").isNotNull() & F.col("ID").isNotNull() & F.col("type").isNotNull())
     binned = f.select("ID", "type", bin_start(F.col("timestamp"), frequency).alias("_bin"), "value")
     sparse = binned.groupBy("ID", "type", "_bin").agg(_agg_expr(func).alias("value"))
+    dense = gap_fill(sparse, ["ID", "type"], "_bin", frequency, func) if fill else sparse
     m = meta_keyed(meta)
     for a in model.META_ATTRS:
         m = m.filter(F.col(a).isNotNull())
-    m = m.groupBy("ID", *model.META_ATTRS).agg(F.count(F.lit(1)).alias("_mult"))
-    joined = sparse.join(m, "ID", "inner")
+    m = bounded_broadcast(m.groupBy("ID", *model.META_ATTRS).agg(F.count(F.lit(1)).alias("_mult")))
+    joined = dense.join(m, "ID", "inner")
     if func == "sum":
         joined = joined.withColumn("value", F.col("value") * F.col("_mult"))
-    keys = model.SERIES_KEYS
-    dense = gap_fill(joined.select(*keys, "_bin", "value"), keys, "_bin", frequency, func) if fill \
-        else joined.select(*keys, "_bin", "value")
-    return dense.select(*keys, bin_label(F.col("_bin"), frequency).alias("timestamp"), "value")
+    return joined.select(*model.SERIES_KEYS, bin_label(F.col("_bin"), frequency).alias("timestamp"), "value")
 
 
 def assign_bins(df: DataFrame, frequency: str, ts: str = "timestamp", name: str = "bin") -> DataFrame:

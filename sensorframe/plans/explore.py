@@ -19,7 +19,7 @@ from sensorframe.operators.enrich import enrich
 from sensorframe.operators.facets import Selection, facet_filter
 from sensorframe.operators.filters import resolve_channels
 from sensorframe.operators.resample import resample_series
-from sensorframe.operators.smooth import rolling_mean
+from sensorframe.operators.smooth import rolling_mean, rolling_mean_dense
 from sensorframe.sources.facts import read_timeseries
 
 
@@ -48,5 +48,6 @@ def load_series(spark: SparkSession, history: DataFrame, env: DataFrame, meta: D
     else:
         out = enrich(facts, meta)
     if req.rolling and req.rolling > 0:
-        out = rolling_mean(out, req.rolling)
+        out = (rolling_mean_dense(out, req.rolling, req.frequency) if req.frequency
+               else rolling_mean(out, req.rolling))
     return out

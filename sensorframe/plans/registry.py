@@ -343,7 +343,7 @@ SELECT "ID", "type", vanity, building, floor, area, "nodeTypeName", "timestamp",
              ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), {R}) AS value FROM res""")
 def resample_then_roll(spark, d):
     res = resample.resample_series(dt.facts(spark, d), _meta(spark, d), "hour", "mean")
-    return _rv(smooth.rolling_mean(res, 3))
+    return _rv(smooth.rolling_mean_dense(res, 3, "hour"))
 
 
 @query("chart_groups", f"""{BASE}

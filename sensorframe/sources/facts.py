@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sensorframe import model
 from sensorframe.functions.expressions import nan_to_null, ts_lit
-from sensorframe.operators.joins import semi_join
+from sensorframe.operators.joins import bounded_broadcast
 
 
 def empty_facts(spark: SparkSession) -> DataFrame:
@@ -37,11 +37,18 @@ def coerce_facts(df: DataFrame) -> DataFrame:
 
 def _ids_filter(df: DataFrame, ids) -> DataFrame:
     if isinstance(ids, DataFrame):
-        key = "ID" if "ID" in ids.columns else ids.columns[0]
-        return semi_join(df, ids.select(F.col(f"`{key}`").cast("bigint").alias("ID")), "ID")
+        return df.join(ids, "ID", "left_semi")
     return df.filter(F.col("ID").isin(list(ids)))
 
 
+def _id_keys(ids):
+    """Id key table, broadcast-hinted once (behind a row count check)."""
+    if not isinstance(ids, DataFrame):
+        return ids
+    key = "ID" if "ID" in ids.columns else ids.columns[0]
+    return bounded_broadcast(ids.select(F.col(f"`{key}`").cast("bigint").alias("ID")))
+
+
 def _range_filter(df: DataFrame, start, end) -> DataFrame:
     if start is not None:
         df = df.filter(F.col("timestamp") >= ts_lit(start))
@@ -51,6 +58,8 @@ def _range_filter(df: DataFrame, start, end) -> DataFrame:
 
 
 def scan_table(table: DataFrame, ids, channels, start: datetime | None, end: datetime | None) -> DataFrame:
+    """One fact table: channel, range and id predicates, then typing."""
+    ids = _id_keys(ids) if isinstance(ids, DataFrame) and "ID" not in ids.columns else ids
     df = table.select(*model.FACT_COLUMNS)
     df = df.filter(F.col("type").isin(list(channels)))
     df = _range_filter(df, start, end)
@@ -70,6 +79,7 @@ def read_timeseries(spark: SparkSession, history: DataFrame | None, env: DataFra
     """
     if ids is None or (not isinstance(ids, DataFrame) and len(list(ids)) == 0) or not channels:
         return empty_facts(spark)
+    ids = _id_keys(ids)
     hist_ch = [c for c in channels if c in routing.history]
     env_ch = [c for c in channels if c in routing.env]
     parts = []

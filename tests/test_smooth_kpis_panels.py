@@ -86,3 +86,17 @@ def test_panels_flag_binary_panel(spark):
              for r in p.select("type", "is_binary", "line_shape", "y_min", "y_max").distinct().collect()}
     assert flags == {"occupancy": (True, "hv", -0.05, 1.05), "tempc": (False, "linear", None, None)}
     assert p.select("panel_title").distinct().count() == 2
+
+
+@pytest.mark.parametrize("freq", ["15min", "H", "D", "W", "M"])
+def test_dense_rolling_equals_general(spark, freq):
+    from sensorframe.operators import resample
+    from sensorframe.sources import driver_tables as dt
+    from sensorframe.sources.metadata import normalize_metadata
+    from tests.conftest import SF0001
+    f = dt.facts(spark, SF0001).filter("ID < 20")
+    m = normalize_metadata(dt.metadata_raw(spark, SF0001))
+    res = resample.resample_series(f, m, freq, "mean")
+    a = smooth.rolling_mean_dense(res, 4, freq).withColumn("value", F.round("value", 9))
+    b = smooth.rolling_mean(res, 4).withColumn("value", F.round("value", 9))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
