@@ -169,9 +169,15 @@ def read_incremental(spark: SparkSession, root: str, table: str) -> DataFrame |
 
 
 def _target_high_water(spark, root, table, ts) -> datetime | None:
-    state = sync_state(spark, root).filter(F.col("table_name") == table).select("target_max_timestamp").first()
-    if state is not None and state[0] is not None:
-        return state[0]
+    """Target high-water mark recorded by the table's latest successful run
+    (one filtered top-1 over the small run log); scan only if none exists."""
+    ev = _events(spark, root)
+    if ev is not None:
+        last = (ev.filter((F.col("table_name") == table) & (F.col("event_seq") == 1)
+                          & (F.col("status") == "success"))
+                .orderBy(F.col("id").desc()).select("target_max_timestamp").limit(1).collect())
+        if last and last[0][0] is not None:
+            return last[0][0]
     cur = read_incremental(spark, root, table)
     return cur.agg(F.max(ts)).first()[0] if cur is not None else None
 
