@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest key table that is broadcast after a row count check. A key table is
-# one or two long columns, so 2M rows stay well under 64 MB.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest table broadcast after a row count check, in (estimated) bytes.
+BROADCAST_MAX_BYTES = 64 << 20
+# Bytes assumed per value when estimating a row; strings are counted
+# generously so the row bound errs on the small side.
+_WIDTH = {T.StringType: 64, T.BinaryType: 64, T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2,
+          T.IntegerType: 4, T.DateType: 4, T.FloatType: 4}
+
+
+def row_width(schema: T.StructType) -> int:
+    width = 8  # row overhead
+    for f in schema.fields:
+        width += next((w for t, w in _WIDTH.items() if isinstance(f.dataType, t)),
+                      64 if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else 8)
+    return width
+
+
+def broadcast_row_limit(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> int:
+    return max(1, max_bytes // row_width(df.schema))
+
+
+# Row bound of a one-column id key table (kept for callers that pass rows).
+BROADCAST_MAX_ROWS = BROADCAST_MAX_BYTES // 16
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
@@ -15,10 +35,15 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` if its row count is proven small, else leave it
-    to the planner (sort-merge join, or AQE's runtime broadcast)."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` if its size is proven small (row count times the
+    schema's row width), else leave it to the planner (sort-merge join, or
+    AQE's runtime broadcast)."""
+    limit = broadcast_row_limit(df, max_bytes)
+    if max_rows is not None:
+        limit = min(limit, max_rows)
+    return F.broadcast(df) if row_count_at_most(df, limit) else df
 
 
 def semi_join(facts: DataFrame, keys: DataFrame, on, broadcast_max_rows: int | None =
