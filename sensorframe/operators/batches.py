@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe import model
-from sensorframe.functions.expressions import ceil_div
 from sensorframe.operators.indexing import global_index
+from sensorframe.operators.joins import bounded_broadcast
 
 
 def batch_numbers(ids: DataFrame, size: int = model.DEFAULT_BATCH_SIZE, id_col: str = "ID") -> DataFrame:
@@ -30,11 +30,12 @@ def batch_load_stats(facts: DataFrame, ids: DataFrame, size: int = model.DEFAULT
     batch, and the running total is a window over those few rows.
     """
     b = batch_numbers(ids, size, id_col)
+    total = b.agg(F.max("batch_no")).first()[0] or 0
     per_batch_ids = b.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_ids"))
-    rows = facts.join(b, "ID").groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"))
+    rows = facts.join(bounded_broadcast(b), "ID").groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"))
     stats = per_batch_ids.join(rows, "batch_no", "left").select(
         "batch_no", "n_ids", F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"))
+    # One row per batch (ids / size rows): the running total is a small window.
     running = Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(F.lit(1))
     return stats.select("batch_no", "n_ids", "rows", F.sum("rows").over(running).cast("long").alias("cum_rows"),
-                        ceil_div(F.sum("n_ids").over(total), F.lit(size)).alias("total_batches"))
+                        F.lit(total).cast("long").alias("total_batches"))

@@ -42,6 +42,13 @@ def facet_filter(meta: DataFrame, sel: Selection) -> DataFrame:
     return meta.filter(cond)
 
 
+def scope_ids(meta: DataFrame, sel: Selection, scope: str = "filter") -> DataFrame:
+    """Ids of a load or preload: every sensor (``scope="all"``) or those
+    matching the current selection (``"filter"``)."""
+    chosen = meta if scope == "all" else facet_filter(meta, sel)
+    return chosen.select(F.col("id").alias("ID"))
+
+
 def _stack_options(meta: DataFrame, flags: dict) -> DataFrame:
     """One pass: for each facet emit ``(facet, value)`` where its flag holds,
     then distinct non-empty values."""

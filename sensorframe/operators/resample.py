@@ -59,7 +59,9 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     # little about the work behind it: fix the partition count (AQE does not
     # coalesce an explicit count) instead of letting small sparse input
     # collapse into a few tasks.
-    parts = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = sparse.sparkSession
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    parts = int(conf) if str(conf).isdigit() else spark.sparkContext.defaultParallelism
     sparse = sparse.repartition(parts, *keys)
     w = Window.partitionBy(*keys).orderBy(bin_col)
     nxt = F.lead(bin_col).over(w)

@@ -25,7 +25,13 @@ DEFAULT_BLOCK_ROWS = 1 << 16
 
 
 def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestamp",
-                 value: str = "value", tie=("value",), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 value: str = "value", tie=("value",), block_rows: int = DEFAULT_BLOCK_ROWS,
+                 chunk: str = "day") -> DataFrame:
+    """Rolling mean of the last ``n`` rows per series (see module doc).
+
+    ``chunk`` ("day" or "hour") is the unit rows are numbered in before the
+    offsets are added: the largest single task holds one chunk of one series.
+    """
     if not n or n <= 1:
         return df
     keys = list(keys)
@@ -34,7 +40,8 @@ def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestam
     block = max(int(block_rows), n)
     halo = n - 1
 
-    d = df.withColumn("_day", F.to_date(F.col(ts)))
+    unit = F.to_date(F.col(ts)) if chunk == "day" else F.window(F.col(ts), "1 hour").start
+    d = df.withColumn("_day", unit)
     counts = d.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     okeys = keys + ["_day"]

@@ -716,13 +716,14 @@ def latest_runs(spark, d):
   last AS (SELECT * FROM runs WHERE id IN (SELECT max(id) FROM runs GROUP BY table_name)),
   mx AS (SELECT table_name, max("timestamp") AS m FROM src GROUP BY 1)
 SELECT l.table_name, l.mode AS sync_mode, l.status AS run_status, l.rows_loaded AS last_rows_loaded,
-       mx.m AS source_max_timestamp, mx.m AS target_max_timestamp, mx.m AS next_cutoff_timestamp, '' AS last_error
+       mx.m AS source_max_timestamp, mx.m AS target_max_timestamp, mx.m AS next_cutoff_timestamp, '' AS last_error,
+       CASE WHEN mx.m IS NOT NULL THEN CAST(0 AS BIGINT) END AS lag_micros
 FROM last l LEFT JOIN mx USING (table_name)""")
 def sync_state_latest(spark, d):
     root = _run_cycles(spark, d)
     return sync.sync_state(spark, root).select(
         "table_name", "sync_mode", "run_status", "last_rows_loaded", "source_max_timestamp",
-        "target_max_timestamp", "next_cutoff_timestamp", "last_error")
+        "target_max_timestamp", "next_cutoff_timestamp", "last_error", "lag_micros")
 
 
 # --- streaming ---------------------------------------------------------------

@@ -102,7 +102,14 @@ def sync_state(spark: SparkSession, root: str) -> DataFrame:
         F.col("b.next_cutoff_timestamp").alias("next_cutoff_timestamp"),
         F.when(F.col("a.status") == "running", F.lit(""))
          .when(F.col("b.status") == "failed", F.coalesce(F.col("b.details"), F.lit("")))
-         .otherwise(F.lit("")).alias("last_error"))
+         .otherwise(F.lit("")).alias("last_error"),
+        # How far the replica trails the source at the last finished run.
+        F.expr("timestampdiff(MICROSECOND, b.target_max_timestamp, b.source_max_timestamp)").alias("lag_micros"))
+
+
+def state_listing(spark: SparkSession, root: str) -> DataFrame:
+    """The state table as listed for operators, ordered by table name."""
+    return sync_state(spark, root).orderBy("table_name")
 
 
 def _begin(spark: SparkSession, root: str, table: str, mode: str) -> tuple[int, datetime]:

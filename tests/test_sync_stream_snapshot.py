@@ -150,3 +150,20 @@ def test_snapshot_append_idempotent_and_read_through(spark):
     stats = {r["table_name"]: r["n_rows"] for r in snapshot.stats(spark, root2).collect()}
     assert stats == {"nodes_hierarchy_cache": 0, "nodes_history_cache": direct.filter("type = 'occupancy'").count(),
                      "nodes_history_env_cache": direct.filter("type = 'tempc'").count()}
+
+
+def test_clear_snapshot_and_meta_versions(spark):
+    root = work_dir(spark, "snaptest")
+    meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
+    snapshot.write_meta(spark, root, meta)
+    snapshot.append_facts(spark, root, _facts(spark, SOURCE))
+    assert {r["n_rows"] for r in snapshot.stats(spark, root).collect()} == {1, 0, 4}
+    snapshot.clear(spark, root)
+    assert {r["n_rows"] for r in snapshot.stats(spark, root).collect()} == {0}
+    assert snapshot.read_meta(spark, root).count() == 0
+
+
+def test_sync_lag_and_listing(spark):
+    root = _seeded(spark)
+    st = sync.state_listing(spark, root).first()
+    assert st["lag_micros"] == 0
