@@ -5,10 +5,12 @@
 non-null value is enough, ``n <= 0`` switches it off.
 
 A plain window partitioned by series puts a whole series in one task, and
-one sensor can hold a third of the data. So the series is cut into blocks of
-``block_rows`` consecutive rows and each block also receives the last
-``n-1`` rows of the block before it (a halo). Every block is then an
-independent window partition; halo rows are dropped after the average.
+one sensor can hold a third of the data. A first aggregation measures the
+longest series; if it fits in one block the plain window is used (bounded,
+one shuffle). Otherwise the series is cut into blocks of ``block_rows``
+consecutive rows and each block also receives the last ``n-1`` rows of the
+block before it (a halo). Every block is then an independent window
+partition; halo rows are dropped after the average.
 
 The row index that defines blocks is built without a series-wide window:
 rows are counted per (series, day) (partial aggregate), offsets are running
@@ -40,6 +42,17 @@ def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestam
     block = max(int(block_rows), n)
     halo = n - 1
 
+    # Size check: when no series is longer than one block, one window
+    # partition per series is bounded and needs a single shuffle.
+    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if longest <= block:
+        plain = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(t) for t in tie]).rowsBetween(-halo, 0)
+        null_key = F.lit(False)
+        for k in keys:
+            null_key = null_key | F.col(k).isNull()
+        return df.withColumn(value, F.when(null_key, F.lit(None).cast("double"))
+                             .otherwise(F.avg(F.col(value)).over(plain))).select(*cols)
+
     unit = F.to_date(F.col(ts)) if chunk == "day" else F.window(F.col(ts), "1 hour").start
     d = df.withColumn("_day", unit)
     counts = d.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -36,7 +36,7 @@ def test_rolling_blocks_equal_plain_window(spark):
     n = 7
     plain = df.withColumn("value", F.avg("value").over(
         Window.partitionBy("ID", "type").orderBy("timestamp", "value").rowsBetween(-(n - 1), 0)))
-    for block in (8, 16, 1000):
+    for block in (8, 16, 1000):  # 8 and 16 take the halo-block path, 1000 the plain window
         blocked = smooth.rolling_mean(df, n, block_rows=block)
         a = sorted(map(tuple, blocked.collect()), key=str)
         b = sorted(map(tuple, plain.select(*df.columns).collect()), key=str)
