@@ -3,6 +3,11 @@
 Sorted distinct sensor ids are cut into groups of ``n`` (one chart per group,
 or per group and channel). Each point carries its series label, its panel
 and the panel's 0/1 flag, line shape and axis range.
+
+The points are read twice: once for a per-series partial aggregate (finite
+values and values that do not round to 0/1, one row per series) from which
+groups and panel flags are derived, and once to attach that per-series info
+with a broadcast join (behind a size check).
 """
 
 from __future__ import annotations
@@ -11,8 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe import model
-from sensorframe.functions.expressions import binary_flag, ceil_div, series_label
+from sensorframe.functions.expressions import ceil_div, is_finite, series_label
 from sensorframe.operators.indexing import global_index
+from sensorframe.operators.joins import bounded_broadcast
 
 
 def chart_groups(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART, id_col: str = "ID",
@@ -36,40 +42,53 @@ def chart_groups(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART, id_col
                         ceil_div(count, F.lit(n)).alias("group_count"))
 
 
-def _finish(points: DataFrame, panel_keys, title: F.Column) -> DataFrame:
-    flags = points.groupBy(*panel_keys).agg(binary_flag("value").alias("is_binary"))
-    out = points.join(flags, list(panel_keys))
+def _series_flags(df: DataFrame, keys) -> DataFrame:
+    """Per series: finite values, and finite values that do not round to 0/1.
+
+    A partial aggregate over the points (skew-safe), checkpointed because it
+    is small (one row per series) and used for groups and panel flags.
+    """
+    v = F.col("value")
+    finite = is_finite(v)
+    bad = finite & ~F.bround(v, 0).isin(0.0, 1.0)
+    agg = (df.filter(F.col("ID").isNotNull())
+           .groupBy(*keys).agg(F.count(F.when(finite, 1)).alias("_fin"), F.count(F.when(bad, 1)).alias("_bad")))
+    return agg.checkpoint(eager=True)
+
+
+def _panel_info(series: DataFrame, groups: DataFrame, group_on, panel_keys, series_keys) -> DataFrame:
+    """One row per series: its panel and the panel's 0/1 flag."""
+    s = series.join(groups, group_on)
+    flags = s.groupBy(*panel_keys).agg(((F.sum("_fin") > 0) & (F.sum("_bad") == 0)).alias("is_binary"))
+    return s.join(flags, list(panel_keys)).select(*series_keys, "group_no", "group_count", "is_binary")
+
+
+def _finish(df: DataFrame, info: DataFrame, series_keys, title: F.Column, lead_cols) -> DataFrame:
+    pts = df.filter(F.col("ID").isNotNull()).join(bounded_broadcast(info), list(series_keys))
     lo, hi = model.BINARY_AXIS_RANGE
-    return out.select(
-        *panel_keys, "group_count", title.alias("panel_title"),
-        "timestamp", "value", "ID", "type", "series", "is_binary",
+    return pts.select(
+        *lead_cols, "group_no", "group_count", title.alias("panel_title"),
+        "type", "timestamp", "value", "ID", series_label().alias("series"), "is_binary",
         F.when(F.col("is_binary"), F.lit("hv")).otherwise(F.lit("linear")).alias("line_shape"),
         F.when(F.col("is_binary"), F.lit(lo)).alias("y_min"),
         F.when(F.col("is_binary"), F.lit(hi)).alias("y_max"))
 
 
-def _points(df: DataFrame, groups: DataFrame, on) -> DataFrame:
-    pts = df.filter(F.col("ID").isNotNull()).join(groups, on)
-    return pts.withColumn("series", series_label())
-
-
 def panels_by_channel(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART) -> DataFrame:
     """One panel per (group, channel)."""
-    pts = _points(df, chart_groups(df, n), "ID")
+    series = _series_flags(df, ["ID", "type"])
+    info = _panel_info(series, chart_groups(series, n), "ID", ["group_no", "type"], ["ID", "type"])
     title = F.format_string("Time series — %s (group %d/%d)", F.col("type"), F.col("group_no"),
                             F.col("group_count"))
-    return _finish(pts, ["group_no", "type"], title).select(
-        "group_no", "group_count", "panel_title", "type", "timestamp", "value", "ID", "series",
-        "is_binary", "line_shape", "y_min", "y_max")
+    return _finish(df, info, ["ID", "type"], title, [])
 
 
 def panels_all_channels(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART) -> DataFrame:
     """One panel per group with every channel."""
-    pts = _points(df, chart_groups(df, n), "ID")
+    series = _series_flags(df, ["ID", "type"])
+    info = _panel_info(series, chart_groups(series, n), "ID", ["group_no"], ["ID", "type"])
     title = F.format_string("Time series (group %d/%d)", F.col("group_no"), F.col("group_count"))
-    return _finish(pts, ["group_no"], title).select(
-        "group_no", "group_count", "panel_title", "type", "timestamp", "value", "ID", "series",
-        "is_binary", "line_shape", "y_min", "y_max")
+    return _finish(df, info, ["ID", "type"], title, [])
 
 
 def panels_by_vanity(df: DataFrame, vanities, n: int = model.DEFAULT_SENSORS_PER_CHART,
@@ -80,13 +99,13 @@ def panels_by_vanity(df: DataFrame, vanities, n: int = model.DEFAULT_SENSORS_PER
         sub = df.join(vanities.select(F.col(vanities.columns[0]).alias("vanity")).distinct(), "vanity", "left_semi")
     else:
         sub = df.filter(F.col("vanity").isin(list(vanities)))
-    pts = _points(sub, chart_groups(sub, n, within="vanity"), ["vanity", "ID"])
-    keys = ["vanity", "group_no"] + (["type"] if by_channel else [])
+    keys = ["vanity", "ID", "type"]
+    series = _series_flags(sub.filter(F.col("vanity").isNotNull()), keys)
+    panel_keys = ["vanity", "group_no"] + (["type"] if by_channel else [])
+    info = _panel_info(series, chart_groups(series, n, within="vanity"), ["vanity", "ID"], panel_keys, keys)
     if by_channel:
         title = F.format_string("%s — %s (group %d/%d)", F.col("vanity"), F.col("type"),
                                 F.col("group_no"), F.col("group_count"))
     else:
         title = F.format_string("%s (group %d/%d)", F.col("vanity"), F.col("group_no"), F.col("group_count"))
-    out = _finish(pts, keys, title)
-    return out.select("vanity", "group_no", "group_count", "panel_title", "type", "timestamp", "value",
-                      "ID", "series", "is_binary", "line_shape", "y_min", "y_max")
+    return _finish(sub, info, keys, title, ["vanity"])
