@@ -87,6 +87,8 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
     obs = Observation("append")
     out = (new.observe(obs, F.count(F.lit(1)).alias("rows"))
            .select(*model.FACT_COLUMNS, "source_table", "date")
+           # AQE rebalance: right-sized files per (table, day), a hot day split over tasks
+           .hint("rebalance", "source_table", "date")
            .sortWithinPartitions("source_table", "date", "ID", "type", "timestamp"))
     out.write.mode("append").partitionBy("source_table", "date").parquet(_facts_path(root))
     return int(obs.get["rows"] or 0)

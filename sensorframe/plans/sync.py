@@ -216,7 +216,8 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
             if not keep.isEmpty():
                 keep_days.add(cut_day.isoformat())
             tail = tail.unionByName(keep.select(*tail.columns))
-        (tail.sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
+        (tail.hint("rebalance", "date")
+         .sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(path))
         m = obs.get

@@ -92,7 +92,8 @@ def merge_batch(spark: SparkSession, table: str, batch: DataFrame, batch_id: int
         kept = touched.join(accepted.select(*KEY), KEY, "left_anti")
         merged = accepted.unionByName(kept.select(*accepted.columns))
     if days:
-        (merged.sortWithinPartitions("date", "ID", "type", "timestamp").write.mode("overwrite")
+        (merged.hint("rebalance", "date").sortWithinPartitions("date", "ID", "type", "timestamp")
+         .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(table))
     new_mark = accepted.agg(F.max("timestamp")).first()[0]
     mark = max([m for m in (prior, new_mark) if m is not None], default=None)
