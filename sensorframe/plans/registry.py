@@ -337,6 +337,17 @@ def rolling_mean(spark, d):
     return _rv(smooth.rolling_mean(enrich.enrich(dt.facts(spark, d), _meta(spark, d)), 5))
 
 
+@query("rolling_mean_long_series", f"""
+SELECT "timestamp", round(avg(value) OVER (PARTITION BY "ID", "type" ORDER BY "timestamp", value
+         ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), {R}) AS value, "ID", "type"
+FROM (SELECT l_shipdate AS "timestamp", l_quantity AS value, CAST(l_linenumber AS BIGINT) AS "ID",
+             l_returnflag AS "type" FROM lineitem)""")
+def rolling_mean_long_series(spark, d):
+    """Rolling mean over few long series, cut into 1024-row blocks with halos
+    (the skew-safe path a sensor holding a large share of the rows takes)."""
+    return _rv(smooth.rolling_mean(dt.long_series_facts(spark, d), 5, block_rows=1024))
+
+
 @query("resample_then_roll", f"""{BASE}, {_resampled_cte('hour', 'mean')}
 SELECT "ID", "type", vanity, building, floor, area, "nodeTypeName", "timestamp",
        round(avg(value) OVER (PARTITION BY "ID", "type" ORDER BY "timestamp"

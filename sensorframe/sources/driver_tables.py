@@ -10,6 +10,7 @@ have the schemas the jobs expect; they do none of the jobs' work.
   building = r_name, floor = n_name, area = c_mktsegment,
   nodeTypeName = 'type_' || (c_custkey % 4);
 * facts with repeated keys = ``lineitem(l_shipdate, l_quantity, l_suppkey, l_returnflag)``;
+* few long series = ``lineitem(l_shipdate, l_quantity, l_linenumber, l_returnflag)``;
 * 0/1 series = ``labels`` unpivoted to ``(ID = doc_id, type, value)``.
 """
 
@@ -63,6 +64,13 @@ def repeated_key_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("l_suppkey").alias("ID"), F.col("l_returnflag").alias("type"))
 
 
+def long_series_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few, long series: ``lineitem`` keyed by (line number, return flag)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").alias("value"),
+                     F.col("l_linenumber").cast("bigint").alias("ID"), F.col("l_returnflag").alias("type"))
+
+
 def label_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``labels`` unpivoted to ``(ID, type, value)`` with types quality / toxic."""
     lb = table(spark, sf_dir, "labels")
