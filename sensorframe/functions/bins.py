@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sensorframe import model
+
 
 @dataclass(frozen=True)
 class Freq:
@@ -33,9 +35,9 @@ _FREQS = {
     "week": Freq("week", "INTERVAL 7 DAYS", "7 days", "4 days"),
     "month": Freq("month", "INTERVAL 1 MONTH", None),
 }
-# Names the reference's user picks from.
-_ALIASES = {"15Min": "15min", "15T": "15min", "H": "hour", "h": "hour",
-            "D": "day", "d": "day", "W": "week", "M": "month", "ME": "month"}
+# The user-facing frequency names (model.FREQUENCY_NAMES), in order, map to
+# the bins above.
+_ALIASES = dict(zip(model.FREQUENCY_NAMES, ["15min", "hour", "day", "week", "month"]))
 
 
 def freq(name: str) -> Freq:

@@ -45,18 +45,18 @@ def binary_flag(value="value") -> Column:
 def series_label(type_="type", vanity="vanity", building="building", floor="floor",
                  area="area") -> Column:
     """``type | vanity (building floor/area)``; missing parts are empty."""
-    return F.format_string("%s | %s (%s %s/%s)", *[str_or_empty(c) for c in
+    return F.format_string(model.SERIES_LABEL_FORMAT, *[str_or_empty(c) for c in
                                                    (type_, vanity, building, floor, area)])
 
 
 def thousands_dot(n) -> Column:
     """Integer with '.' as thousands separator (``1.234.567``)."""
-    return F.translate(F.format_number(_c(n).cast("double"), 0), ",", ".")
+    return F.translate(F.format_number(_c(n).cast("double"), 0), ",", model.THOUSANDS_SEPARATOR)
 
 
 def date_range_text(first, last) -> Column:
-    return F.concat(F.date_format(_c(first), "yyyy-MM-dd"), F.lit(" → "),
-                    F.date_format(_c(last), "yyyy-MM-dd"))
+    return F.concat(F.date_format(_c(first), model.KPI_DATE_FORMAT), F.lit(model.KPI_RANGE_SEPARATOR),
+                    F.date_format(_c(last), model.KPI_DATE_FORMAT))
 
 
 def ceil_div(a, b) -> Column:

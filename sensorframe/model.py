@@ -47,6 +47,29 @@ TYPE_NAME_MAP = [
     ("numeric", None, "NUMERIC"),
 ]
 TYPE_NAME_DEFAULT = "TEXT"
+# Resampling frequency names offered to the user.
+FREQUENCY_NAMES = ["15Min", "H", "D", "W", "M"]
+# Aggregation functions offered for resampling.
+AGG_FUNCTION_NAMES = ["mean", "sum", "max", "min", "median"]
+# Series label: type | vanity (building floor/area).
+SERIES_LABEL_FORMAT = "%s | %s (%s %s/%s)"
+# Panel titles (by channel, all channels).
+PANEL_TITLE_BY_CHANNEL = "Time series — %s (group %d/%d)"
+PANEL_TITLE_ALL_CHANNELS = "Time series (group %d/%d)"
+# Line shape of 0/1 panels and of other panels.
+LINE_SHAPE_BINARY = "hv"
+LINE_SHAPE_DEFAULT = "linear"
+# KPI texts: thousands separator, date format, range separator.
+THOUSANDS_SEPARATOR = "."
+KPI_DATE_FORMAT = "yyyy-MM-dd"
+KPI_RANGE_SEPARATOR = " → "
+# CSV export file name.
+EXPORT_NAME_FORMAT = "sensor_export_{start:%Y%m%d}_{end:%Y%m%d}.csv"
+# Snapshot table names.
+SNAPSHOT_TABLES = ["nodes_hierarchy_cache", "nodes_history_cache", "nodes_history_env_cache"]
+# Replicated tables: full refresh, then incremental ones, in this order.
+REPLICA_FULL_TABLES = ["nodes_hierarchy"]
+REPLICA_INCREMENTAL_TABLES = ["nodes_history", "nodes_history_env"]
 # ----------------------------------------------------------------------------
 
 # Spark SQL type names that mean the same as a source type name above.

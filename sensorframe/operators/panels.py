@@ -69,7 +69,8 @@ def _finish(df: DataFrame, info: DataFrame, series_keys, title: F.Column, lead_c
     return pts.select(
         *lead_cols, "group_no", "group_count", title.alias("panel_title"),
         "type", "timestamp", "value", "ID", series_label().alias("series"), "is_binary",
-        F.when(F.col("is_binary"), F.lit("hv")).otherwise(F.lit("linear")).alias("line_shape"),
+        F.when(F.col("is_binary"), F.lit(model.LINE_SHAPE_BINARY)).otherwise(F.lit(model.LINE_SHAPE_DEFAULT))
+        .alias("line_shape"),
         F.when(F.col("is_binary"), F.lit(lo)).alias("y_min"),
         F.when(F.col("is_binary"), F.lit(hi)).alias("y_max"))
 
@@ -78,7 +79,7 @@ def panels_by_channel(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART) -
     """One panel per (group, channel)."""
     series = _series_flags(df, ["ID", "type"])
     info = _panel_info(series, chart_groups(series, n), "ID", ["group_no", "type"], ["ID", "type"])
-    title = F.format_string("Time series — %s (group %d/%d)", F.col("type"), F.col("group_no"),
+    title = F.format_string(model.PANEL_TITLE_BY_CHANNEL, F.col("type"), F.col("group_no"),
                             F.col("group_count"))
     return _finish(df, info, ["ID", "type"], title, [])
 
@@ -87,14 +88,15 @@ def panels_all_channels(df: DataFrame, n: int = model.DEFAULT_SENSORS_PER_CHART)
     """One panel per group with every channel."""
     series = _series_flags(df, ["ID", "type"])
     info = _panel_info(series, chart_groups(series, n), "ID", ["group_no"], ["ID", "type"])
-    title = F.format_string("Time series (group %d/%d)", F.col("group_no"), F.col("group_count"))
+    title = F.format_string(model.PANEL_TITLE_ALL_CHANNELS, F.col("group_no"), F.col("group_count"))
     return _finish(df, info, ["ID", "type"], title, [])
 
 
 def panels_by_vanity(df: DataFrame, vanities, n: int = model.DEFAULT_SENSORS_PER_CHART,
                      by_channel: bool = True) -> DataFrame:
     """Panels per chosen vanity (a list, or a DataFrame of vanities); groups
-    restart within each vanity."""
+    restart within each vanity and titles are those of the other panels (the
+    ``vanity`` column tells the sections apart)."""
     if isinstance(vanities, DataFrame):
         sub = df.join(vanities.select(F.col(vanities.columns[0]).alias("vanity")).distinct(), "vanity", "left_semi")
     else:
@@ -104,8 +106,8 @@ def panels_by_vanity(df: DataFrame, vanities, n: int = model.DEFAULT_SENSORS_PER
     panel_keys = ["vanity", "group_no"] + (["type"] if by_channel else [])
     info = _panel_info(series, chart_groups(series, n, within="vanity"), ["vanity", "ID"], panel_keys, keys)
     if by_channel:
-        title = F.format_string("%s — %s (group %d/%d)", F.col("vanity"), F.col("type"),
-                                F.col("group_no"), F.col("group_count"))
+        title = F.format_string(model.PANEL_TITLE_BY_CHANNEL, F.col("type"), F.col("group_no"),
+                                F.col("group_count"))
     else:
-        title = F.format_string("%s (group %d/%d)", F.col("vanity"), F.col("group_no"), F.col("group_count"))
+        title = F.format_string(model.PANEL_TITLE_ALL_CHANNELS, F.col("group_no"), F.col("group_count"))
     return _finish(sub, info, keys, title, ["vanity"])

@@ -28,7 +28,7 @@ from sensorframe.functions.bins import bin_label, bin_start, bin_step
 from sensorframe.operators.enrich import meta_keyed
 from sensorframe.operators.joins import bounded_broadcast
 
-AGG_FUNCS = ("mean", "sum", "max", "min", "median")
+AGG_FUNCS = tuple(model.AGG_FUNCTION_NAMES)
 
 
 def _agg_expr(func: str, value: str = "value") -> Column:

@@ -477,7 +477,7 @@ def panels_by_vanity(spark, d):
 Q["panels_by_vanity"] = panels_by_vanity
 SQL["panels_by_vanity"] = _panel_sql(
     'vanity, group_no, "type"',
-    "p.vanity || ' — ' || p.\"type\" || ' (group ' || p.group_no || '/' || p.group_count || ')'",
+    "'Time series — ' || p.\"type\" || ' (group ' || p.group_no || '/' || p.group_count || ')'",
     "WHERE vanity IN (SELECT vanity FROM meta WHERE building = 'ASIA' AND area = 'AUTOMOBILE')", "vanity,")
 
 

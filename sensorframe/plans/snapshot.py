@@ -27,13 +27,12 @@ from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
 from sensorframe.operators.dedup import dedup_keep_first
 from sensorframe.operators.joins import bounded_broadcast
-from sensorframe.session import delete_path, list_dirs, path_exists
+from sensorframe.session import delete_path, list_dirs, observed, path_exists
 from sensorframe.sources.facts import coerce_facts, empty_facts, read_timeseries
 from sensorframe.sources.metadata import empty_metadata, normalize_metadata
 
 KEY = ["timestamp", "ID", "type"]
-TABLE_NAMES = {"hierarchy": "nodes_hierarchy_cache", "history": "nodes_history_cache",
-               "env": "nodes_history_env_cache"}
+TABLE_NAMES = dict(zip(["hierarchy", "history", "env"], model.SNAPSHOT_TABLES))
 
 
 def _facts_path(root):
@@ -91,7 +90,7 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
            .hint("rebalance", "source_table", "date")
            .sortWithinPartitions("source_table", "date", "ID", "type", "timestamp"))
     out.write.mode("append").partitionBy("source_table", "date").parquet(_facts_path(root))
-    return int(obs.get["rows"] or 0)
+    return int(observed(obs, ["rows"])["rows"] or 0)
 
 
 def read_snapshot(spark: SparkSession, root: str, ids, channels, start: datetime, end: datetime,

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
-from sensorframe.session import delete_path, list_dirs, path_exists
+from sensorframe.session import delete_path, list_dirs, observed, path_exists
 
 BASELINE = datetime.fromisoformat(model.SYNC_BASELINE_TS)
 
@@ -148,7 +148,7 @@ def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame) ->
         obs = Observation(f"full_{run_id}")
         source.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(
             f"{table_path(root, table)}/v={run_id}")
-        rows = int(obs.get["rows"] or 0)
+        rows = int(observed(obs, ["rows"])["rows"] or 0)
         _finish(spark, root, run_id, table, "full", started, rows, "success")
     except Exception as exc:
         _finish(spark, root, run_id, table, "full", started, 0, "failed", str(exc))
@@ -220,7 +220,7 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
          .sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(path))
-        m = obs.get
+        m = observed(obs, ["rows", "max_ts"])
         rows = int(m["rows"] or 0)
 
         # Day partitions at or after the cutoff day without rows now are gone at the source.

@@ -92,3 +92,18 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 
 __all__ = ["build_session", "ensure_checkpoint_dir", "work_dir", "path_exists",
            "delete_path", "list_dirs", "local_path"]
+
+
+def observed(obs, names) -> dict:
+    """Metrics of an ``Observation`` after its action.
+
+    When the optimizer proves the observed plan empty (AQE replaces it with an
+    empty relation) the metrics node is gone and Spark hands back an empty
+    row; the metrics are then NULL (callers read NULL counts as 0).
+    """
+    try:
+        return obs.get
+    except Exception as exc:  # noqa: BLE001
+        if "toPyRow" not in str(exc):
+            raise
+        return {n: None for n in names}

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorframe import model
+from sensorframe.session import observed
+
 WHOLE_SECONDS = "yyyy-MM-dd HH:mm:ss"
 WITH_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -30,7 +33,7 @@ def _has_fraction(df: DataFrame) -> bool:
 
 def export_name(start, end) -> str:
     """File name carrying the range, as the reference offers it."""
-    return f"sensor_export_{start:%Y%m%d}_{end:%Y%m%d}.csv"
+    return model.EXPORT_NAME_FORMAT.format(start=start, end=end)
 
 
 def _writer(df: DataFrame, single_file: bool):
@@ -42,12 +45,12 @@ def write_export_csv(df: DataFrame, path: str, single_file: bool = False,
     """Write the export and return the number of rows written."""
     fmt = timestamp_format or (WITH_MICROS if _has_fraction(df) else WHOLE_SECONDS)
     obs = Observation("export")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    (_writer(observed, single_file).option("header", True).option("nullValue", "")
+    watched = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    (_writer(watched, single_file).option("header", True).option("nullValue", "")
      .option("emptyValue", '""').option("quote", '"').option("escape", '"')
      .option("timestampNTZFormat", fmt).option("timestampFormat", fmt)
      .option("encoding", "UTF-8").csv(path))
-    return int(obs.get["rows"])
+    return int(observed(obs, ["rows"])["rows"] or 0)
 
 
 def read_export_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -62,11 +65,11 @@ def write_copy_csv(df: DataFrame, path: str) -> int:
     """Bulk-load format: no header, NULL as ``\\N``; returns rows written
     (0 for an empty frame)."""
     obs = Observation("copy")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    (observed.write.mode("overwrite").option("header", False).option("nullValue", "\\N")
+    watched = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    (watched.write.mode("overwrite").option("header", False).option("nullValue", "\\N")
      .option("quote", '"').option("escape", '"')
      .option("timestampNTZFormat", WITH_MICROS).option("timestampFormat", WITH_MICROS).csv(path))
-    return int(obs.get["rows"] or 0)
+    return int(observed(obs, ["rows"])["rows"] or 0)
 
 
 def read_copy_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
