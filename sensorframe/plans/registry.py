@@ -605,6 +605,31 @@ def snapshot_stats(spark, d):
     return snapshot.stats(spark, root)
 
 
+@query("snapshot_clear", """
+SELECT table_name, CAST(n AS BIGINT) AS n_rows FROM (VALUES ('nodes_hierarchy_cache', 0),
+  ('nodes_history_cache', 0), ('nodes_history_env_cache', 0)) v(table_name, n)""")
+def snapshot_clear(spark, d):
+    """Fill a snapshot from the tables, clear it, report per-table counts."""
+    root = work_dir(spark, "clear")
+    snapshot.write_meta(spark, root, _meta(spark, d))
+    snapshot.append_facts(spark, root, dt.facts(spark, d), ROUTING)
+    snapshot.clear(spark, root)
+    return snapshot.stats(spark, root)
+
+
+@query("meta_snapshot_scan", f"""{BASE}
+SELECT id, "nodeTypeName", building, floor, area, vanity FROM meta WHERE building <> 'AFRICA'""")
+def meta_snapshot_scan(spark, d):
+    """Metadata read snapshot-first: a missing snapshot falls through to the
+    source, a stored one is served."""
+    from sensorframe.sources.metadata import load_metadata
+    root = work_dir(spark, "metasnap")
+    raw = dt.metadata_raw(spark, d)
+    first = load_metadata(spark, raw, root + "/meta/v=0")          # no snapshot yet: source
+    v = snapshot.write_meta(spark, root, first.filter(F.col("building") != "AFRICA"))
+    return load_metadata(spark, raw, f"{root}/meta/v={v}")          # served from the snapshot
+
+
 _EUROPE_IDS = "(SELECT id FROM meta WHERE building = 'EUROPE')"
 
 
