@@ -141,12 +141,6 @@ class ChannelRouting:
     env: tuple = tuple(ENV_CHANNELS)
     default_channels: tuple = field(default=tuple(DEFAULT_CHANNELS))
 
-    def split(self, channels):
-        chosen = list(channels) if channels else list(self.default_channels)
-        hist = [c for c in chosen if c in self.history]
-        env = [c for c in chosen if c in self.env]
-        return hist, env
-
     @property
     def all_channels(self):
         return sorted(set(self.history) | set(self.env))

@@ -54,8 +54,3 @@ def semi_join(facts: DataFrame, keys: DataFrame, on, broadcast_max_rows: int | N
     if broadcast_max_rows:
         k = bounded_broadcast(k, broadcast_max_rows)
     return facts.join(k, on, "left_semi")
-
-
-def anti_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
-    on = [on] if isinstance(on, str) else list(on)
-    return left.join(right.select(*on), on, "left_anti")

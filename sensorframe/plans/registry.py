@@ -663,7 +663,8 @@ def read_through(spark, d):
 
 # --- replication -------------------------------------------------------------
 
-SYNC_TABLES = {"nodes_history": dt.history, "nodes_history_env": dt.env}
+SYNC_TABLES = dict(zip(model.REPLICA_INCREMENTAL_TABLES, [dt.history, dt.env]))
+FULL_TABLE = model.REPLICA_FULL_TABLES[0]
 _OLD = "2024-01-20"
 _CHANGED = "2024-01-15"
 
@@ -717,7 +718,7 @@ def _run_cycles(spark, d) -> str:
     meta = _meta(spark, d)
     for k in range(1, SYNC_CYCLES + 1):
         lim = F.lit((datetime(2024, 1, 1) + timedelta(days=CYCLE_DAYS * k)).isoformat(sep=" ")).cast("timestamp_ntz")
-        sync.sync_all(spark, root, {"nodes_hierarchy": meta},
+        sync.sync_all(spark, root, {FULL_TABLE: meta},
                       {n: fn(spark, d).filter(F.col("timestamp") < lim) for n, fn in SYNC_TABLES.items()}, 0)
     return root
 

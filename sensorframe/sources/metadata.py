@@ -39,7 +39,7 @@ def normalize_metadata(raw: DataFrame, aliases=None) -> DataFrame:
     type_col = pick_column(raw.columns, aliases)
     exprs = [F.col(f"`{id_col}`").cast("bigint").alias("id"),
              (str_or_empty(F.col(f"`{type_col}`")) if type_col else F.lit("")).alias("nodeTypeName")]
-    for name in ("building", "floor", "area", "vanity"):
+    for name in model.OPTIONAL_META_COLUMNS:
         src = pick_column(raw.columns, [name])
         exprs.append((str_or_empty(F.col(f"`{src}`")) if src else F.lit("")).alias(name))
     return raw.select(*exprs)
