@@ -29,3 +29,14 @@ def global_index(df: DataFrame, order_cols, name: str = "row_no") -> DataFrame:
     local = F.col("_mid") - F.shiftleft(F.col("_p").cast("long"), 33)
     out = tagged.join(F.broadcast(offsets), "_p")
     return out.select(*cols, (F.col("_o") + local + 1).cast("long").alias(name))
+
+
+def table_page(df: DataFrame, page: int, page_size: int, order_cols=("timestamp", "ID", "type", "value")) -> DataFrame:
+    """One page (0-based) of the time-ordered table.
+
+    ``ORDER BY ... OFFSET ... LIMIT`` is planned as a per-partition top-k of
+    (offset + limit) rows merged in one task, so a page costs one scan and
+    never sorts or numbers the whole result.
+    """
+    ordered = df.orderBy(*order_cols)
+    return ordered.offset(page * page_size).limit(page_size) if page else ordered.limit(page_size)

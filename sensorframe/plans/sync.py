@@ -141,8 +141,13 @@ def _versions(spark, base):
     return sorted(out)
 
 
-def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame) -> int:
-    """Truncate-and-reload as a new complete version; returns the run id."""
+def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame, keep_versions: int = 3) -> int:
+    """Truncate-and-reload as a new complete version; returns the run id.
+
+    After the run is recorded as successful, versions older than the newest
+    ``keep_versions`` successful ones are removed (readers of a recent older
+    version keep working).
+    """
     run_id, started = _begin(spark, root, table, "full")
     try:
         obs = Observation(f"full_{run_id}")
@@ -153,9 +158,24 @@ def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame) ->
     except Exception as exc:
         _finish(spark, root, run_id, table, "full", started, 0, "failed", str(exc))
         raise
+    _drop_old_versions(spark, root, table, keep_versions)
     return run_id
 
 
+def _drop_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> None:
+    ok = {r[0] for r in sync_runs(spark, root).filter(
+        (F.col("table_name") == table) & (F.col("status") == "success")).select("id").collect()}
+    base = table_path(root, table)
+    names = [n for n in list_dirs(spark, base) if n.startswith("v=")]
+    good = sorted(int(n[2:]) for n in names if int(n[2:]) in ok)
+    if len(good) <= keep:
+        return
+    floor = good[-keep]
+    for n in names:
+        if int(n[2:]) < floor:
+            delete_path(spark, f"{base}/{n}")
+
+
 def read_full(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     """Newest version written by a successful run."""
     runs = sync_runs(spark, root).filter((F.col("table_name") == table) & (F.col("status") == "success"))

@@ -167,3 +167,23 @@ def test_sync_lag_and_listing(spark):
     root = _seeded(spark)
     st = sync.state_listing(spark, root).first()
     assert st["lag_micros"] == 0
+
+
+def test_full_refresh_keeps_recent_versions(spark):
+    from sensorframe.session import list_dirs
+    root = work_dir(spark, "synctest")
+    meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
+    for _ in range(5):
+        sync.sync_full(spark, root, "h", meta, keep_versions=2)
+    assert sorted(list_dirs(spark, root + "/h")) == ["v=4", "v=5"]
+    assert sync.read_full(spark, root, "h").count() == 1
+
+
+def test_table_page(spark):
+    from sensorframe.operators.indexing import global_index, table_page
+    rows = [(datetime(2024, 1, 1, h, m), float(m), 1, "a") for h in range(3) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, model.FACT_SCHEMA).repartition(4)
+    numbered = global_index(df, ["timestamp", "ID", "type", "value"], "row_no")
+    page = table_page(df, 2, 5)
+    expect = [tuple(r)[:4] for r in numbered.filter("row_no > 10 AND row_no <= 15").orderBy("row_no").collect()]
+    assert [tuple(r) for r in page.collect()] == expect
