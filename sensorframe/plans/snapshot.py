@@ -200,12 +200,15 @@ def _versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(out)
 
 
-def write_meta(spark: SparkSession, root: str, meta: DataFrame) -> int:
-    """Full refresh: a complete new version, visible once committed."""
+def write_meta(spark: SparkSession, root: str, meta: DataFrame, keep_versions: int = 3) -> int:
+    """Full refresh: a complete new version, visible once committed; only
+    the newest ``keep_versions`` committed versions are kept."""
     base = _meta_path(root)
     versions = _versions(spark, base)
     v = (versions[-1] + 1) if versions else 1
     normalize_metadata(meta).write.mode("errorifexists").parquet(f"{base}/v={v}")
+    for old in (versions + [v])[:-keep_versions]:
+        delete_path(spark, f"{base}/v={old}")
     return v
 
 
