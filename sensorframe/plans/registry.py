@@ -410,14 +410,16 @@ def series_label(spark, d):
 
 
 @query("kpis", f"""{BASE}, {_resampled_cte('day', 'mean')}
-SELECT count(*) AS data_points, count(DISTINCT "ID") AS sensors, count(DISTINCT "type") AS channels,
+SELECT count(*) AS data_points, count(DISTINCT "ID") AS sensors,
+       count(DISTINCT "type") + coalesce(max(CASE WHEN "type" IS NULL THEN 1 ELSE 0 END), 0) AS channels,
        min("timestamp") AS first_ts, max("timestamp") AS last_ts FROM res""")
 def kpis_q(spark, d):
     return kpis.kpis(resample.resample_series(dt.facts(spark, d), _meta(spark, d), "day", "mean"))
 
 
 @query("kpi_text", f"""{BASE}, {_resampled_cte('day', 'mean')},
-  k AS (SELECT count(*) AS n, count(DISTINCT "ID") AS s, count(DISTINCT "type") AS c,
+  k AS (SELECT count(*) AS n, count(DISTINCT "ID") AS s,
+               count(DISTINCT "type") + coalesce(max(CASE WHEN "type" IS NULL THEN 1 ELSE 0 END), 0) AS c,
                min("timestamp") AS a, max("timestamp") AS z FROM res)
 SELECT replace(format('{{:,}}', n), ',', '.') AS data_points_text, CAST(s AS VARCHAR) AS sensors_text,
        CAST(c AS VARCHAR) AS channels_text, strftime(a, '%Y-%m-%d') || ' → ' || strftime(z, '%Y-%m-%d') AS date_range_text

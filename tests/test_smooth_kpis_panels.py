@@ -100,3 +100,9 @@ def test_dense_rolling_equals_general(spark, freq):
     a = smooth.rolling_mean_dense(res, 4, freq).withColumn("value", F.round("value", 9))
     b = smooth.rolling_mean(res, 4).withColumn("value", F.round("value", 9))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_kpis_count_missing_channel(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), 1.0, 1, None), (datetime(2024, 1, 2), 1.0, 1, "a")],
+                               "timestamp timestamp_ntz, value double, ID long, type string")
+    assert kpis.kpis(df).first().channels == 2
