@@ -225,12 +225,13 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
         cut_day = cutoff.date()
 
         src_tail = source.filter(F.col(ts) >= ts_lit(cutoff))
-        # Days that will hold rows after this run (bounded by the overlap window).
-        keep_days = {d.isoformat() for (d,) in src_tail.select(F.to_date(F.col(ts))).distinct().collect()
-                     if d is not None}
         obs = Observation(f"inc_{run_id}")
-        tail = src_tail.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(ts).alias("max_ts"))
+        # The write also reports the days it covers (a set bounded by the
+        # overlap window), so the source tail is scanned once.
+        tail = src_tail.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(ts).alias("max_ts"),
+                                F.collect_set(F.to_date(F.col(ts))).alias("days"))
         tail = tail.withColumn("date", F.to_date(F.col(ts)))
+        keep_days = set()
         if current is not None:
             keep = current.filter((F.col("date") == date_lit(cut_day)) & (F.col(ts) < ts_lit(cutoff)))
             if not keep.isEmpty():
@@ -240,8 +241,9 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
          .sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(path))
-        m = observed(obs, ["rows", "max_ts"])
+        m = observed(obs, ["rows", "max_ts", "days"])
         rows = int(m["rows"] or 0)
+        keep_days |= {d.isoformat() for d in (m["days"] or []) if d is not None}
 
         # Day partitions at or after the cutoff day without rows now are gone at the source.
         for name in list_dirs(spark, path):
