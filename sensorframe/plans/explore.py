@@ -1,7 +1,8 @@
 """The interactive "load data" query as one lazy plan.
 
 facets -> id selection -> channel-routed fact scan in a half-open range ->
-enrichment -> resample with gap fill (or time order) -> rolling mean.
+enrichment, or resample with gap fill -> optional rolling mean. Display order
+is applied at the edge (``table_page`` or ``orderBy``), not inside the plan.
 Only actions the caller runs leave the cluster; KPIs and panels are further
 DataFrames over the same plan.
 """
@@ -37,8 +38,8 @@ class ExploreRequest:
 
 def load_series(spark: SparkSession, history: DataFrame, env: DataFrame, meta: DataFrame,
                 req: ExploreRequest) -> DataFrame:
-    """Final frame of the request: enriched raw rows (ordered by series and
-    time) or resampled, gap-filled bins; then the optional rolling mean."""
+    """Final frame of the request: enriched raw rows or resampled, gap-filled
+    bins; then the optional rolling mean (in series and time order)."""
     chosen = facet_filter(meta, req.selection)
     ids = chosen.select(F.col("id").alias("ID"))
     channels = resolve_channels(req.channels, req.routing)

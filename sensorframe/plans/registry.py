@@ -343,8 +343,9 @@ SELECT "timestamp", round(avg(value) OVER (PARTITION BY "ID", "type" ORDER BY "t
 FROM (SELECT l_shipdate AS "timestamp", l_quantity AS value, CAST(l_linenumber AS BIGINT) AS "ID",
              l_returnflag AS "type" FROM lineitem)""")
 def rolling_mean_long_series(spark, d):
-    """Rolling mean over few long series, cut into 1024-row blocks with halos
-    (the skew-safe path a sensor holding a large share of the rows takes)."""
+    """Rolling mean over few long series with a 1024-row block size: series
+    longer than a block (sf0.01 and up) take the halo-block path that a sensor
+    holding a large share of the rows takes; shorter ones a plain window."""
     return _rv(smooth.rolling_mean(dt.long_series_facts(spark, d), 5, block_rows=1024))
 
 
