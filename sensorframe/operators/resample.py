@@ -94,10 +94,11 @@ def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str
 
     Equal to ``resample(enrich(facts, meta), ...)``, but the aggregation runs
     on the four narrow fact columns, the gap fill is partitioned by
-    ``(ID, type)`` only, and metadata (a dimension, broadcast after a row
-    count check) is joined to the dense bins without a further shuffle. The
-    output stays hash-partitioned by ``(ID, type)``, so a following rolling
-    mean needs no exchange. Duplicate metadata rows are kept as a
+    ``(ID, type)`` only, and metadata (a dimension) is joined to the dense
+    bins. When its size check allows a broadcast, that join adds no shuffle
+    and the output stays hash-partitioned by ``(ID, type)``, so a following
+    rolling mean needs no exchange; a larger metadata table is joined by
+    sort-merge instead. Duplicate metadata rows are kept as a
     multiplicity so ``sum`` still counts each copy, as the fan-out join would.
     """
     f = facts.filter(F.col("timestamp").isNotNull() & F.col("ID").isNotNull() & F.col("type").isNotNull())
