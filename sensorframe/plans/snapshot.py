@@ -11,7 +11,9 @@ Layout under ``root`` (a folder in shared storage):
 * ``coverage/`` — ledger of loaded ranges ``(ID, type, from_ts, to_ts)``.
 
 An append adds only rows whose ``(timestamp, ID, type)`` is not yet stored
-(anti join against the same days), so repeating a load adds nothing. A read
+(anti join against the same days, after keeping one row per key of the
+incoming rows), so repeating a load adds nothing and stored keys stay
+unique; reads then skip the de-duplication shuffle. A read
 is served from the snapshot when the ledger covers the whole request;
 otherwise only the uncovered ranges are fetched from the source.
 """
@@ -27,7 +29,7 @@ from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
 from sensorframe.operators.dedup import dedup_keep_first
 from sensorframe.operators.joins import bounded_broadcast
-from sensorframe.session import delete_path, list_dirs, observed, path_exists
+from sensorframe.session import delete_path, list_dirs, observed, path_exists, touch
 from sensorframe.sources.facts import coerce_facts, empty_facts, read_timeseries
 from sensorframe.sources.metadata import empty_metadata, normalize_metadata
 
@@ -47,6 +49,12 @@ def _meta_path(root):
     return f"{root}/meta"
 
 
+def _dup_marker(root):
+    """Present once rows were appended without the key check (hidden from
+    the parquet reader by its leading underscore)."""
+    return f"{root}/facts/_may_have_duplicates"
+
+
 def route(df: DataFrame, routing: model.ChannelRouting = model.DEFAULT_ROUTING) -> DataFrame:
     """History channels -> ``history``; every other type, NULL included -> ``env``."""
     t = F.col("type")
@@ -72,7 +80,11 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
     ``skip_existing=False`` rows are appended as given (the reference's
     plain append, which readers de-duplicate).
     """
-    new = route(coerce_facts(facts), routing).withColumn("date", F.to_date("timestamp"))
+    incoming = coerce_facts(facts)
+    if skip_existing:
+        # keep stored keys unique, so reads need no de-duplication shuffle
+        incoming = dedup_keep_first(incoming, KEY)
+    new = route(incoming, routing).withColumn("date", F.to_date("timestamp"))
     existing = _stored(spark, root) if skip_existing else None
     if existing is not None:
         if start is None or end is None:
@@ -90,15 +102,20 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
            .hint("rebalance", "source_table", "date")
            .sortWithinPartitions("source_table", "date", "ID", "type", "timestamp"))
     out.write.mode("append").partitionBy("source_table", "date").parquet(_facts_path(root))
+    if not skip_existing:
+        touch(spark, _dup_marker(root))
     return int(observed(obs, ["rows"])["rows"] or 0)
 
 
 def read_snapshot(spark: SparkSession, root: str, ids, channels, start: datetime, end: datetime,
-                  routing: model.ChannelRouting = model.DEFAULT_ROUTING, dedup: bool = True) -> DataFrame:
+                  routing: model.ChannelRouting = model.DEFAULT_ROUTING, dedup: bool | None = None) -> DataFrame:
     """Snapshot rows of ``ids`` x ``channels`` in ``[start, end)``.
 
     Partition filters on ``source_table`` and ``date`` prune folders; the
-    id key table is a semi join (broadcast behind a size check).
+    id key table is a semi join (broadcast behind a size check). Duplicate
+    keys are dropped (first row: smallest value) when ``dedup`` is true; by
+    default only if rows were ever appended without the key check, since
+    checked appends keep keys unique.
     """
     stored = _stored(spark, root)
     if stored is None or not channels:
@@ -114,6 +131,8 @@ def read_snapshot(spark: SparkSession, root: str, ids, channels, start: datetime
     else:
         df = df.filter(F.col("ID").isin(list(ids)))
     df = coerce_facts(df.select(*model.FACT_COLUMNS))
+    if dedup is None:
+        dedup = path_exists(spark, _dup_marker(root))
     return dedup_keep_first(df, KEY) if dedup else df
 
 

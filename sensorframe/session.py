@@ -107,3 +107,11 @@ def observed(obs, names) -> dict:
         if "toPyRow" not in str(exc):
             raise
         return {n: None for n in names}
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.create(hpath, True).close()

@@ -223,3 +223,16 @@ def test_sync_crash_after_commit_recovers(spark, monkeypatch):
     monkeypatch.setattr(sync, "_finish", real_finish)
     sync.sync_incremental(spark, root, "t", _facts(spark, SOURCE), 0)
     assert _table(spark, root) == [(T[0], 10.0), (T[1], 20.0), (T[2], 30.0), (T[3], 40.0)]
+
+
+def test_snapshot_dedup_only_after_plain_appends(spark):
+    root = work_dir(spark, "snaptest")
+    src = _facts(spark, SOURCE + [(T[0], 99)])  # a duplicate key inside the batch
+    snapshot.append_facts(spark, root, src)
+    ids = spark.createDataFrame([(1,)], "ID long")
+    read = snapshot.read_snapshot(spark, root, ids, ["a"], T[0], T[3] + timedelta(hours=1))
+    assert "partial_min" not in read._jdf.queryExecution().executedPlan().toString()  # no dedup aggregate
+    assert sorted(r["value"] for r in read.collect()) == [11.0, 21.0, 30.0, 40.0]
+    snapshot.append_facts(spark, root, _facts(spark, [(T[1], 5)]), skip_existing=False)
+    read = snapshot.read_snapshot(spark, root, ids, ["a"], T[0], T[3] + timedelta(hours=1))
+    assert sorted(r["value"] for r in read.collect()) == [5.0, 11.0, 30.0, 40.0]
