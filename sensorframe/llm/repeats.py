@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,19 +160,26 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last] + [pa.array([several])], names=[*names, "many"])
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bounds of each row's list and the fields of all its structs as arrays; a
+    null list has no entries."""
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
+    return np.append(0, np.cumsum(sizes)), [f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()]
+
+
 def _slices(length: int):
     """(row, doc, body, want) -> (gram, doc, row, start, n, hot, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cuts, (gram, start, n, hot) = _lists(b.column(3))
+            rows, docs = (b.column(k).to_numpy() for k in (0, 1))
             for i in range(b.num_rows):
-                body, want = _unpack(b.column(2)[i].as_py()), b.column(3)[i].as_py()
-                want.sort(key=lambda w: w["start"])
-                raw, k = body.tobytes(), len(want)
+                raw, at = _unpack(b.column(2)[i].as_py()).tobytes(), slice(cuts[i], cuts[i + 1])
+                parts = [raw[s:s + m + length - 1] for s, m in zip(start[at].tolist(), n[at].tolist(), strict=True)]
+                k = len(parts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([w["gram"] for w in want], pa.int64()), pa.array([b.column(1)[i].as_py()] * k, pa.int64()),
-                    pa.array([b.column(0)[i].as_py()] * k, pa.int64()), pa.array([w["start"] for w in want], pa.int64()),
-                    pa.array([w["n"] for w in want], pa.int32()), pa.array([w["hot"] for w in want], pa.bool_()),
-                    pa.array([raw[w["start"]:w["start"] + w["n"] + length - 1] for w in want], pa.binary())],
+                    pa.array(gram[at]), pa.array(np.full(k, docs[i])), pa.array(np.full(k, rows[i])), pa.array(start[at]),
+                    pa.array(n[at]), pa.array(hot[at].astype(bool)), pa.array(parts, pa.binary())],
                     names=["gram", "doc", "row", "start", "n", "hot", "part"])
     return run
 
@@ -256,16 +264,15 @@ def _rest(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, spans, digests, kept = [], [], [], []
+            cuts, (start, size) = _lists(b.column(3))
             for i in range(b.num_rows):
                 data = _unpack(b.column(2)[i].as_py())
                 n = len(data) - length + 1
                 gone = np.zeros(len(data), bool)
                 if n > 0:
-                    old = np.ones(n, bool)
-                    new = b.column(3)[i]
-                    if new.is_valid:
-                        for run_ in new.as_py():
-                            old[run_["start"]:run_["start"] + run_["n"]] = False
+                    at = slice(cuts[i], cuts[i + 1])
+                    new = (np.bincount(start[at], minlength=n + 1) - np.bincount(start[at] + size[at], minlength=n + 1))
+                    old = np.cumsum(new[:-1]) == 0
                     # A byte goes when one of the last `length` starts is old.
                     steps = np.zeros(len(data) + 1, np.int32)
                     steps[:n] += old
@@ -305,7 +312,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piec
         F.when(F.col("many"), F.col("gram")).alias("gram"), "row", "start", "n"), "repeat-first")
     alone = first.filter("gram IS NULL").select("row", "start", "n")
     open_ = first.filter("gram IS NOT NULL")
-    busy = open_.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
+    # Saved, so that the join below is a plain one whose hot grams Spark can split.
+    busy = saved(open_.groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot")), "repeat-hot")
     size = open_.agg(F.sum(F.col("n") + length)).first()[0]
     new = alone
     if size:
