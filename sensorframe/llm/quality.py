@@ -6,8 +6,9 @@ learned from. A linear model minimises the non-negative unbiased risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 
 with the logistic loss l and an estimated share of good documents as prior.
-When the second term falls below zero, a step goes against it, as the
-non-negative estimator asks. Every whole text is then scored.
+While the second term is below zero it adds nothing, so that the fit cannot
+gain by pushing unlabelled texts below the share the prior leaves them. The
+weights of the later steps are averaged. Every whole text is then scored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import doc_texts, id_crc, mix64
 from .linear import Adam, back, sample_by_hash, score_rows, sigmoid
 
-#: Hashed features: shares of character pairs and triples, and a few ratios of the whole text.
-BITS, RATIOS = 12, 10
+#: Hashed features: shares of characters and of pairs of them, and a few ratios of the whole text.
+NGRAMS, BITS, RATIOS = (1, 2), 12, 10
 SIZE = (1 << BITS) + RATIOS
 #: Rows that the model is fitted on, at most: trusted positives, and unlabelled texts.
-POSITIVES, UNLABELLED = 2_000, 4_000
+POSITIVES, UNLABELLED = 4_000, 8_000
 THRESHOLD = 0.3
 PIECE = 1 << 20
 
@@ -38,7 +39,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts = np.zeros(1 << BITS, np.int64)
     for at in range(0, len(points), PIECE):
         p = points[at:at + PIECE + 2].astype(np.uint64)
-        for n in (1, 2, 3):
+        for n in NGRAMS:
             size = min(len(p) - n + 1, PIECE)
             if size > 0:
                 h = np.full(size, n, np.uint64)
@@ -71,24 +72,25 @@ class Model:
         return float(sigmoid(self.bias + self.weight[i] @ v))
 
 
-def fit_nnpu(pos, unl, prior: float, size: int, decay: float = 1e-4, rate: float = 0.05, steps: int = 200):
+def fit_nnpu(pos, unl, prior: float, size: int, decay: float = 1e-4, rate: float = 0.2, steps: int = 150):
     """(weights, bias) minimising the non-negative risk over sparse rows
-    ``pos`` and ``unl``, each (indices, values, bounds)."""
-    w, b, opt = np.zeros(size), 0.0, Adam(size + 1, rate)
+    ``pos`` and ``unl``, each (indices, values, bounds), neither empty."""
+    w, b, opt, mean = np.zeros(size), 0.0, Adam(size + 1, rate), np.zeros(size + 1)
     n_pos, n_unl = len(pos[2]) - 1, len(unl[2]) - 1
-    for _ in range(steps):
+    for step in range(steps):
         sp, su = score_rows(w, b, *pos), score_rows(w, b, *unl)
         # loss l(g) = log(1 + exp(-g)): l'(g) = -sigmoid(-g); as a negative, l(-g): derivative sigmoid(g)
         negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
         up_pos, up_unl = -prior * sigmoid(sp) / n_pos, sigmoid(su) / n_unl
-        if negative >= 0:
-            gp, gu = up_pos - prior * sigmoid(-sp) / n_pos, up_unl
-        else:
-            gp, gu = -up_pos, -up_unl
+        gp, gu = -prior * sigmoid(-sp) / n_pos, np.zeros(n_unl)
+        if negative > 0:
+            gp, gu = gp + up_pos, up_unl
         g = back(gp, *pos, size) + back(gu, *unl, size) + decay * w
         d = opt.step(np.append(g, gp.sum() + gu.sum()))
         w, b = w - d[:-1], b - d[-1]
-    return w, b
+        if step >= steps // 2:
+            mean += np.append(w, b) / (steps - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def _rows(docs: DataFrame, ids: DataFrame):
