@@ -98,9 +98,10 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     columns other than doc_id and text are not looked at.
     """
     rows = text_names(docs, block)
-    groups = rows.groupBy("blocks", "name").agg(
+    # Saved, so that the join below is a plain one whose large groups Spark can split.
+    groups = saved(rows.groupBy("blocks", "name").agg(
         F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id"), F.col("row"))).alias("best"))
+        F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id"), F.col("row"))).alias("best")), "block-groups")
     return rows.join(groups, ["blocks", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")

@@ -1,4 +1,4 @@
-"""Connected components by repeated smallest labels, over DataFrames only."""
+"""Connected components by contraction to smallest neighbours, over DataFrames only."""
 
 from __future__ import annotations
 
@@ -10,21 +10,25 @@ from .common import saved
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node of ``edges`` (two long columns); label is
-    the smallest node reachable. Every round takes the smallest label among a
-    node's neighbours and then the label of that label, and is written to the
+    the smallest node reachable. Every round merges each node into its smallest
+    neighbour's smallest neighbour and keeps only edges between different
+    merged nodes, at most half as many nodes as before. Rounds are written to the
     shared folder, so that lost executors cost one round."""
-    both = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(
-        edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "cc-edges")
-    labels = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-labels")
+    left = saved(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "cc-edges")
+    whole = None
     while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, labels["node"] == near["u"]).select(
-            "node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        of = labels.select(F.col("node").alias("n2"), F.col("label").alias("next"))
-        # Every label is a node itself, so the join finds it.
-        after = saved(stepped.join(of, F.col("label") == F.col("n2")).select(
-            "node", "was", F.least("label", "next").alias("label")), "cc-labels")
-        if after.filter("label <> was").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")), "cc-up")
+        step = saved(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("label")), "up").select(
+            F.col("a").alias("node"), "label"), "cc-step")
+        of_a, of_b = (step.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        left = saved(left.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+                     .filter("a <> b").distinct(), "cc-edges")
+        if whole is None:
+            whole = step
+        else:
+            after = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            whole = saved(whole.join(after, "label", "left").select(
+                "node", F.coalesce("next", "label").alias("label")), "cc-labels")
+        if left.isEmpty():
+            return whole

@@ -8,13 +8,17 @@ rather than plain overlap. Texts that share a sketch value are candidates.
 Candidates are aligned word by word inside a band; at least ``SIMILARITY`` of
 the longer text must stay without edits.
 
-Copies with the same words collapse first. The members of a sketch value are
-compared with a leader (large ones with sub-leaders that are compared with
-the leader), and linked texts form classes. Then members of one sketch value that
+Copies with the same words collapse first. Every text is compared with the
+leader of its most shared sketch value (in large groups with a sub-leader, which
+is compared with the leader), and linked texts form classes; in every value,
+the first text of each class is then compared with the value's first text. Then members of one sketch value that
 are still in different classes are compared with each other, unless a bound
 on word counts already rules them out, and the classes are joined. Pairs inside
-one class need no comparison, because the classes would not change. No
-sketch value is cut short.
+one class need no comparison, because the classes would not change. A value
+with many members in several classes comes from a passage that unrelated
+texts share; its members are compared when they share a second value too, which
+texts near ``SIMILARITY`` do but for odds of less than one in ten thousand. No sketch
+value is cut short.
 """
 
 from __future__ import annotations
@@ -33,9 +37,11 @@ from .common import WordIds, doc_texts, keep_rows, list_column, mix64, saved, sh
 from .components import components
 
 #: Words of a k-mer, k-mers of a sketch value, sketch values of a text, least similarity.
-KMER, PICKS, SKETCHES, SIMILARITY = 5, 3, 24, 0.8
+KMER, PICKS, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
 #: Sub-leaders of one sketch value.
 SUBLEADERS = 256
+#: Members of a sketch value in several classes beyond which a second shared value is asked for.
+WIDE = 64
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 32
 WORD = re.compile(r"\w+")
@@ -165,7 +171,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """One row per row of ``docs``: (doc_id, class_id, class_size, n_links, kept).
 
     class_id is the smallest doc_id of the class (null sorts first), class_size
-    its rows, n_links the verified links of the document's text to other texts,
+    its rows, n_links the links of the document's text that were verified to form the class,
     kept whether the row stays (one per class). Words are runs of letters, digits
     and underscores in lower case. Texts with the same words are copies of each
     other; texts without words (null, empty, signs only) are near to nothing.
@@ -178,51 +184,81 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                       "sketch array<long>, body binary"), "omh-table")
     # Copies collapse to their first row; texts without words stay apart.
     own = F.when(F.col("size") == 0, F.col("row")).otherwise(F.lit(-1))
-    groups = table.withColumn("own", own).groupBy("h1", "h2", "size", "own").agg(
-        F.min("row").alias("rep"))
+    groups = saved(table.withColumn("own", own).groupBy("h1", "h2", "size", "own").agg(
+        F.min("row").alias("rep")), "omh-groups")
     member = saved(table.withColumn("own", own).select("row", "doc_id", "h1", "h2", "size", "own").join(
         groups, ["h1", "h2", "size", "own"]).select("row", "doc_id", "rep"), "omh-members")
     reps = groups.filter("size >= " + str(KMER)).select(F.col("rep").alias("row"))
     drawn = saved(table.select("row", "size", "slots", "sketch").join(reps, "row", "left_semi")
                   .select("row", F.explode("sketch").alias("value")), "omh-values")
-    salted = drawn.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SUBLEADERS)))
+    facts = table.select("row", "size", "slots")
     # Values of one text need no comparison.
-    many = salted.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("value")
-    live = saved(salted.join(many, "value", "left_semi"), "omh-live")
-    subs = live.groupBy("value", "salt").agg(F.min("row").alias("sub"))
-    heads = subs.groupBy("value").agg(F.min("sub").alias("head"))
-    to_sub = live.join(subs, ["value", "salt"]).select(F.col("sub").alias("a"), F.col("row").alias("b"))
+    many = drawn.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    live = saved(drawn.join(many, "value"), "omh-live")
+    # First every text with the leader of its most shared value, through a sub-leader.
+    chosen = live.groupBy("row").agg(F.max(F.struct("members", "value"))["value"].alias("value")).withColumn(
+        "salt", F.pmod(F.xxhash64("row"), F.lit(SUBLEADERS)))
+    subs = saved(chosen.groupBy("value", "salt").agg(F.min("row").alias("sub")), "omh-subs")
+    heads = saved(subs.groupBy("value").agg(F.min("sub").alias("head")), "omh-heads")
+    to_sub = chosen.join(subs, ["value", "salt"]).select(F.col("sub").alias("a"), F.col("row").alias("b"))
     to_head = subs.join(heads, "value").select(F.col("head").alias("a"), F.col("sub").alias("b"))
-    first = to_sub.unionByName(to_head).filter("a <> b").distinct()
-    facts = table.select("row", "size", "slots")
-    tested = saved(verified(saved(_possible(first, facts, similarity), "omh-pairs"), table, similarity, "omh-1"), "omh-tested")
-    links = tested.filter("same").select("a", "b")
-    label = components(links)
-    # Members of one value in different classes, compared once each.
-    placed = live.join(label, live["row"] == label["node"], "left").select(
-        "value", "row", F.coalesce("label", "row").alias("label"))
-    mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("value")
-    split = saved(placed.join(mixed, "value", "left_semi"), "omh-split")
-    l, r = split.alias("l"), split.alias("r")
+
+    def test(pairs, done, step):
+        fresh = pairs.filter("a <> b").distinct()
+        if done is not None:
+            fresh = fresh.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        got = saved(verified(saved(_possible(fresh, facts, similarity), "omh-pairs"), table, similarity, step), "omh-tested")
+        return got if done is None else saved(done.unionByName(got), "omh-tested")
+
+    def classes_of(tested):
+        label = components(tested.filter("same").select("a", "b"))
+        return label, live.join(label, live["row"] == label["node"], "left").select(
+            "value", "row", F.coalesce("label", "row").alias("label"))
+
+    tested = test(to_sub.unionByName(to_head), None, "omh-1")
+    _, placed = classes_of(tested)
+    # Then the first text of every class in a value with the value's first text.
+    firsts = saved(_mixed(placed).groupBy("value", "label").agg(F.min("row").alias("row")), "omh-firsts")
+    heads = saved(firsts.groupBy("value").agg(F.min("row").alias("head")), "omh-heads")
+    tested = test(firsts.join(heads, "value").select(F.col("head").alias("a"), F.col("row").alias("b")), tested, "omh-2")
+    _, placed = classes_of(tested)
+    # Last, members of one value in different classes, compared once each.
+    split = saved(_mixed(placed), "omh-split")
+    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label")
+    second = split.filter(F.col("members") > WIDE).join(table.select("row", "sketch"), "row").select(
+        F.col("value").alias("one"), "row", "label", F.explode("sketch").alias("two")).filter("one <> two")
+    # The pair of values, as one key.
+    wide = _mixed(second.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("value"), "row", "label")
+                  .distinct()).select("value", "row", "label")
+    keyed = saved(narrow.unionByName(wide), "omh-keyed")
+    l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
                     & (F.col("l.label") != F.col("r.label"))).select(F.col("l.row").alias("a"), F.col("r.row").alias("b"))
-    new = across.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(verified(saved(_possible(new, facts, similarity), "omh-pairs"), table, similarity, "omh-2"), "omh-tested")
-    if not more.filter("same").isEmpty():
-        links = links.unionByName(more.filter("same").select("a", "b"))
-        label = components(links)
+    tested = test(across, tested, "omh-3")
+    label, _ = classes_of(tested)
+    links = tested.filter("same").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # Back to rows: every row takes the class of its representative.
     rows = member.join(label, member["rep"] == label["node"], "left").select(
         "row", "doc_id", "rep", F.coalesce("label", "rep").alias("label"))
-    classes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"),
-                                        F.min(F.struct("doc_id", "row")).alias("best"))
+    rows = saved(rows, "omh-rows")
+    # Saved, so that the join below is a plain one whose large classes Spark can split.
+    classes = saved(rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"),
+                                              F.min(F.struct("doc_id", "row")).alias("best")), "omh-classes")
     return (rows.join(classes, "label").join(degree, F.col("rep") == F.col("node"), "left")
             .select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size",
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     (F.col("row") == F.col("best.row")).alias("kept")))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (value, row, label) whose value has several labels,
+    with the value's number of members."""
+    several = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                          F.count(F.lit(1)).alias("members")).filter("lo < hi")
+    return placed.join(several.select("value", "members"), "value").select("value", "row", "label", "members")
+
+
 def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
     """Pairs that word counts don't rule out: an edit changes the counts of the
     slots by one up and one down at most, so the larger of the words to add and
