@@ -43,7 +43,7 @@ SUBLEADERS = 256
 #: Members of a sketch value in several classes beyond which a second shared value is asked for.
 WIDE = 64
 #: Slots of the word counts that bound the edits between two texts from below.
-SLOTS = 32
+SLOTS = 128
 WORD = re.compile(r"\w+")
 
 
@@ -207,7 +207,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         fresh = pairs.filter("a <> b").distinct()
         if done is not None:
             fresh = fresh.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        got = saved(verified(saved(_possible(fresh, facts, similarity), "omh-pairs"), table, similarity, step), "omh-tested")
+        if done is None or step == "omh-2":  # later pairs were bounded by the join that made them
+            fresh = _possible(fresh, facts, similarity)
+        got = saved(verified(saved(fresh, "omh-pairs"), table, similarity, step), "omh-tested")
         return got if done is None else saved(done.unionByName(got), "omh-tested")
 
     def classes_of(tested):
@@ -230,10 +232,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # The pair of values, as one key.
     wide = _mixed(second.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("value"), "row", "label")
                   .distinct()).select("value", "row", "label")
-    keyed = saved(narrow.unionByName(wide), "omh-keyed")
+    keyed = saved(narrow.unionByName(wide).join(facts, "row"), "omh-keyed")
     l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
-                    & (F.col("l.label") != F.col("r.label"))).select(F.col("l.row").alias("a"), F.col("r.row").alias("b"))
+                    & (F.col("l.label") != F.col("r.label")) & _in_reach("l.", "r.", similarity)).select(
+        F.col("l.row").alias("a"), F.col("r.row").alias("b"))
     tested = test(across, tested, "omh-3")
     label, _ = classes_of(tested)
     links = tested.filter("same").select("a", "b")
@@ -259,16 +262,23 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(several.select("value", "members"), "value").select("value", "row", "label", "members")
 
 
+def _in_reach(a: str, b: str, similarity: float):
+    """Whether word counts (columns size and slots of two sides) leave a pair
+    possible: an edit changes the counts of the slots by one up and one down at
+    most, so the larger of the words to add and the words to remove bounds the
+    edits from below."""
+    gain = F.aggregate(F.zip_with(F.col(a + "slots"), F.col(b + "slots"), lambda x, y: F.greatest(x - y, F.lit(0))),
+                       F.lit(0), lambda s, x: s + x)
+    na, nb = F.col(a + "size"), F.col(b + "size")
+    most = F.lit(1 - similarity) * F.greatest(na, nb) + 1e-9
+    return (F.abs(na - nb) <= most) & (F.greatest(gain, gain + nb - na) <= most)
+
+
 def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that word counts don't rule out: an edit changes the counts of the
-    slots by one up and one down at most, so the larger of the words to add and
-    the words to remove bounds the edits from below."""
-    left = facts.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("slots").alias("sa"))
-    right = facts.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("slots").alias("sb"))
-    gain = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    edits = F.greatest(gain, gain + F.col("nb") - F.col("na"))
-    most = F.lit(1 - similarity) * F.greatest("na", "nb") + 1e-9
-    return pairs.join(left, "a").join(right, "b").filter(edits <= most).select("a", "b")
+    """Pairs that word counts don't rule out."""
+    return (pairs.join(facts.withColumnRenamed("row", "a").alias("x"), "a")
+            .join(facts.withColumnRenamed("row", "b").alias("y"), "b")
+            .filter(_in_reach("x.", "y.", similarity)).select("a", "b"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
