@@ -100,21 +100,18 @@ def bin_number(ts, frequency: str):
 
 def rolling_mean_dense(df: DataFrame, n: int, frequency: str, keys=("ID", "type"), ts: str = "timestamp",
                        value: str = "value") -> DataFrame:
-    """Rolling mean of a gap-filled (dense) resampled frame.
-
-    Every series has one row per bin from its first to its last bin, so the
-    bin number is the row index and the frame is a RANGE over bin numbers.
-    A resampled series holds at most (time span / bin step) rows whatever
-    the raw volume, so one window partition per series is bounded; frames
-    from ``resample_series`` are already partitioned by ``(ID, type)`` and
-    the window adds no exchange. Equal to :func:`rolling_mean` on such frames.
+    """Rolling mean over the last ``n`` rows of a gap-filled (dense) resampled
+    frame, rows in order of their bin. A sensor with several metadata rows has
+    several rows per bin; they count one by one, ordered by value (NULLs last).
+    A resampled series holds at most (time span / bin step) rows per metadata row
+    whatever the raw volume, so one window partition per series is bounded.
     """
     if not n or n <= 1:
         return df
     keys = list(keys)
     cols = df.columns
     d = df.withColumn("_idx", bin_number(ts, frequency))
-    frame = Window.partitionBy(*keys).orderBy("_idx").rangeBetween(-(n - 1), 0)
+    frame = Window.partitionBy(*keys).orderBy("_idx", F.col(value).asc_nulls_last()).rowsBetween(-(n - 1), 0)
     rolled = d.withColumn("_rv", F.avg(F.col(value)).over(frame))
     null_key = F.lit(False)
     for c in keys:

@@ -1,11 +1,14 @@
 """Data-quality checks (C1-C4): one ``(Check, OK, Details)`` row per check.
 
-Every check catches its own error and reports it as a failed row. Column
-checks look at schemas only; the probe reads seven days of one sensor.
+A check is a requirement with a name and a finding: a function that returns
+None when the requirement holds, or what is wrong, or raises. Requirements on columns
+look at schemas only; the probe reads one week of one sensor.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,64 +17,63 @@ from pyspark.sql import functions as F
 from sensorframe import model
 from sensorframe.sources.facts import read_timeseries
 from sensorframe.sources.metadata import normalize_metadata, pick_column
-from sensorframe.sources.schema import missing_columns
 
-FACT_REQUIRED = ["timestamp", "value", "ID", "type"]
+#: Columns of a reading; every entry lists alternatives of which one is enough.
+READING = [["timestamp"], ["value"], ["ID"], ["type"]]
+SENSOR = [["id"], list(model.NODE_TYPE_ALIASES)]
+
+
+@dataclass
+class Requirement:
+    name: str
+    finding: Callable[[], str | None]
+    success: Callable[[], str] = lambda: "OK"
+
+    def row(self) -> tuple[str, bool, str]:
+        try:
+            wrong = self.finding()
+            return (self.name, wrong is None, self.success() if wrong is None else wrong)
+        except Exception as exc:  # noqa: BLE001  (a check that cannot run has failed)
+            return (self.name, False, str(exc))
+
+
+def _lacking(table: DataFrame | None, needed: list[list[str]]) -> str | None:
+    if table is None:
+        return "no such table"
+    absent = ["|".join(names) for names in needed if pick_column(table.columns, names) is None]
+    return f"Missing: {absent}" if absent else None
 
 
 def quality_checks(spark: SparkSession, history: DataFrame | None, env: DataFrame | None,
                    meta_raw: DataFrame | None, now: datetime,
                    routing: model.ChannelRouting = model.DEFAULT_ROUTING) -> DataFrame:
-    checks: list[tuple[str, bool, str]] = []
-
-    # The sources answer.
-    try:
-        for df in (history, env, meta_raw):
-            if df is None:
-                raise RuntimeError("source not configured")
-            df.schema  # noqa: B018  (resolves the relation)
-        checks.append(("Source reachable", True, "OK"))
-    except Exception as exc:  # noqa: BLE001
-        checks.append(("Source reachable", False, str(exc)))
-
-    # Required columns.
-    for name, df in (("history", history), ("env", env)):
-        try:
-            miss = missing_columns(df, FACT_REQUIRED)
-            checks.append((f"{name} columns", not miss, f"Missing: {miss}" if miss else "OK"))
-        except Exception as exc:  # noqa: BLE001
-            checks.append((f"{name} present", False, str(exc)))
-    try:
-        miss = []
-        if pick_column(meta_raw.columns, ["id"]) is None:
-            miss.append("id")
-        if not set(meta_raw.columns) & set(model.NODE_TYPE_ALIASES):
-            miss.append("|".join(model.NODE_TYPE_ALIASES))
-        checks.append(("metadata columns", not miss, f"Missing: {miss}" if miss else "OK"))
-    except Exception as exc:  # noqa: BLE001
-        checks.append(("metadata present", False, str(exc)))
-
-    meta = None
-    # Seven-day probe of the first sensor returns the four columns.
-    try:
-        meta = normalize_metadata(meta_raw)
-        first = meta.agg(F.min("id")).first()[0]
-        if first is None:
-            checks.append(("Timeseries probe", False, "metadata empty"))
-        else:
-            probe = read_timeseries(spark, history, env, [first], list(routing.default_channels),
-                                    now - timedelta(days=7), now, routing)
-            ok = set(FACT_REQUIRED).issubset(probe.columns)
-            checks.append(("Timeseries probe", ok, f"{probe.count()} rows" if ok else "columns incomplete"))
-    except Exception as exc:  # noqa: BLE001
-        checks.append(("Timeseries probe", False, str(exc)))
-
-    # C4: metadata has a vanity (a non-null value in the raw table).
-    try:
-        col = pick_column(meta_raw.columns, ["vanity"])
-        has = col is not None and meta_raw.filter(F.col(f"`{col}`").isNotNull()).limit(1).count() > 0
-        checks.append(("Metadata has 'vanity'", bool(has), "OK" if has else "missing"))
-    except Exception as exc:  # noqa: BLE001
-        checks.append(("Metadata has 'vanity'", False, str(exc)))
-
-    return spark.createDataFrame(checks, model.CHECK_SCHEMA)
+    """The rows of all requirements, in a fixed order."""
+    tables = {"history": history, "env": env, "metadata": meta_raw}
+    probed: dict[str, int] = {}
+
+    def unresolved() -> str | None:
+        absent = [name for name, table in tables.items() if table is None or not table.schema.fields]
+        return f"No columns or no table: {absent}" if absent else None
+
+    def probe() -> str | None:
+        sensor = normalize_metadata(meta_raw).agg(F.min("id")).first()[0]
+        if sensor is None:
+            return "metadata empty"
+        week = read_timeseries(spark, history, env, [sensor], list(routing.default_channels),
+                               now - timedelta(days=7), now, routing)
+        probed["rows"] = week.count()
+        return _lacking(week, READING)
+
+    def unnamed() -> str | None:
+        column = pick_column(meta_raw.columns, ["vanity"])
+        return "missing" if column is None or meta_raw.filter(F.col(f"`{column}`").isNotNull()).isEmpty() else None
+
+    requirements = [
+        Requirement("Source reachable", unresolved),
+        Requirement("history columns", lambda: _lacking(history, READING)),
+        Requirement("env columns", lambda: _lacking(env, READING)),
+        Requirement("metadata columns", lambda: _lacking(meta_raw, SENSOR)),
+        Requirement("Timeseries probe", probe, lambda: f"{probed['rows']} rows"),
+        Requirement("Metadata has 'vanity'", unnamed),
+    ]
+    return spark.createDataFrame([r.row() for r in requirements], model.CHECK_SCHEMA)

@@ -192,7 +192,7 @@ def read_incremental(spark: SparkSession, root: str, table: str) -> DataFrame |
     p = table_path(root, table)
     if not list_dirs(spark, p):
         return None
-    return spark.read.parquet(p)
+    return spark.read.option("mergeSchema", "true").parquet(p)  # days written before a column was added lack it
 
 
 def _target_high_water(spark, root, table, ts) -> datetime | None:
@@ -236,12 +236,15 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
             keep = current.filter((F.col("date") == date_lit(cut_day)) & (F.col(ts) < ts_lit(cutoff)))
             if not keep.isEmpty():
                 keep_days.add(cut_day.isoformat())
-            tail = tail.unionByName(keep.select(*tail.columns))
+            tail = tail.unionByName(keep, allowMissingColumns=True)  # the source may have gained columns
         (tail.hint("rebalance", "date")
          .sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(path))
         m = observed(obs, ["rows", "max_ts", "days"])
+        if m["days"] is None and not src_tail.isEmpty():
+            # Metrics were lost: no day may be removed on that ground.
+            raise RuntimeError(f"no metrics of the write of {table}, though its source has rows")
         rows = int(m["rows"] or 0)
         keep_days |= {d.isoformat() for d in (m["days"] or []) if d is not None}
 

@@ -37,9 +37,12 @@ def range_predicates(start: datetime, end: datetime, partitions: int,
 
 
 def fact_query(table: str, ids, channels) -> str:
-    """Sub-select with the four columns and id / channel membership."""
+    """Sub-select with the four columns and id / channel membership: None asks
+    for all, an empty list for none."""
     cols = ", ".join(_q(c) for c in model.FACT_COLUMNS)
     where = []
+    if any(x is not None and not list(x) for x in (ids, channels)):
+        where.append("1 = 0")
     if ids:
         where.append(f"{_q('ID')} IN ({', '.join(_lit(i) for i in ids)})")
     if channels:

@@ -20,7 +20,9 @@ def test_entry_runs(spark):
     assert df.columns == ["ID", "type", "vanity", "building", "floor", "area", "nodeTypeName", "timestamp", "value"]
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q)
-    assert set(q) - set(s) == {"describe_table"}
+    from sensorframe.plans import registry
+    assert set(registry.Q) <= set(q)
+    assert set(registry.Q) - set(registry.SQL) == {"describe_table"}
 
 
 def test_range_and_channel_pushed_to_scan(spark):

@@ -70,3 +70,19 @@ def test_channels_for_types_fixed_map(spark):
     all_channels = sorted(r[0] for r in facets.channels_for_types(
         spark.createDataFrame([(k,) for k in model.SENSOR_CHANNELS], "sensor_type string")).collect())
     assert all_channels == sorted(model.DEFAULT_CHANNELS)
+
+
+def test_empty_jdbc_lists_read_nothing():
+    from sensorframe.sources.jdbc import fact_query
+    assert "1 = 0" in fact_query("t", [], ["a"]) and "1 = 0" in fact_query("t", [1], [])
+    assert "1 = 0" not in fact_query("t", None, ["a"])
+
+
+def test_rolling_mean_counts_rows_of_repeated_metadata(spark):
+    from datetime import datetime
+
+    from sensorframe.operators.smooth import rolling_mean_dense
+    rows = [(datetime(2024, 1, d), float(d - 1), 1, "a", b) for d in (1, 2, 3) for b in ("x", "y")]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, value double, ID long, type string, building string")
+    got = sorted((r.timestamp.day, round(r.value, 3)) for r in rolling_mean_dense(df, 3, "D").collect())
+    assert got == [(1, 0.0), (1, 0.0), (2, 0.333), (2, 0.667), (3, 1.333), (3, 1.667)]
