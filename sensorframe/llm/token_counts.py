@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import doc_texts, list_column, saved
 
 #: Characters of text that are inverted together; bounds a task's memory.
-BLOCK_CHARS = 4_000_000
-#: Largest offset of a document in its block and largest frequency of one entry (two bytes each).
+BLOCK_CHARS = 16_000_000
+#: Largest offset of a document in its block and largest frequency of one entry: two bytes each of one integer.
 SHORT = 32_767
 #: Last character of the part of Unicode that the fast path cuts by itself.
 LATIN = 0x24F
@@ -91,27 +91,25 @@ def _invert(path: str, block_chars: int):
         cutter = PreTokens(path)
         for batch in batches:
             rows, texts = batch.column(0).to_numpy(zero_copy_only=False).tolist(), batch.column(1)
-            who, freq, chars, base = defaultdict(list), defaultdict(list), 0, None
+            held, chars, base = defaultdict(list), 0, None
             for i, row in enumerate(rows):
                 text = texts[i].as_py()
                 counted, special = cutter.count(text)
                 base = row if base is None else base
                 # The row's own entry comes first, so that texts without tokens are counted too.
                 for t, n in (("", special), *counted.items()):
+                    at = (row - base) << 16
                     while n > SHORT:
-                        who[t].append(row - base)
-                        freq[t].append(SHORT)
+                        held[t].append(at | SHORT)
                         n -= SHORT
-                    who[t].append(row - base)
-                    freq[t].append(n)
+                    held[t].append(at | n)
                 chars += len(text)
                 if chars >= block_chars or i + 1 == len(rows) or not 0 <= rows[i + 1] - base <= SHORT:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(list(who), pa.string()), pa.array([base] * len(who), pa.int64()),
-                        list_column([np.array(x, np.int16) for x in who.values()], pa.int16()),
-                        list_column([np.array(x, np.int16) for x in freq.values()], pa.int16())],
-                        names=["pretoken", "base", "who", "freq"])
-                    who, freq, chars, base = defaultdict(list), defaultdict(list), 0, None
+                        pa.array(list(held), pa.string()), pa.array([base] * len(held), pa.int64()),
+                        list_column([np.array(x, np.int32) for x in held.values()], pa.int32())],
+                        names=["pretoken", "base", "held"])
+                    held, chars, base = defaultdict(list), 0, None
     return run
 
 
@@ -138,10 +136,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     rows = doc_texts(docs).withColumn("row", F.monotonically_increasing_id())
     facts = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     blocks = saved(rows.select("row", "text").mapInArrow(
-        _invert(path, block_chars), "pretoken string, base long, who array<short>, freq array<short>"), "pretokens")
+        _invert(path, block_chars), "pretoken string, base long, held array<int>"), "pretokens")
     words = blocks.select("pretoken").distinct().mapInArrow(_pieces(path), "word string, pieces int")
     sums = (blocks.join(words, F.col("pretoken") == F.col("word"))
-            .select("pieces", "base", F.explode(F.arrays_zip("who", "freq")).alias("e"))
-            .groupBy((F.col("base") + F.col("e.who")).alias("row")).agg(F.sum(F.col("pieces") * F.col("e.freq")).alias("n_tokens")))
+            .select("pieces", "base", F.explode("held").alias("e"))
+            .groupBy((F.col("base") + F.shiftright("e", 16)).alias("row"))
+            .agg(F.sum(F.col("pieces") * F.col("e").bitwiseAND(F.lit(0xFFFF))).alias("n_tokens")))
     return facts.join(sums, "row").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
