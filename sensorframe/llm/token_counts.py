@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, list_column, saved
 
 #: Characters of text that are inverted together; bounds a task's memory.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 #: Largest offset of a document in its block and largest frequency of one entry: two bytes each of one integer.
 SHORT = 32_767
 #: Last character of the part of Unicode that the fast path cuts by itself.
