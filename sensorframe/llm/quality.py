@@ -8,7 +8,8 @@ learned from. A linear model minimises the non-negative unbiased risk
 with the logistic loss l and an estimated share of good documents as prior.
 While the second term is below zero it adds nothing, so that the fit cannot
 gain by pushing unlabelled texts below the share the prior leaves them. The
-weights of the later steps are averaged. Every whole text is then scored.
+weights of the later steps are averaged, and the bias is set so that the mean
+score of the unlabelled texts equals the prior. Every whole text is then scored.
 """
 
 from __future__ import annotations
@@ -93,6 +94,15 @@ def fit_nnpu(pos, unl, prior: float, size: int, decay: float = 1e-4, rate: float
     return mean[:-1], float(mean[-1])
 
 
+def bias_for_mean(scores: np.ndarray, mean: float) -> float:
+    """What to add to ``scores`` so that their sigmoids average ``mean``."""
+    low, high = -scores.max() - 20.0, -scores.min() + 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sigmoid(scores + mid).mean() > mean else (mid, high)
+    return float((low + high) / 2)
+
+
 def _rows(docs: DataFrame, ids: DataFrame):
     """Features of the documents ``ids`` (a bounded sample), by doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if len(rows[1][2]) < 2 or len(rows[0][2]) < 2:
         return flat
     w, b = fit_nnpu(rows[1], rows[0], prior, SIZE)
-    return Model(w, float(b))
+    return Model(w, b + bias_for_mean(score_rows(w, b, *rows[0]), prior))
 
 
 def training_side(frame: DataFrame) -> DataFrame:

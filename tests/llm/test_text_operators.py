@@ -373,6 +373,13 @@ def test_quality(spark, docs):
     assert {round(r.score, 6) for r in quality.score(docs(rows[:5]), flat).collect()} == {0.5}
 
 
+def test_bias_for_mean():
+    g = np.array([-30.0, -2.0, 0.5, 4.0, 9.0])
+    for mean in (0.01, 0.3, 0.86, 0.99):
+        shift = quality.bias_for_mean(g, mean)
+        assert abs((1 / (1 + np.exp(-(g + shift)))).mean() - mean) < 1e-6
+
+
 def test_quotes(spark):
     rows = [(1, 10, "a", "First words here.\nSecond line of it."),
             (2, 20, "b", "> First  WORDS here.\n> Second line of it.\nI agree."),
@@ -390,3 +397,17 @@ def test_quotes(spark):
     assert got[3].text == "Me too." and got[3].n_quotes == 2 and got[3].n_linked == 2
     assert got[10].n_quotes == 2 and got[10].n_linked == 2
     assert quotes.conversations(m.filter("false")).count() == 0
+
+
+def test_long_reply_chain(spark):
+    said = [f"Message number {i} says thing {i * i}" for i in range(41)]
+    rows = [(i, i, "a", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(41)]
+    rows += [(100 + i, 100 + i, "b", f"> {said[0]}\nAnswer {i} to the first") for i in range(5)] + [(200, 200, "c", "Alone here")]
+    m = spark.createDataFrame(rows, "msg_id long, sent long, author string, text string")
+    got = {r.msg_id: r for r in quotes.conversations(m).collect()}
+    assert len(got) == 47
+    for i in range(41):
+        assert (got[i].conversation, got[i].turn, got[i].depth) == (0, i, i)
+        assert got[i].parent_id == (i - 1 if i else None)
+    assert {(got[100 + i].conversation, got[100 + i].parent_id, got[100 + i].depth) for i in range(5)} == {(0, 0, 1)}
+    assert (got[200].conversation, got[200].turn, got[200].depth) == (200, 0, 0)
