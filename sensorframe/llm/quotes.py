@@ -130,18 +130,18 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.min(F.struct("level", "run", "found"))["found"].alias("parent_id"), F.count(F.lit(1)).alias("n_linked"))
     rows = saved(parsed.select("msg_id", "sent").join(parents, "msg_id", "left").select(
         "msg_id", "sent", "parent_id", F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "quote-parents")
-    # Ancestors by doubling: after k rounds every message knows its 2^k-th ancestor or the first message.
-    step = rows.select("msg_id", F.coalesce("parent_id", "msg_id").alias("up"),
-                       F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    while True:
-        above = step.select(F.col("msg_id").alias("a"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        after = saved(step.join(above, F.col("up") == F.col("a")).select(
-            "msg_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"),
-            (F.col("d2") > 0).alias("moved")), "quote-roots")
-        step = after.drop("moved")
-        if after.filter("moved").isEmpty():
-            break
-    placed = rows.join(step, "msg_id").select("msg_id", "sent", "parent_id", "n_linked", F.col("up").alias("conversation"), "depth")
+    # Ancestors by doubling: a row is known once its ancestor is a first message, and only the others go on.
+    depth = lambda n: F.lit(n).cast("long").alias("depth")
+    known = rows.filter("parent_id IS NULL").select("msg_id", F.col("msg_id").alias("up"), depth(0))
+    left = rows.filter("parent_id IS NOT NULL").select("msg_id", F.col("parent_id").alias("up"), depth(1))
+    while not left.isEmpty():
+        above = known.withColumn("ends", F.lit(True)).unionByName(left.withColumn("ends", F.lit(False))).select(
+            F.col("msg_id").alias("a"), F.col("up").alias("up2"), F.col("depth").alias("d2"), "ends")
+        after = saved(left.join(above, F.col("up") == F.col("a")).select(
+            "msg_id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), "ends"), "quote-roots")
+        known = known.unionByName(after.filter("ends").drop("ends"))
+        left = after.filter("NOT ends").drop("ends")
+    placed = rows.join(known, "msg_id").select("msg_id", "sent", "parent_id", "n_linked", F.col("up").alias("conversation"), "depth")
     # turn: messages of earlier time buckets, then the rank inside the bucket.
     span = rows.agg(F.min("sent").alias("lo"), F.max("sent").alias("hi")).first()
     width = max(((span["hi"] or 0) - (span["lo"] or 0) + TIME_BUCKETS) // TIME_BUCKETS, 1)
