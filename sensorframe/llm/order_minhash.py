@@ -16,9 +16,10 @@ are still in different classes are compared with each other, unless a bound
 on word counts already rules them out, and the classes are joined. Pairs inside
 one class need no comparison, because the classes would not change. A value
 with many members in several classes comes from a passage that unrelated
-texts share; its members are compared when they share a second value too, which
-texts near ``SIMILARITY`` do but for odds of less than one in ten thousand. No sketch
-value is cut short.
+texts share; its members are compared when they share one of their rarest
+k-mers too: of two texts with ``SIMILARITY`` of their k-mers in common, each has
+a common one among its ``1 - SIMILARITY`` rarest, so none is lost. No sketch value
+is cut short.
 """
 
 from __future__ import annotations
@@ -40,26 +41,35 @@ from .components import components
 KMER, PICKS, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
 #: Sub-leaders of one sketch value.
 SUBLEADERS = 256
-#: Members of a sketch value in several classes beyond which a second shared value is asked for.
+#: Members of a sketch value in several classes beyond which a shared rare k-mer is asked for too.
 WIDE = 64
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 128
 WORD = re.compile(r"\w+")
 
 
-def sketch(ids: np.ndarray, k: int = KMER, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:
-    """Sketch values of a word sequence; none for fewer than ``k`` words. With
-    fewer k-mers than ``picks`` all of them are taken."""
+def labelled_kmers(ids: np.ndarray, k: int = KMER) -> np.ndarray:
+    """Hashes of the k-mers of a word sequence with their occurrence: the first,
+    second, ... of equal k-mers differ."""
     grams = shingle_hashes(ids, k)
     n = len(grams)
     if not n:
-        return np.empty(0, np.uint64)
+        return grams
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     nth = np.empty(n, np.uint64)
     nth[order] = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(np.uint64)
-    labelled = mix64(grams + nth * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(grams + nth * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketch(ids: np.ndarray, k: int = KMER, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:
+    """Sketch values of a word sequence; none for fewer than ``k`` words. With
+    fewer k-mers than ``picks`` all of them are taken."""
+    labelled = labelled_kmers(ids, k)
+    n = len(labelled)
+    if not n:
+        return np.empty(0, np.uint64)
     take = min(picks, n)
     out = np.empty(sketches, np.uint64)
     for s in range(sketches):
@@ -143,6 +153,40 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["row", "doc_id", "h1", "h2", "size", "slots", "sketch", "body"])
 
 
+def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, unpack = WordIds(), zstandard.ZstdDecompressor()
+    for b in batches:
+        rows = b.column(0).to_numpy(zero_copy_only=False)
+        held_rows, held, size = [], [], 0
+        for i, x in enumerate(b.column(1)):
+            kmers = labelled_kmers(ids.of(unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass").split(" "))).view(np.int64)
+            held_rows.append(np.full(len(kmers), rows[i]))
+            held.append(kmers)
+            size += len(kmers)
+            if size > 500_000 or i + 1 == len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held_rows), pa.int64()),
+                                                  pa.array(np.concatenate(held), pa.int64())], names=["row", "kmer"])
+                held_rows, held, size = [], [], 0
+
+
+def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(row, kmer) for the k-mers among the ``1 - similarity`` rarest of a row of
+    ``texts`` (row, size, body) that another row has too. Two rows with
+    ``similarity`` of the longer one's k-mers in common share one of these: ranked
+    in one order, the rarest common k-mer can't come later in either. Rows are
+    ranked by the number of texts that hold the k-mer, then by hash."""
+    kmers = saved(texts.select("row", "body").mapInArrow(_kmer_rows, "row long, kmer long"), "omh-kmers")
+    held = saved(kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "omh-held")
+    ranked = kmers.join(held, "kmer").groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("texts", "kmer"))).alias("common"))
+    total = F.col("size") - F.lit(KMER - 1)
+    rarest = total - F.ceil(similarity * total - 1e-9) + 1
+    # k-mers that no other row holds come first.
+    take = (rarest - (total - F.size("common"))).cast("int")
+    return (ranked.join(texts.select("row", "size"), "row").withColumn("take", take).filter("take > 0")
+            .select("row", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("row", "x.kmer"))
+
+
 def _aligned(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -227,11 +271,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # Last, members of one value in different classes, compared once each.
     split = saved(_mixed(placed), "omh-split")
     narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label")
-    second = split.filter(F.col("members") > WIDE).join(table.select("row", "sketch"), "row").select(
-        F.col("value").alias("one"), "row", "label", F.explode("sketch").alias("two")).filter("one <> two")
-    # The pair of values, as one key.
-    wide = _mixed(second.select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("value"), "row", "label")
-                  .distinct()).select("value", "row", "label")
+    placed = split.filter(F.col("members") > WIDE).select("row", "label").distinct()
+    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity)
+    wide = _mixed(rare.join(placed, "row").select(F.col("kmer").alias("value"), "row", "label")).select("value", "row", "label")
     keyed = saved(narrow.unionByName(wide).join(facts, "row"), "omh-keyed")
     l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))

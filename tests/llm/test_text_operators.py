@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import types as T
 
 from sensorframe.llm import (block_names, components, induced_sort, mixing, order_minhash, quality, quotes, repeats,
@@ -215,6 +216,46 @@ def test_band_distance():
         assert order_minhash.band_distance(a, b, most) == min(edit_distance(a, b), most + 1)
 
 
+def test_near_copies_among_texts_of_one_passage(docs):
+    """Over 64 unrelated texts share a passage, so that they share sketch
+    values; the near copies among them are found, the others stay apart."""
+    rng = random.Random(7)
+    passage, pairs = words(rng, 150), []
+    for i in range(100):
+        text = passage + words(rng, 70)
+        pairs.append((i, " ".join(text)))
+        if i % 9 == 0:
+            near = [*text]
+            near[170 + i % 40] = "changed"
+            pairs.append((1000 + i, " ".join(near)))
+    found = {r.doc_id: r for r in order_minhash.near_duplicates(docs(pairs)).collect()}
+    for i, _ in pairs:
+        twin = i % 1000 % 9 == 0
+        assert (found[i].class_id, found[i].class_size, found[i].n_links) == (i % 1000, 1 + twin, int(twin))
+
+
+def test_rare_kmers_are_shared_by_near_texts(spark):
+    rng, base = random.Random(8), None
+    texts = []
+    for _ in range(60):
+        text = [*base] if base and rng.random() < 0.7 else words(rng, rng.randrange(5, 80), 30)
+        if base:
+            text[rng.randrange(len(text))] = "w0"
+        texts.append(text)
+        base = text
+    table = spark.createDataFrame([(i, len(t), bytearray(zstandard.compress(" ".join(t).encode()))) for i, t in enumerate(texts)],
+                                  "row long, size int, body binary")
+    rare = {}
+    for r in order_minhash.rare_kmers(table).collect():
+        rare.setdefault(r.row, set()).add(r.kmer)
+    ids = order_minhash.WordIds()
+    kmers = [set(order_minhash.labelled_kmers(ids.of(t)).tolist()) for t in texts]
+    near = [(a, b) for b in range(60) for a in range(b) if len(kmers[a] & kmers[b]) >= 0.8 * max(len(kmers[a]), len(kmers[b]))]
+    assert near
+    assert all(rare.get(a, set()) & rare.get(b, set()) for a, b in near)
+    assert all(len(k) <= len(kmers[i]) - -(-len(kmers[i]) * 8 // 10) + 1 for i, k in rare.items())
+
+
 def test_near_duplicates(docs):
     rng = random.Random(8)
     base = [words(rng, 120) for _ in range(10)]
