@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     placed = split.filter(F.col("members") > WIDE).select("row", "label").distinct()
     rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity)
     wide = _mixed(rare.join(placed, "row").select(F.col("kmer").alias("value"), "row", "label")).select("value", "row", "label")
-    keyed = saved(narrow.unionByName(wide).join(facts, "row"), "omh-keyed")
+    # Dealt by row, so that the members of one value start in many tasks.
+    keyed = saved(narrow.unionByName(wide).join(facts, "row").repartition("row"), "omh-keyed")
     l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
                     & (F.col("l.label") != F.col("r.label")) & _in_reach("l.", "r.", similarity)).select(
