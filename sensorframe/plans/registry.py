@@ -514,7 +514,17 @@ def batch_load_stats(spark, d):
     return batches.batch_load_stats(loaded, ids, 50)
 
 
-@query("describe_table")
+_SPARK_TYPE = """CASE column_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'BLOB' THEN 'binary'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+  WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE lower(column_type) END"""
+
+
+@query("describe_table", f"""SELECT table_name, ordinal_position, column_name, data_type,
+       split_part(data_type, '<', 1) AS udt_name, is_nullable FROM (
+SELECT table_name, ordinal_position, column_name, {_SPARK_TYPE} AS data_type, "null" AS is_nullable FROM (
+""" + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, row_number() OVER () AS ordinal_position, column_name, column_type, \"null\" FROM (DESCRIBE {t})"
+    for t in DRIVER_TABLES) + "))")
 def describe_table(spark, d):
     return describe(spark, {t: dt.table(spark, d, t) for t in DRIVER_TABLES})
 
@@ -664,6 +674,21 @@ def read_through(spark, d):
     return snapshot.read_through(spark, root, h, e, ids, ALL_CHANNELS, s2, e2, ROUTING)
 
 
+@query("read_through_growing", f"""{BASE}
+SELECT * FROM facts WHERE "ID" IN {_EUROPE_IDS}
+  AND "timestamp" >= TIMESTAMP '2024-01-08' AND "timestamp" < TIMESTAMP '2024-01-13'""")
+def read_through_growing(spark, d):
+    """The source gains readings inside a day that an earlier preload asked for."""
+    root = work_dir(spark, "growing")
+    h, e, meta = dt.history(spark, d), dt.env(spark, d), _meta(spark, d)
+    ids = _ids_of(meta, facets.Selection(building=["EUROPE"]))
+    early = F.col("timestamp") < F.expr("TIMESTAMP_NTZ '2024-01-10 12:00:00'")
+    s1, e1 = filters.whole_days(date(2024, 1, 8), date(2024, 1, 10))
+    snapshot.preload(spark, root, h.filter(early), e.filter(early), ids, ALL_CHANNELS, s1, e1, ROUTING)
+    s2, e2 = filters.whole_days(date(2024, 1, 8), date(2024, 1, 12))
+    return snapshot.read_through(spark, root, h, e, ids, ALL_CHANNELS, s2, e2, ROUTING)
+
+
 # --- replication -------------------------------------------------------------
 
 SYNC_TABLES = dict(zip(model.REPLICA_INCREMENTAL_TABLES, [dt.history, dt.env]))

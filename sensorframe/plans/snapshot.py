@@ -24,6 +24,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
@@ -34,6 +35,7 @@ from sensorframe.sources.facts import coerce_facts, empty_facts, read_timeseries
 from sensorframe.sources.metadata import empty_metadata, normalize_metadata
 
 KEY = ["timestamp", "ID", "type"]
+COVERAGE_SCHEMA = "ID long, type string, from_ts timestamp_ntz, to_ts timestamp_ntz"
 TABLE_NAMES = dict(zip(["hierarchy", "history", "env"], model.SNAPSHOT_TABLES))
 
 
@@ -66,7 +68,9 @@ def _stored(spark: SparkSession, root: str) -> DataFrame | None:
     p = _facts_path(root)
     if not path_exists(spark, p):
         return None
-    return spark.read.parquet(p)
+    # The schema is given: after an empty load the folder holds no file to infer it from.
+    return spark.read.schema(T.StructType([*model.FACT_SCHEMA.fields, T.StructField("source_table", T.StringType()),
+                                           T.StructField("date", T.DateType())])).parquet(p)
 
 
 def append_facts(spark: SparkSession, root: str, facts: DataFrame,
@@ -161,7 +165,7 @@ def missing_ranges(spark: SparkSession, root: str, ids: DataFrame, channels, sta
     cp = _coverage_path(root)
     if not path_exists(spark, cp):
         return req.select("ID", "type", F.col("req_from").alias("from_ts"), F.col("req_to").alias("to_ts"))
-    led = spark.read.parquet(cp)
+    led = spark.read.schema(COVERAGE_SCHEMA).parquet(cp)
     iv = (led.join(req, ["ID", "type"])
           .filter((F.col("from_ts") < F.col("req_to")) & (F.col("to_ts") > F.col("req_from")))
           .select("ID", "type", "req_from", "req_to",
@@ -179,13 +183,35 @@ def missing_ranges(spark: SparkSession, root: str, ids: DataFrame, channels, sta
     return holes.unionByName(tails).unionByName(untouched)
 
 
+def _covered(spark: SparkSession, root: str, gaps: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The parts of fetched ``gaps`` up to the last reading known of each
+    (ID, type): stored in ``[start, end)``, or the end of earlier coverage."""
+    marks = []
+    stored = _stored(spark, root)
+    if stored is not None:
+        marks.append(stored.filter((F.col("date") >= date_lit(start)) & (F.col("date") <= date_lit(end))
+                                   & (F.col("timestamp") >= ts_lit(start)) & (F.col("timestamp") < ts_lit(end)))
+                     .select("ID", "type", F.col("timestamp").alias("seen")))
+    if path_exists(spark, _coverage_path(root)):
+        marks.append(spark.read.schema(COVERAGE_SCHEMA).parquet(_coverage_path(root)).select("ID", "type", F.col("to_ts").alias("seen")))
+    if not marks:
+        return gaps.limit(0)
+    seen = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
+    return (gaps.join(seen.groupBy("ID", "type").agg(F.max("seen").alias("seen")), ["ID", "type"])
+            .withColumn("to_ts", F.least("to_ts", "seen")).filter(F.col("from_ts") < F.col("to_ts"))
+            # The ledger is read above and appended to by the caller.
+            .select("ID", "type", "from_ts", "to_ts").checkpoint(eager=True))
+
+
 def read_through(spark: SparkSession, root: str, history: DataFrame | None, env: DataFrame | None,
                  ids: DataFrame, channels, start: datetime, end: datetime,
                  routing: model.ChannelRouting = model.DEFAULT_ROUTING,
                  snapshot_only: bool = False) -> DataFrame:
     """Serve from the snapshot; fetch, append and record what it lacks.
 
-    With ``snapshot_only`` the source is never read.
+    With ``snapshot_only`` the source is never read. A series counts as covered
+    only up to its last reading seen; what the source gains after that is
+    fetched by a later call (readings of one series arrive in time order).
     """
     if not snapshot_only:
         gaps = missing_ranges(spark, root, ids, channels, start, end).checkpoint(eager=True)
@@ -197,7 +223,7 @@ def read_through(spark: SparkSession, root: str, history: DataFrame | None, env:
                        .filter((F.col("timestamp") >= F.col("from_ts")) & (F.col("timestamp") < F.col("to_ts")))
                        .select(*model.FACT_COLUMNS))
             append_facts(spark, root, fetched, routing, g[0], g[1])
-            record_coverage(spark, root, gaps)
+            record_coverage(spark, root, _covered(spark, root, gaps, g[0], g[1]))
     return read_snapshot(spark, root, ids, channels, start, end, routing)
 
 

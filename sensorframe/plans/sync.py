@@ -216,7 +216,7 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
     copied; their number is reported in the run details."""
     run_id, started = _begin(spark, root, table, "incremental")
     rows = 0
-    cutoff = None
+    hwm = cutoff = None
     try:
         hwm = _target_high_water(spark, root, table, ts)
         cutoff = BASELINE if hwm is None else max(hwm - timedelta(hours=overlap_hours), BASELINE)
@@ -267,7 +267,7 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
                 source_max, target_max, next_cutoff)
     except Exception as exc:
         _finish(spark, root, run_id, table, "incremental", started, rows, "failed", str(exc),
-                None, None, cutoff)
+                None, hwm, cutoff)  # the target keeps its mark
         raise
     return run_id
 

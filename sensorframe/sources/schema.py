@@ -14,17 +14,19 @@ DESCRIBE_SCHEMA = T.StructType([
     T.StructField("ordinal_position", T.LongType(), False),
     T.StructField("column_name", T.StringType(), False),
     T.StructField("data_type", T.StringType(), False),
+    T.StructField("udt_name", T.StringType(), False),
     T.StructField("is_nullable", T.StringType(), False),
 ])
 
 
 def describe(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """``(table_name, ordinal_position, column_name, data_type, is_nullable)``
-    from each table's schema, in column order. No job runs on the data."""
+    """``(table_name, ordinal_position, column_name, data_type, udt_name, is_nullable)``
+    from each table's schema, in column order; ``udt_name`` is the type without its
+    parameters (``array`` of ``array<float>``). No job runs on the data."""
     rows = []
     for name, df in tables.items():
         for pos, f in enumerate(df.schema.fields, start=1):
-            rows.append((name, pos, f.name, f.dataType.simpleString(),
+            rows.append((name, pos, f.name, f.dataType.simpleString(), f.dataType.simpleString().split("<")[0].split("(")[0],
                          "YES" if f.nullable else "NO"))
     return spark.createDataFrame(rows, DESCRIBE_SCHEMA)
 

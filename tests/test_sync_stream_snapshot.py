@@ -92,6 +92,7 @@ def test_failing_run_keeps_table(spark):
     state = sync.sync_state(spark, root).first()
     assert state["run_status"] == "failed"
     assert 0 < len(state["last_error"]) <= model.MAX_ERROR_CHARS
+    assert state["target_max_timestamp"] == max(t for t, _ in TARGET)
     # the next run starts from the last good high-water mark
     sync.sync_incremental(spark, root, "t", _facts(spark, SOURCE), 0)
     assert _table(spark, root)[-1] == (T[3], 40.0)
@@ -137,7 +138,8 @@ def test_snapshot_append_idempotent_and_read_through(spark):
                      datetime(2024, 1, 2), datetime(2024, 1, 3))
     gaps = snapshot.missing_ranges(spark, root2, ids, ["tempc"], datetime(2024, 1, 1), datetime(2024, 1, 5))
     got = sorted((r["ID"], r["from_ts"], r["to_ts"]) for r in gaps.collect())
-    assert got == [(1, datetime(2024, 1, 1), datetime(2024, 1, 2)), (1, datetime(2024, 1, 3), datetime(2024, 1, 5)),
+    # Sensor 1 is covered up to its last reading seen, not to the end of the request.
+    assert got == [(1, datetime(2024, 1, 1), datetime(2024, 1, 2)), (1, datetime(2024, 1, 2, 12), datetime(2024, 1, 5)),
                    (2, datetime(2024, 1, 1), datetime(2024, 1, 5))]
     served = snapshot.read_through(spark, root2, hist, env, ids, ["occupancy", "tempc"],
                                    datetime(2024, 1, 1), datetime(2024, 1, 5))
@@ -152,6 +154,19 @@ def test_snapshot_append_idempotent_and_read_through(spark):
                      "nodes_history_env_cache": direct.filter("type = 'tempc'").count()}
 
 
+def test_read_through_follows_a_growing_source(spark):
+    root = work_dir(spark, "snaptest")
+    ids = spark.createDataFrame([(1,), (2,)], "ID long")
+    day = (datetime(2024, 1, 10), datetime(2024, 1, 11))
+    hours = lambda *hs: spark.createDataFrame([(datetime(2024, 1, 10, h), float(h), 1, "tempc") for h in hs], model.FACT_SCHEMA)
+    read = lambda env: sorted(r["timestamp"].hour for r in snapshot.read_through(
+        spark, root, None, env, ids, ["tempc"], *day).collect())
+    assert read(hours()) == []
+    assert read(hours(3)) == [3]
+    assert read(hours(3, 3, 9)) == [3, 9]
+    assert read(hours(3, 9, 17)) == [3, 9, 17]
+
+
 def test_clear_snapshot_and_meta_versions(spark):
     root = work_dir(spark, "snaptest")
     meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
