@@ -17,9 +17,10 @@ on word counts already rules them out, and the classes are joined. Pairs inside
 one class need no comparison, because the classes would not change. A value
 with many members in several classes comes from a passage that unrelated
 texts share; its members are compared when they share one of their rarest
-k-mers too: of two texts with ``SIMILARITY`` of their k-mers in common, each has
-a common one among its ``1 - SIMILARITY`` rarest, so none is lost. No sketch value
-is cut short.
+words too. An edit changes one word, so that texts that pass the alignment have
+``SIMILARITY`` of the longer text's words in common, and each has a common one among
+its ``1 - SIMILARITY`` rarest: no pair that the alignment accepts is lost, and the
+classes are the same as if all members were compared. No sketch value is cut short.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ from .components import components
 KMER, PICKS, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
 #: Sub-leaders of one sketch value.
 SUBLEADERS = 256
-#: Members of a sketch value in several classes beyond which a shared rare k-mer is asked for too.
+#: Members of a sketch value in several classes beyond which pairs are found by a shared rare word;
+#: it changes the work, not the classes.
 WIDE = 64
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 128
@@ -153,33 +155,38 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["row", "doc_id", "h1", "h2", "size", "slots", "sketch", "body"])
 
 
-def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, unpack = WordIds(), zstandard.ZstdDecompressor()
-    for b in batches:
-        rows = b.column(0).to_numpy(zero_copy_only=False)
-        held_rows, held, size = [], [], 0
-        for i, x in enumerate(b.column(1)):
-            kmers = labelled_kmers(ids.of(unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass").split(" "))).view(np.int64)
-            held_rows.append(np.full(len(kmers), rows[i]))
-            held.append(kmers)
-            size += len(kmers)
-            if size > 500_000 or i + 1 == len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held_rows), pa.int64()),
-                                                  pa.array(np.concatenate(held), pa.int64())], names=["row", "kmer"])
-                held_rows, held, size = [], [], 0
-
-
-def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _kmer_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unpack = WordIds(), zstandard.ZstdDecompressor()
+        for b in batches:
+            rows = b.column(0).to_numpy(zero_copy_only=False)
+            held_rows, held, size = [], [], 0
+            for i, x in enumerate(b.column(1)):
+                words = unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass").split(" ")
+                kmers = labelled_kmers(ids.of(words), k).view(np.int64)
+                held_rows.append(np.full(len(kmers), rows[i]))
+                held.append(kmers)
+                size += len(kmers)
+                if size > 500_000 or i + 1 == len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held_rows), pa.int64()),
+                                                      pa.array(np.concatenate(held), pa.int64())], names=["row", "kmer"])
+                    held_rows, held, size = [], [], 0
+    return run
+
+
+def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = KMER) -> DataFrame:
     """(row, kmer) for the k-mers among the ``1 - similarity`` rarest of a row of
     ``texts`` (row, size, body) that another row has too. Two rows with
     ``similarity`` of the longer one's k-mers in common share one of these: ranked
     in one order, the rarest common k-mer can't come later in either. Rows are
-    ranked by the number of texts that hold the k-mer, then by hash."""
-    kmers = saved(texts.select("row", "body").mapInArrow(_kmer_rows, "row long, kmer long"), "omh-kmers")
+    ranked by the number of texts that hold the k-mer, then by hash. With ``k`` 1
+    that holds for every pair of word-edit similarity ``similarity``; one edit
+    breaks up to ``k`` k-mers, so that longer ones miss such pairs."""
+    kmers = saved(texts.select("row", "body").mapInArrow(_kmer_rows(k), "row long, kmer long"), "omh-kmers")
     held = saved(kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "omh-held")
     ranked = kmers.join(held, "kmer").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("texts", "kmer"))).alias("common"))
-    total = F.col("size") - F.lit(KMER - 1)
+    total = F.col("size") - F.lit(k - 1)
     rarest = total - F.ceil(similarity * total - 1e-9) + 1
     # k-mers that no other row holds come first.
     take = (rarest - (total - F.size("common"))).cast("int")
@@ -270,15 +277,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     _, placed = classes_of(tested)
     # Last, members of one value in different classes, compared once each.
     split = saved(_mixed(placed), "omh-split")
-    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label")
-    placed = split.filter(F.col("members") > WIDE).select("row", "label").distinct()
-    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity)
-    wide = _mixed(rare.join(placed, "row").select(F.col("kmer").alias("value"), "row", "label")).select("value", "row", "label")
+    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(None).cast("array<long>").alias("wide"))
+    placed = saved(split.filter(F.col("members") > WIDE).groupBy("row", "label").agg(F.collect_set("value").alias("wide")), "omh-wide")
+    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity, 1)
+    wide = _mixed(rare.join(placed.select("row", "label"), "row").select(F.col("kmer").alias("value"), "row", "label"))
+    wide = wide.select("value", "row", "label").join(placed.select("row", "wide"), "row").select("value", "row", "label", "wide")
     # Dealt by row, so that the members of one value start in many tasks.
     keyed = saved(narrow.unionByName(wide).join(facts, "row").repartition("row"), "omh-keyed")
     l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
-                    & (F.col("l.label") != F.col("r.label")) & _in_reach("l.", "r.", similarity)).select(
+                    & (F.col("l.label") != F.col("r.label"))
+                    & F.coalesce(F.arrays_overlap("l.wide", "r.wide"), F.lit(True)) & _in_reach("l.", "r.", similarity)).select(
         F.col("l.row").alias("a"), F.col("r.row").alias("b"))
     tested = test(across, tested, "omh-3")
     label, _ = classes_of(tested)

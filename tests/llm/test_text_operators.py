@@ -234,6 +234,25 @@ def test_near_copies_among_texts_of_one_passage(docs):
         assert (found[i].class_id, found[i].class_size, found[i].n_links) == (i % 1000, 1 + twin, int(twin))
 
 
+def test_classes_do_not_depend_on_the_width_of_values(docs, monkeypatch):
+    """Near copies with scattered edits, which break all their own k-mers: found
+    in values of many members exactly where they are found in values of few."""
+    rng = random.Random(21)
+    passage, pairs = words(rng, 190), []
+    for i in range(24):
+        text = passage + words(rng, 60, 10 ** 6)
+        pairs.append((i, " ".join(text)))
+        if i % 3 == 0:
+            pairs.append((100 + i, " ".join(x if j < 190 or j % 4 else f"new{i}x{j}" for j, x in enumerate(text))))
+
+    def classes(wide):
+        monkeypatch.setattr(order_minhash, "WIDE", wide)
+        return {r.doc_id: (r.class_id, r.class_size) for r in order_minhash.near_duplicates(docs(pairs)).collect()}
+    narrow = classes(10 ** 6)
+    assert sum(narrow[100 + i] == (i, 2) for i in range(0, 24, 3)) >= 6
+    assert classes(2) == narrow
+
+
 def test_rare_kmers_are_shared_by_near_texts(spark):
     rng, base = random.Random(8), None
     texts = []
