@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACES, doc_texts, keep_rows, saved
+from .common import SPACES, keep_rows, numbered, row_texts, saved
 
 #: Characters in a block.
 BLOCK = 1024
@@ -61,8 +61,8 @@ def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     normalised texts are equal.
 
     Empty and null texts are one block of no characters."""
-    texts = doc_texts(docs).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").alias("n_chars"),
+    texts = row_texts(docs).select(
+        "row", "doc_id", F.length("text").alias("n_chars"),
         normalised(F.col("text")).alias("t"))
     n = F.greatest(F.ceil(F.length("t") / block), F.lit(1)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("t", i * block + 1, F.lit(block)))
@@ -87,6 +87,18 @@ def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.select("row", "info.*", "name")
 
 
+def _grouped(docs: DataFrame, block: int) -> DataFrame:
+    """``exact_duplicates`` with the row."""
+    rows = text_names(docs, block)
+    # Saved, so that the join below is a plain one whose large groups Spark can split.
+    groups = saved(rows.groupBy("blocks", "name").agg(
+        F.count(F.lit(1)).alias("group_size"),
+        F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id"), F.col("row"))).alias("best")), "block-groups")
+    return rows.join(groups, ["blocks", "name"]).select(
+        "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+
+
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: (doc_id, keep_id, group_size, kept, text_sha256).
 
@@ -97,17 +109,11 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     and are reported with kept = false, except one. No rows give no rows;
     columns other than doc_id and text are not looked at.
     """
-    rows = text_names(docs, block)
-    # Saved, so that the join below is a plain one whose large groups Spark can split.
-    groups = saved(rows.groupBy("blocks", "name").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id"), F.col("row"))).alias("best")), "block-groups")
-    return rows.join(groups, ["blocks", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    return _grouped(docs, block).drop("row")
 
 
 def drop_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all columns.
-    Repeats of a kept row (same doc_id) stay with it."""
-    return keep_rows(docs, exact_duplicates(docs, block).filter("kept"))
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all columns:
+    one of each group, also where rows repeat a doc_id or have none."""
+    rows = numbered(docs)
+    return keep_rows(rows, _grouped(rows, block).filter("kept"))

@@ -33,20 +33,36 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: The column that tells the rows of a numbered table apart.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a last column ``ROW``, different for every row, saved so that
+    every reader sees the same numbers."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def row_texts(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) as ``doc_texts``; row is ``ROW`` of a numbered table
+    and a fresh number of any other."""
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def id_crc(doc_id: Column) -> Column:
     """crc32 of the id's decimal text (null ids: crc of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``keep`` (null matches null)."""
-    k = keep.select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["__keep_id"]), "left_semi")
+    """Rows of a numbered table whose number is in ``keep`` (row), without the number."""
+    return docs.join(keep.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
 
 
 def drop_rows(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    k = drop.select(F.col("doc_id").alias("__drop_id")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["__drop_id"]), "left_anti")
+    """Rows of a numbered table whose number is not in ``drop`` (row), without the number."""
+    return docs.join(drop.select(F.col("row").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 class WordIds(dict):

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, doc_texts, keep_rows, list_column, mix64, saved, shingle_hashes
+from .common import WordIds, keep_rows, list_column, mix64, numbered, row_texts, saved, shingle_hashes
 from .components import components
 
 #: Words of a k-mer, k-mers of a sketch value, sketch values of a text, least similarity.
@@ -228,9 +228,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     other; texts without words (null, empty, signs only) are near to nothing.
     Texts of fewer than five words are near only to copies.
     """
-    source = doc_texts(docs)
+    return _classes(docs, similarity).drop("row")
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
+    """``near_duplicates`` with the row."""
+    source = row_texts(docs)
     doc_type = source.schema["doc_id"].dataType.simpleString()
-    table = saved(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+    table = saved(source.mapInArrow(
         _sketch_rows, f"row long, doc_id {doc_type}, h1 long, h2 long, size int, slots array<int>, "
                       "sketch array<long>, body binary"), "omh-table")
     # Copies collapse to their first row; texts without words stay apart.
@@ -301,7 +306,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = saved(rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"),
                                               F.min(F.struct("doc_id", "row")).alias("best")), "omh-classes")
     return (rows.join(classes, "label").join(degree, F.col("rep") == F.col("node"), "left")
-            .select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size",
+            .select("row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size",
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     (F.col("row") == F.col("best.row")).alias("kept")))
 
@@ -334,6 +339,7 @@ def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; whole repeats of a
-    kept row stay with it."""
-    return keep_rows(docs, near_duplicates(docs, similarity).filter("kept"))
+    """The rows of ``docs`` that stay, with their columns: one of each class, also
+    where rows repeat a doc_id or have none."""
+    rows = numbered(docs)
+    return keep_rows(rows, _classes(rows, similarity).filter("kept"))

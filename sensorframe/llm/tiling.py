@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, doc_texts, drop_rows, list_column, saved, shingle_hashes
+from .common import WordIds, drop_rows, list_column, numbered, row_texts, saved, shingle_hashes
 
 #: Words of a seed, which is also the shortest run that is marked.
 SEED = 5
@@ -101,14 +101,14 @@ def _seeds(k: int):
 
 
 def _matches(bits, k: int):
-    """(row, text) -> (row, words, seeds) of the texts with a seed in the
+    """(row, doc_id, text) -> (row, doc_id, words, seeds) of the texts with a seed in the
     filter: the words that such seeds cover, parted by zeros, and the seeds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held = WordIds(), bits.value
         mask = np.uint64(FILTER_BITS - 1)
         for b in batches:
             rows, words, seeds = [], [], []
-            for n, text in enumerate(b.column(1)):
+            for n, text in enumerate(b.column(2)):
                 w = ids.of(words_of(text.as_py()))
                 h = shingle_hashes(w, k)
                 slot = (h & mask).astype(np.int64)
@@ -123,13 +123,13 @@ def _matches(bits, k: int):
                 ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
                 kept = np.insert(np.where(inside, w, np.uint64(0)), ends, np.uint64(0))
                 flag = np.insert(inside, ends, True)
-                rows.append(b.column(0)[n])
+                rows.append(n)
                 words.append(kept[flag].view(np.int64))
                 seeds.append(np.unique(h[hit]).view(np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r.as_py() for r in rows], b.schema.field(0).type), list_column(words, pa.int64()),
-                    list_column(seeds, pa.int64())], names=["doc_id", "words", "seeds"])
+                    b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), list_column(words, pa.int64()),
+                    list_column(seeds, pa.int64())], names=["row", "doc_id", "words", "seeds"])
     return run
 
 
@@ -137,14 +137,14 @@ def _tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, covered, tiles = [], [], []
-            for item, doc in zip(b.column(2), b.column(3), strict=True):
+            for item, doc in zip(b.column(3), b.column(4), strict=True):
                 i, got = item.as_py(), []
                 got = tile(i, doc.as_py(), k)
                 size.append(len(i))
                 covered.append(sum(n for n, _, _ in got))
                 tiles.append(len(got))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int32()), pa.array(
-                covered, pa.int32()), pa.array(tiles, pa.int32())], names=["doc_id", "item_id", "item_words", "covered", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int32()), pa.array(
+                covered, pa.int32()), pa.array(tiles, pa.int32())], names=["row", "doc_id", "item_id", "item_words", "covered", "tiles"])
     return run
 
 
@@ -156,6 +156,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
     fewer than ``seed`` words and null or empty texts match nothing. Rows that
     repeat a doc_id give one result, the best of them; the same holds for item_id.
     """
+    best = F.max(F.struct("coverage", "covered", "item_words", "tiles")).alias("m")
+    return _found(docs, benchmark, seed, coverage).groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", "m.item_words", "m.covered", "m.tiles", "m.coverage")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
+    """``contamination`` by row, with its doc_id."""
     spark = docs.sparkSession
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     items = saved(benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -169,22 +176,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
     # At most FILTER_BITS / 64 rows.
     for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         bits[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
-    hits = saved(doc_texts(docs).mapInArrow(
-        _matches(spark.sparkContext.broadcast(bits), seed), f"doc_id {doc_type}, words array<long>, seeds array<long>"),
+    hits = saved(row_texts(docs).mapInArrow(
+        _matches(spark.sparkContext.broadcast(bits), seed), f"row long, doc_id {doc_type}, words array<long>, seeds array<long>"),
         "bench-hits")
-    pairs = (hits.select("doc_id", F.explode("seeds").alias("seed")).join(held, "seed")
-             .select("doc_id", "item_id").distinct())
+    pairs = (hits.select("row", F.explode("seeds").alias("seed")).join(held, "seed")
+             .select("row", "item_id").distinct())
     both = (pairs.join(items, "item_id").withColumnRenamed("words", "item")
-            .join(hits.select(F.col("doc_id").alias("d"), "words"), F.col("doc_id").eqNullSafe(F.col("d")))
-            .select("doc_id", "item_id", "item", "words"))
+            .join(hits.select("row", "doc_id", "words"), "row").select("row", "doc_id", "item_id", "item", "words"))
     item_type = items.schema["item_id"].dataType.simpleString()
-    found = both.mapInArrow(_tiles(seed), f"doc_id {doc_type}, item_id {item_type}, item_words int, covered int, tiles int")
-    found = found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= coverage)
-    best = F.max(F.struct("coverage", "covered", "item_words", "tiles")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", "m.item_words", "m.covered", "m.tiles", "m.coverage")
+    found = both.mapInArrow(_tiles(seed), f"row long, doc_id {doc_type}, item_id {item_type}, item_words int, covered int, tiles int")
+    return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= coverage)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no benchmark item."""
-    return drop_rows(docs, contamination(docs, benchmark, seed, coverage))
+    """The rows of ``docs``, with their columns, that hold no benchmark item;
+    every row is judged by its own text, also where rows repeat a doc_id or have none."""
+    rows = numbered(docs)
+    return drop_rows(rows, _found(rows, benchmark, seed, coverage))

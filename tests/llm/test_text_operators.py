@@ -191,6 +191,27 @@ def test_contamination(spark, docs):
     assert tiling.contamination(docs(pairs), bench.filter("false")).count() == 0
 
 
+def test_stages_decide_by_row(spark, docs):
+    """Repeated rows and null ids: one row of each group stays, and only rows that hold an item go."""
+    rng = random.Random(31)
+    texts = [words(rng, 60) for _ in range(4)]
+    edited = [*texts[1][:30], "changed", *texts[1][31:]]
+    pairs = [(i, " ".join(t)) for i, t in [(1, texts[0])] * 3 + [(None, texts[1])] * 2 + [(None, texts[2]), (1, texts[3])]]
+    left = block_names.drop_duplicates(docs(pairs), block=64)
+    assert left.columns == DOC.names
+    order = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert order(left.collect()) == sorted(set(pairs), key=str)
+    left = order_minhash.drop_near_duplicates(docs([*pairs, (None, " ".join(edited))]))
+    assert left.columns == DOC.names
+    got = order(left.collect())
+    assert len(got) == 4 and [x for x in got if x[1] == " ".join(edited)] + [x for x in got if x == pairs[3]] != []
+    bench = spark.createDataFrame([(7, " ".join(texts[1][5:45]))], "item_id long, text string")
+    left = tiling.decontaminate(docs(pairs), bench)
+    assert left.columns == DOC.names
+    assert order(left.collect()) == sorted([x for x in pairs if x != pairs[3]], key=str)
+    assert [(r.doc_id, r.item_id) for r in tiling.contamination(docs(pairs), bench).collect()] == [(None, 7)]
+
+
 def edit_distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
