@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from sensorframe.operators.indexing import global_index
 
 from . import block_names, mixing, order_minhash, quality, quotes, repeats, secrets, tiling, token_counts, toxicity
-from .common import read_table
+from .common import read_table, saved
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,15 +21,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quoted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in mail from ``conversations``: every turn is a message whose text
-    quotes the turn before and, one level deeper, the turn before that."""
-    c = read_table(spark, sf_dir, "conversations")
-    turns = W.partitionBy("conv_id").orderBy("turn")
+    quotes the turn before and, one level deeper, the turn before that. A
+    message's id and time are its row number by (conv_id, turn), so that
+    conversations of any length stay apart and a long one spreads over the time
+    span; rows without conv_id or turn are left out."""
+    c = read_table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    turns = saved(global_index(c.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "n"), "quote-turns")
+    before = lambda k: turns.select("conv_id", (F.col("n") + k).alias("n"), F.col("text").alias(f"before{k}"))
     mark = lambda text, sign: F.when(text.isNull(), "").otherwise(
         F.concat(F.regexp_replace(text, "(?m)^", sign), F.lit("\n")))
-    text = F.concat(mark(F.lag("text", 2).over(turns), ">> "), mark(F.lag("text", 1).over(turns), "> "),
-                    F.coalesce("text", F.lit("")))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"),
-                    (F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), F.col("role").alias("author"), text.alias("text"))
+    text = F.concat(mark(F.col("before2"), ">> "), mark(F.col("before1"), "> "), F.coalesce("text", F.lit("")))
+    return turns.join(before(1), ["conv_id", "n"], "left").join(before(2), ["conv_id", "n"], "left").select(
+        F.col("n").alias("msg_id"), F.col("n").alias("sent"), F.col("role").alias("author"), text.alias("text"))
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import types as T
 
-from sensorframe.llm import (block_names, components, induced_sort, mixing, order_minhash, quality, quotes, repeats,
+from sensorframe.llm import (block_names, components, induced_sort, mixing, order_minhash, quality, queries, quotes, repeats,
                              secrets, tiling, token_counts, toxicity)
 
 DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -480,6 +480,20 @@ def test_quotes(spark):
     assert quotes.conversations(m.filter("false")).count() == 0
 
 
+def test_quoted_messages_of_long_conversations(spark, tmp_path):
+    """Over 1,000 turns: no message of the next conversations is lost or quotes another conversation."""
+    rows = [(c, t, "u", None if t == 4 else f"conversation {c} turn {t}") for c, n in ((1, 2005), (2, 8), (3, 3)) for t in range(n) if t != 6]
+    spark.createDataFrame([*rows, (None, 1, "u", "x"), (2, None, "u", "y")], "conv_id long, turn long, role string, text string").repartition(
+        5).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = queries.quoted_messages(spark, str(tmp_path)).collect()
+    assert len({r.msg_id for r in got}) == len(got) == len(rows)
+    expect = []
+    for i, (c, _, _, text) in enumerate(rows):
+        old = [rows[i - k][3] if i >= k and rows[i - k][0] == c else None for k in (2, 1)]
+        expect.append("".join(f"{m} {x}\n" for m, x in zip((">>", ">"), old, strict=True) if x is not None) + (text or ""))
+    assert [r.text for r in sorted(got, key=lambda r: r.sent)] == expect
+
+
 def test_long_reply_chain(spark):
     said = [f"Message number {i} says thing {i * i}" for i in range(41)]
     rows = [(i, i, "a", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(41)]
