@@ -84,11 +84,11 @@ def tile(item: list[int], doc: list[int], least: int = SEED) -> list[tuple[int,
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, text) -> (item_id, words)."""
+    """(nr, item_id, text) -> (nr, item_id, words)."""
     ids = WordIds()
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), list_column(
-            [ids.of(words_of(t.as_py())).view(np.int64) for t in b.column(1)], pa.int64())], names=["item_id", "words"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_column(
+            [ids.of(words_of(t.as_py())).view(np.int64) for t in b.column(2)], pa.int64())], names=["nr", "item_id", "words"])
 
 
 def _seeds(k: int):
@@ -96,7 +96,7 @@ def _seeds(k: int):
         for b in batches:
             w = [np.asarray(x.as_py(), np.int64).view(np.uint64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), list_column(
-                [np.unique(shingle_hashes(x, k)).view(np.int64) for x in w], pa.int64())], names=["item_id", "seeds"])
+                [np.unique(shingle_hashes(x, k)).view(np.int64) for x in w], pa.int64())], names=["nr", "seeds"])
     return run
 
 
@@ -155,6 +155,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
     Words are runs of letters, digits and underscores in lower case. Items of
     fewer than ``seed`` words and null or empty texts match nothing. Rows that
     repeat a doc_id give one result, the best of them; the same holds for item_id.
+    A null doc_id or item_id counts as one id of its own.
     """
     best = F.max(F.struct("coverage", "covered", "item_words", "tiles")).alias("m")
     return _found(docs, benchmark, seed, coverage).groupBy("doc_id", "item_id").agg(best).select(
@@ -165,11 +166,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) ->
     """``contamination`` by row, with its doc_id."""
     spark = docs.sparkSession
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    items = saved(benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-                  .mapInArrow(_ids, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, words array<long>"),
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    items = saved(benchmark.select(F.monotonically_increasing_id().alias("nr"), "item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+                  .mapInArrow(_ids, f"nr long, item_id {item_type}, words array<long>"),
                   "bench-words")
-    held = saved(items.mapInArrow(_seeds(seed), f"item_id {items.schema['item_id'].dataType.simpleString()}, seeds array<long>")
-                 .select("item_id", F.explode("seeds").alias("seed")), "bench-seeds")
+    held = saved(items.select("nr", "words").mapInArrow(_seeds(seed), "nr long, seeds array<long>")
+                 .select("nr", F.explode("seeds").alias("seed")), "bench-seeds")
     slot = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = held.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(seed & 63 AS int))").alias("b"))
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
@@ -180,10 +182,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) ->
         _matches(spark.sparkContext.broadcast(bits), seed), f"row long, doc_id {doc_type}, words array<long>, seeds array<long>"),
         "bench-hits")
     pairs = (hits.select("row", F.explode("seeds").alias("seed")).join(held, "seed")
-             .select("row", "item_id").distinct())
-    both = (pairs.join(items, "item_id").withColumnRenamed("words", "item")
+             .select("row", "nr").distinct())
+    both = (pairs.join(items, "nr").withColumnRenamed("words", "item")
             .join(hits.select("row", "doc_id", "words"), "row").select("row", "doc_id", "item_id", "item", "words"))
-    item_type = items.schema["item_id"].dataType.simpleString()
     found = both.mapInArrow(_tiles(seed), f"row long, doc_id {doc_type}, item_id {item_type}, item_words int, covered int, tiles int")
     return found.withColumn("coverage", F.col("covered") / F.col("item_words")).filter(F.col("coverage") >= coverage)
 

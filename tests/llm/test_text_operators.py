@@ -191,6 +191,17 @@ def test_contamination(spark, docs):
     assert tiling.contamination(docs(pairs), bench.filter("false")).count() == 0
 
 
+def test_benchmark_items_without_id(spark, docs):
+    rng = random.Random(14)
+    items = [words(rng, 30) for _ in range(4)]
+    bench = spark.createDataFrame([(None, " ".join(items[0])), (None, " ".join(items[1])), (3, " ".join(items[2])),
+                                   (3, " ".join(items[3]))], "item_id long, text string")
+    pairs = [(i, " ".join(words(rng, 9) + items[i] + words(rng, 9))) for i in range(4)] + [(9, " ".join(words(rng, 40)))]
+    got = {(r.doc_id, r.item_id, r.covered) for r in tiling.contamination(docs(pairs), bench).collect()}
+    assert got == {(0, None, 30), (1, None, 30), (2, 3, 30), (3, 3, 30)}
+    assert [r.doc_id for r in tiling.decontaminate(docs(pairs), bench).collect()] == [9]
+
+
 def test_stages_decide_by_row(spark, docs):
     """Repeated rows and null ids: one row of each group stays, and only rows that hold an item go."""
     rng = random.Random(31)
