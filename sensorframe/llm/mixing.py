@@ -65,7 +65,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, limit: int = KNAPSACK) -> np.ndarray:
     """How many documents of each length to take (at most ``count``) so that
     their words come as near below ``budget`` as found; exact when the subset-sum
-    programme reaches the rest."""
+    programme reaches the rest. Documents longer than ``limit`` are taken by the
+    same programme in cells of several words."""
     take = np.zeros(len(length), np.int64)
     total = int((length * count).sum())
     if budget <= 0 or total == 0:
@@ -76,42 +77,64 @@ def fit_counts(length: np.ndarray, count: np.ndarray, budget: int, limit: int =
     rest = budget - int((take * length).sum())
     if rest < 0:  # rounding of the share
         take, rest = np.zeros(len(length), np.int64), budget
-    # Longest lengths first, until the rest fits into the programme.
+    # With long documents also from a larger rest, which holds some of the longest; the nearer fit counts.
+    windows = sorted({limit, max(limit, 4 * int(length[take < count].max()))})
+    fits = [_fill(length, count, take, rest, limit, window) for window in windows]
+    return max(fits, key=lambda t: int((t * length).sum()))
+
+
+def _fill(length: np.ndarray, count: np.ndarray, take: np.ndarray, rest: int, limit: int, window: int) -> np.ndarray:
+    """``take`` with ``rest`` words more, or nearly."""
+    take = take.copy()
+    # Longest lengths first, until the rest is within the window.
     for j in np.argsort(-length, kind="stable"):
-        if rest <= limit:
+        if rest <= window:
             break
         if length[j]:
-            more = min(int(count[j] - take[j]), (rest - limit) // int(length[j]) + (rest > limit and int(length[j]) <= limit))
+            more = min(int(count[j] - take[j]), (rest - window) // int(length[j]) + (int(length[j]) <= window))
             if more > 0:
                 take[j] += more
                 rest -= more * int(length[j])
-    if rest > limit:
-        return take
-    # Bounded knapsack by binary splitting; via[s] is the item by which the sum s was first reached.
+    while rest > 0:
+        more = _programme(length, count - take, rest, limit)
+        gained = int((more * length).sum())
+        take += more
+        if rest <= limit or not gained:
+            break
+        rest -= gained
+    return take
+
+
+def _programme(length: np.ndarray, free: np.ndarray, rest: int, limit: int) -> np.ndarray:
+    """Counts of each length, at most ``free``, whose words come near below
+    ``rest``: bounded knapsack by binary splitting. Up to ``limit`` every sum
+    is held; beyond it one sum in each of ``limit`` equal cells, longest lengths
+    first, so that short ones are left for what remains."""
+    unit = -(-rest // limit)
     items = []
-    for j in range(len(length)):
-        free, size, part = int(count[j] - take[j]), int(length[j]), 1
-        while free > 0 and size and part * size <= rest:
-            n = min(part, free)
+    for j in range(len(length)) if unit == 1 else np.argsort(-length, kind="stable"):
+        left, size, part = int(free[j]), int(length[j]), 1
+        while left > 0 and size and part * size <= rest:
+            n = min(part, left)
             items.append((n * size, j, n))
-            free -= n
+            left -= n
             part *= 2
-    via = np.full(rest + 1, -1, np.int64)
-    reach = np.zeros(rest + 1, bool)
-    reach[0] = True
+    # The sum that each cell holds, and the item by which it was first reached.
+    held = np.full(rest // unit + 1, -1, np.int64)
+    via = np.full(rest // unit + 1, -1, np.int64)
+    held[0] = 0
     for k, (size, _, _) in enumerate(items):
-        if size > rest:
-            continue
-        new = reach[:-size] & ~reach[size:]
-        if new.any():
-            at = np.flatnonzero(new) + size
-            via[at] = k
-            reach[at] = True
-            if reach[rest]:
-                break
-    s = int(np.flatnonzero(reach)[-1])
+        sums = held[held >= 0] + size
+        sums = sums[sums <= rest]
+        sums = sums[held[sums // unit] < 0]
+        held[sums // unit] = sums
+        via[sums // unit] = k
+        if held[-1] == rest:
+            break
+    take = np.zeros(len(length), np.int64)
+    s = int(held.max())
     while s:
-        size, j, n = items[via[s]]
+        size, j, n = items[via[s // unit]]
         take[j] += n
         s -= size
     return take

@@ -85,6 +85,21 @@ def test_fit_counts():
             assert (take == count).all()
 
 
+def test_fit_counts_of_few_long_documents():
+    words_of = lambda length, budget: int((mixing.fit_counts(np.array(length), np.ones(len(length), int), budget) * length).sum())
+    assert words_of([200_000, 300_000], 350_000) == 300_000
+    assert words_of([150_000, 200_000, 300_000], 350_000) == 350_000
+    assert words_of([3, 40, 140_000, 200_000, 300_000], 340_043) == 340_043
+    rng = random.Random(19)
+    for _ in range(20):
+        length = sorted(rng.sample(range(100_000, 600_000), 8))
+        budget = rng.randrange(max(length), sum(length))
+        sums = {0}
+        for x in length:
+            sums |= {s + x for s in sums}
+        assert max(s for s in sums if s <= budget) - 200 <= words_of(length, budget) <= budget
+
+
 def test_mix(docs):
     rng = random.Random(2)
     pairs = [(i, " ".join(words(rng, rng.randrange(0, 60))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)]
