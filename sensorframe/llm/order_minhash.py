@@ -4,7 +4,8 @@ A text's runs of five words (k-mers) are labelled with their occurrence, so
 that repeats count. Every sketch value takes the ``PICKS`` k-mers with
 the smallest hashes under its own seed and keeps them in text order: equal
 values need the same k-mers in the same order, which follows edit similarity
-rather than plain overlap. Texts that share a sketch value are candidates.
+rather than plain overlap. Texts that share a sketch value are candidates;
+scattered edits lower the chance of that (measured in the README).
 Candidates are aligned word by word inside a band; at least ``SIMILARITY`` of
 the longer text must stay without edits.
 
