@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.operators.indexing import global_index
 
-from . import block_names, mixing, order_minhash, quality, quotes, repeats, secrets, tiling, token_counts, toxicity
+from . import block_names, collocations, mixing, order_minhash, quality, quotes, ranked, repeats, secrets, tiling, token_counts, toxicity, warc
 from .common import read_table, saved
 
 
@@ -89,7 +89,31 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_quotation_linking, op3_repeated_substrings, op4_token_counts, op5_toxicity, op6_decontamination, op7_mixing, op8_exact_dedup, op9_secrets, op10_order_minhash)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    path = warc.archive_folder(spark)
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    records = warc.resolve_revisits(warc.read_archives(spark, path))
+    refers = F.regexp_extract(F.col("fields")["warc-refers-to"], r"^<urn:page:(-?\d+)>$", 1)
+    return records.select(
+        F.col("fields")["x-page-id"].cast("long").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.when(refers != "", refers).cast("long").alias("refers_to"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest collocations of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents")).drop("k")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    index = ranked.build_index(read_table(spark, sf_dir, "documents"))
+    return ranked.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_quotation_linking, op3_repeated_substrings, op4_token_counts, op5_toxicity, op6_decontamination, op7_mixing,
+    op8_exact_dedup, op9_secrets, op10_order_minhash, op11_warc, op12_collocations, op13_ranked_search)}
 SQL: dict[str, str] = {
     "op8_exact_dedup": r"""
         WITH t AS (
@@ -101,4 +125,55 @@ SQL: dict[str, str] = {
             FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g ON t.norm = g.norm""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+        t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+        FROM t""",
+    "op12_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        piece AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+        ws AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+        pos AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
+        gram AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM pos, range(1, 6) r(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, words, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+        total AS (SELECT lang, count(*) AS n FROM pos GROUP BY lang),
+        cand AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+        part AS (SELECT lang, a AS outer_a, array_to_string(w[i:i + k - 1], ' ') AS phrase
+                 FROM cand, range(1, 6) r(i), range(2, 5) s(k) WHERE k < words AND i + k - 1 <= words),
+        dropped AS (SELECT DISTINCT c.lang, c.phrase FROM cand c JOIN part p ON c.lang = p.lang AND c.phrase = p.phrase WHERE 100 * outer_a >= 100 * c.a),
+        cut AS (
+            SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n,
+                   ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM (SELECT * FROM cand, range(1, 5) s(k) WHERE k < words) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.words], ' ')
+            JOIN total ON total.lang = c.lang
+            WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = c.lang AND d.phrase = c.phrase)),
+        low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM low QUALIFY rank <= 2000""",
+    "op13_ranked_search": r"""
+        WITH tok AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        sized AS (SELECT *, len(terms)::BIGINT AS n FROM tok WHERE len(terms) > 0),
+        stat AS (SELECT count(*)::BIGINT AS cn, sum(n)::BIGINT AS cl FROM sized),
+        post AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+        df AS (SELECT term, count(*)::BIGINT AS df FROM post GROUP BY term),
+        item AS (SELECT row_number() OVER () AS nr, item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        want AS (SELECT nr, item_id, term, count(*)::BIGINT AS k FROM item GROUP BY ALL),
+        scored AS (
+            SELECT nr, item_id, row, doc_id, sum(k * floor(1000 * ln((2 * cn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+                   * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * cn) // cl))))::BIGINT AS score
+            FROM want JOIN df USING (term) JOIN post USING (term), stat GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY nr ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 20""",
 }
