@@ -266,25 +266,30 @@ def sieve(texts: DataFrame, orders: tuple[int, ...], bits, buckets: int, least:
     return saved(dealt.mapInArrow(_summaries(least), "bucket int, keys binary"), "phrase-survivors")
 
 
-def _exact(bits, longest: int, block: int):
-    """(lang, text) -> (lang, words, phrase, f) of the phrases in the filter; the row with
-    words = 0 counts the words of the language. Equal phrases are told by their words'
-    numbers, named pair by pair, never by hash."""
+def _exact(bits, longest: int, block: int, buckets: int):
+    """(lang, text) -> (bucket, lang, phrases, counts) of the phrases in the filter, joined by marks;
+    the empty phrase counts all words. Equal phrases are told by their words'
+    numbers, named pair by pair, never by hash; hashes only deal them to buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, found = Vocabulary(), defaultdict(int)
 
         def table():
-            out = pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
-                pa.array([k[2] for k in found], pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())],
-                names=["lang", "words", "phrase", "f"])
+            packed = defaultdict(lambda: ([], []))
+            for (lang, phrase), n in found.items():
+                names, counts = packed[xxhash.xxh64_intdigest(phrase) % buckets, lang]
+                names.append(phrase)
+                counts.append(n)
             found.clear()
-            return out
+            return pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in packed], pa.int32()), pa.array([k[1] for k in packed], pa.string()),
+                pa.array([MARK.join(v[0]) for v in packed.values()], pa.binary()),
+                pa.array([np.array(v[1], np.int64).tobytes() for v in packed.values()], pa.binary())],
+                names=["bucket", "lang", "phrases", "counts"])
 
         for lang, text in _blocks(batches, block):
             numbers, hashes = words.of(text)
             grams = Grams(hashes, lang_hash(lang))
-            found[lang, 0, b""] += int(len(text) - grams.marks[-1])
+            found[lang, b""] += int(len(text) - grams.marks[-1])
             for k in range(1, longest + 1):
                 at = grams.at(k)
                 if not len(at):
@@ -295,7 +300,7 @@ def _exact(bits, longest: int, block: int):
                     name = np.unique(name, return_inverse=True)[1] * wide + numbers[at + j]
                 _, first, counts = np.unique(name, return_index=True, return_counts=True)
                 for i, c in zip(at[first].tolist(), counts.tolist(), strict=True):
-                    found[lang, k, b" ".join(text[i:i + k])] += c
+                    found[lang, b" ".join(text[i:i + k])] += c
             if len(found) > 500_000:
                 yield table()
         if found:
@@ -303,6 +308,33 @@ def _exact(bits, longest: int, block: int):
     return run
 
 
+def _totals(least: int):
+    """(bucket, lang, phrases, counts), sorted by bucket and language -> (lang, words, phrase, f) of those
+    with f >= ``least``, and of the empty phrase."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, defaultdict(int)
+
+        def table():
+            rows = [(phrase.count(b" ") + 1 if phrase else 0, phrase, f) for phrase, f in total.items() if f >= least or not phrase]
+            total.clear()
+            return pa.RecordBatch.from_arrays([
+                pa.array([at[1]] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()),
+                pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[2] for r in rows], pa.int64())],
+                names=["lang", "words", "phrase", "f"])
+
+        for b in batches:
+            for bucket, lang, phrases, counts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if (bucket, lang) != at:
+                    if at is not None:
+                        yield table()
+                    at = bucket, lang
+                for phrase, n in zip(phrases.split(MARK), np.frombuffer(counts, np.int64).tolist(), strict=True):
+                    total[phrase] += n
+        if at is not None:
+            yield table()
+    return run
+
+
 def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buckets: int | None = None,
                 block: int = BLOCK, held: int = HELD) -> DataFrame:
     """(lang, words, phrase, f) of every phrase of 1 to ``longest`` words with f >= ``least``, exact,
@@ -321,9 +353,9 @@ def frequencies(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, buc
         every = saved(every.groupBy("bucket").agg(F.collect_list("keys").alias("k")).select(
             "bucket", F.expr("aggregate(k, cast('' as binary), (a, x) -> concat(a, x))").alias("keys")), "phrase-sieved")
     held_bits = spark.sparkContext.broadcast(filter_of(every, buckets))
-    counted = texts.mapInArrow(_exact(held_bits, longest, block), "lang string, words int, phrase string, f long")
-    return saved(counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(
-        (F.col("f") >= least) | (F.col("words") == 0)), "phrases")
+    counted = texts.mapInArrow(_exact(held_bits, longest, block, buckets), "bucket int, lang string, phrases binary, counts binary")
+    dealt = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang")
+    return saved(dealt.mapInArrow(_totals(least), "lang string, words int, phrase string, f long"), "phrases")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST, **sizes) -> DataFrame:
