@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,7 +42,7 @@ END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 PLAIN, CANDIDATE, OPEN = 0, 1, 2
-_PIECE = ("file string, block long, rel long, n long, kind int, head_len long, length long, fields map<string,string>, "
+_PIECE = ("path string, file long, block long, rel long, n long, kind int, head_len long, length long, fields map<string,string>, "
           "whole boolean, payload_at long, payload_bytes long, payload_sha1 string, body binary")
 
 
@@ -176,10 +177,10 @@ def _cut(keep_all: bool):
                     place, size, sha = head_len + length - len(payload), len(payload), hashlib.sha1(payload).hexdigest()
         keep = keep_all or not whole or rel < covered
         succ = rel + head_len + length + 4 if kind == CANDIDATE else 0
-        return (*at, rel, len(body), kind, head_len, length, list(fields.items()) if fields is not None else None, whole, place, size, sha,
+        return (at[0], xxhash.xxh64_intdigest(at[0].encode()) >> 1, at[1], rel, len(body), kind, head_len, length, list(fields.items()) if fields is not None else None, whole, place, size, sha,
                 body if keep else None), max(covered, succ)
 
-    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()),
+    schema = pa.schema([("path", pa.string()), ("file", pa.int64()), ("block", pa.int64()), ("rel", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()),
                         ("head_len", pa.int64()), ("length", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())),
                         ("whole", pa.bool_()), ("payload_at", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("body", pa.binary())])
 
@@ -195,7 +196,7 @@ def _cut(keep_all: bool):
                 if lines and (new or line.startswith(MAGIC)):
                     row, covered = piece(at, rel, lines, covered)
                     out.append(row)
-                    rel, lines, held = rel + row[3], [], held + len(row[-1] or b"")
+                    rel, lines, held = rel + row[4], [], held + len(row[-1] or b"")
                 if new:
                     at, rel, covered = (f, k), 0, 0
                 lines.append(line)
@@ -210,7 +211,8 @@ def _cut(keep_all: bool):
 
 
 def pieces_of(spark: SparkSession, path: str, keep_all: bool) -> DataFrame:
-    """The pieces of all blocks of the archives in ``path``, with their offsets: start is the piece's place in its file."""
+    """The pieces of all blocks of the archives in ``path``, with their offsets: start is the
+    piece's place in its file, which goes by a number (of the path's hash)."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("line"))
@@ -245,7 +247,7 @@ def _candidates(pieces: DataFrame) -> DataFrame:
             # At most one header for each block.
             read = saved(left.join(after, ["file", "end"]).select(
                 "file", "block", "start", (F.col("end") + F.col("n")).alias("end"), F.concat("body", "more").alias("body"))
-                .mapInArrow(_heads, "file string, block long, start long, end long, body binary, kind int, head_len long, length long, "
+                .mapInArrow(_heads, "file long, block long, start long, end long, body binary, kind int, head_len long, length long, "
                             "fields map<string,string>"), "warc-heads")
             found = found.unionByName(read.filter(F.col("kind") == CANDIDATE).select(*names))
             left = read.filter(F.col("kind") == OPEN).select("file", "block", "start", "end", "body")
@@ -276,7 +278,7 @@ def _follow(block: pd.DataFrame) -> pd.DataFrame:
 def true_starts(candidates: DataFrame) -> DataFrame:
     """(file, block, start) of the candidates on the chain from offset 0 of their file."""
     links = candidates.select("file", "block", "start", "succ")
-    exits = saved(links.groupBy("file", "block").applyInPandas(_exits, "file string, block long, start long, exit long"), "warc-exits")
+    exits = saved(links.groupBy("file", "block").applyInPandas(_exits, "file long, block long, start long, exit long"), "warc-exits")
     targets = exits.select("file", F.col("exit").alias("start")).distinct()
     nodes = saved(exits.filter("start = 0").unionByName(exits.filter("start > 0").join(targets, ["file", "start"], "left_semi")),
                   "warc-links")
@@ -292,7 +294,7 @@ def true_starts(candidates: DataFrame) -> DataFrame:
             break
     entries = nodes.join(reached.distinct(), ["file", "start"], "left_semi").select("file", "block", F.col("start").alias("entry"))
     return saved(links.join(entries, ["file", "block"]).groupBy("file", "block").applyInPandas(
-        _follow, "file string, block long, start long"), "warc-true")
+        _follow, "file long, block long, start long"), "warc-true")
 
 
 def _assemble(record: pd.DataFrame) -> pd.DataFrame:
@@ -317,6 +319,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     folders of none give no rows. Archives must be uncompressed.
     """
     pieces = pieces_of(spark, path, keep_all=payloads)
+    paths = saved(pieces.groupBy("file").agg(F.min("path").alias("path"), F.max("path").alias("other")), "warc-paths")
+    if not paths.filter("path <> other").isEmpty():
+        raise ValueError("two archives' paths have one hash; rename one")
+    pieces = pieces.drop("path")
     candidates = _candidates(pieces)
     true = true_starts(candidates)
     size = pieces.groupBy("file").agg(F.max(F.col("start") + F.col("n")).alias("size"))
@@ -344,10 +350,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     if not payloads and not split.filter("body IS NULL").isEmpty():
         return read_archives(spark, path, payloads=True).drop("payload")  # whole look-alikes inside a payload that spans blocks
     whole = split.groupBy("file", "offset").applyInPandas(
-        _assemble, "file string, offset long, payload_bytes long, payload_sha1 string, payload binary").select("file", "offset", *facts)
+        _assemble, "file long, offset long, payload_bytes long, payload_sha1 string, payload binary").select("file", "offset", *facts)
     field = lambda name: F.col("fields")[name]
-    return records.withColumnRenamed("start", "offset").join(single.unionByName(whole), ["file", "offset"]).select(
-        "file", "offset", (F.col("head_len") + F.col("length") + 4).alias("length"), field("warc-type").alias("type"),
+    return records.withColumnRenamed("start", "offset").join(single.unionByName(whole), ["file", "offset"]).join(
+        paths.select("file", "path"), "file").select(F.col("path").alias("file"), "offset", (F.col("head_len") + F.col("length") + 4).alias("length"), field("warc-type").alias("type"),
         field("warc-record-id").alias("record_id"), field("warc-target-uri").alias("target_uri"), "fields", *facts)
 
 
