@@ -791,6 +791,39 @@ def sync_state_latest(spark, d):
         "target_max_timestamp", "next_cutoff_timestamp", "last_error", "lag_micros")
 
 
+# Tables copied whole, tables copied by their time column, and the column that ``events`` gains after a first cycle.
+REPLICA_FULL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings", "labels"]
+REPLICA_BY_TIME = {"events": "ts"}
+_STORED_CASE = """CASE target_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'SMALLINT' THEN 'smallint'
+  WHEN 'DOUBLE PRECISION' THEN 'double' WHEN 'REAL' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean'
+  WHEN 'TIMESTAMP WITHOUT TIME ZONE' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE 'string' END"""
+
+
+def _replica_columns_sql(t: str) -> str:
+    rows = t if t != "events" else f"""(SELECT * REPLACE (CASE WHEN ts >= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '{_OLD}')
+                                              OR (SELECT count(*) FROM events WHERE ts < TIMESTAMP '{_OLD}') = 0 THEN value END AS value) FROM events)"""
+    return f"""SELECT '{t}' AS table_name, row_number() OVER (ORDER BY d.column_name = 'value' AND '{t}' = 'events', pos) AS ordinal_position,
+       d.column_name, column_type AS data_type, coalesce(u.n, 0) AS n_values, (SELECT count(*) FROM {t}) AS n_rows
+FROM (SELECT column_name, column_type, row_number() OVER () AS pos FROM (DESCRIBE {t})) d
+LEFT JOIN (SELECT name, count(*) AS n FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {rows}) ON COLUMNS(*) INTO NAME name VALUE v) GROUP BY name) u
+  ON u.name = d.column_name"""
+
+
+@query("replica_types", f"""SELECT table_name, ordinal_position, column_name, target_type, {_STORED_CASE} AS stored_type, n_values, n_rows
+FROM (SELECT *, {_TYPE_CASE} AS target_type FROM (
+""" + "\nUNION ALL ".join(_replica_columns_sql(t) for t in [*REPLICA_FULL, *REPLICA_BY_TIME]) + "))")
+def replica_types(spark, d):
+    """Both sync modes write through the type map: the replicas' columns, types and filled values."""
+    root = work_dir(spark, "types")
+    for t in REPLICA_FULL:
+        sync.sync_full(spark, root, t, dt.table(spark, d, t))
+    early = dt.table(spark, d, "events").filter(F.col("ts") < F.lit(_OLD).cast("timestamp_ntz")).drop("value")
+    sync.sync_incremental(spark, root, "events", early, 0, ts="ts")
+    for t, ts in REPLICA_BY_TIME.items():
+        sync.sync_incremental(spark, root, t, dt.table(spark, d, t), 0, ts=ts)
+    return sync.replica_types(spark, root, [*REPLICA_FULL, *REPLICA_BY_TIME]).drop("since_run")
+
+
 # --- streaming ---------------------------------------------------------------
 
 STREAM_OVERLAP_H = 336

@@ -11,13 +11,22 @@
   published table as it was); days that no longer have rows are removed.
   Work per run is proportional to the overlap window, not to the table.
 
-The run log is an append-only table of run events; ``sync_runs`` is the
-latest event per run and ``sync_state`` the latest run per table. The
-target's high-water mark is read from the state, not by scanning the table.
+Every table has a stored layout: the source's columns through the type map, fixed
+when the table is first copied; columns that the source gains later are added to
+it. Both modes cast to the layout before they write, and readers read by it.
+
+A run begins by creating its event file ``_sync_runs/events/<id>-0.json``, which
+the file system grants to one driver only, so runs at the same time never
+share an id. Finishing adds ``<id>-1.json``. ``sync_runs`` is the latest event per run and ``sync_state`` the latest run
+per table; finished runs are compacted into one table now and then. A table's
+marks of its last successful run are in a file of their own, so a run reads one small file
+whatever the length of the log.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -26,7 +35,8 @@ from pyspark.sql import types as T
 
 from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
-from sensorframe.session import delete_path, list_dirs, observed, path_exists
+from sensorframe.session import create_file, delete_path, list_dirs, list_files, observed, path_exists, read_text, touch
+from sensorframe.sources.schema import LayoutColumn, conform, layout_schema, merged_layout
 
 BASELINE = datetime.fromisoformat(model.SYNC_BASELINE_TS)
 
@@ -58,15 +68,64 @@ def _now():
     return datetime.now().astimezone()
 
 
-def _events(spark: SparkSession, root: str) -> DataFrame | None:
-    p = _runs_path(root)
-    if not path_exists(spark, p):
-        return None
-    return spark.read.schema(RUN_EVENT_SCHEMA).parquet(p)
+#: Event files after which finished runs are compacted.
+COMPACT_AFTER = 128
+
 
+def _event_files(spark: SparkSession, root: str) -> dict[str, tuple[int, int]]:
+    """Name -> (run id, event number) of the event files."""
+    return {n: tuple(int(x) for x in n[:-5].split("-")) for n in list_files(spark, f"{_runs_path(root)}/events")
+            if n.endswith(".json")}
 
-def _log(spark: SparkSession, root: str, row: tuple) -> None:
-    spark.createDataFrame([row], RUN_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(_runs_path(root))
+
+def _compacted(spark: SparkSession, root: str) -> list[int]:
+    """Compacted logs that are complete, by the largest run id they hold."""
+    return _versions(spark, f"{_runs_path(root)}/compact")
+
+
+def _events(spark: SparkSession, root: str) -> DataFrame | None:
+    """All run events; some may be there twice after a compaction broke off."""
+    parts = []
+    done = _compacted(spark, root)
+    if done:
+        parts.append(spark.read.schema(RUN_EVENT_SCHEMA).parquet(f"{_runs_path(root)}/compact/v={done[-1]}"))
+    if _event_files(spark, root):
+        text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))
+                                           else f.dataType) for f in RUN_EVENT_SCHEMA.fields])
+        raw = spark.read.schema(text).json(f"{_runs_path(root)}/events")
+        parts.append(raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RUN_EVENT_SCHEMA.fields]))
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _log(spark: SparkSession, root: str, row: tuple) -> bool:
+    """Create the event's file; False when the run's event is taken."""
+    event = {f.name: v.isoformat() if isinstance(v, datetime) else v for f, v in zip(RUN_EVENT_SCHEMA.fields, row, strict=True)}
+    return create_file(spark, f"{_runs_path(root)}/events/{row[0]}-{row[1]}.json", json.dumps(event))
+
+
+def compact_runs(spark: SparkSession, root: str) -> int:
+    """Move the events of finished runs into one new table; returns how many files went.
+    The old files go after the new table is complete, so every event is readable at any time."""
+    files = _event_files(spark, root)
+    ended = {i for i, seq in files.values() if seq == 1}
+    gone = [n for n, (i, _) in files.items() if i in ended]
+    if not gone:
+        return 0
+    last = max(ended)
+    events = _events(spark, root).filter(F.col("id").isin(sorted(ended)) | (F.col("id") <= F.lit(max(_compacted(spark, root), default=0))))
+    # Runs still going keep their files, also those with a smaller id.
+    whole = events.dropDuplicates(["id", "event_seq"])
+    open_ids = [i for i, seq in files.values() if seq == 0 and i not in ended]
+    if open_ids:
+        whole = whole.filter(~F.col("id").isin(open_ids))
+    whole.coalesce(1).write.mode("overwrite").parquet(f"{_runs_path(root)}/compact/v={last}")
+    for n in gone:
+        delete_path(spark, f"{_runs_path(root)}/events/{n}")
+    for v in _compacted(spark, root)[:-1]:
+        delete_path(spark, f"{_runs_path(root)}/compact/v={v}")
+    return len(gone)
 
 
 def sync_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -113,18 +172,78 @@ def state_listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _begin(spark: SparkSession, root: str, table: str, mode: str) -> tuple[int, datetime]:
-    ev = _events(spark, root)
-    last = ev.agg(F.max("id")).first()[0] if ev is not None else None
-    run_id = (last or 0) + 1
+    """Claim the next free run id by creating its first event."""
     started = _now()
-    _log(spark, root, (run_id, 0, table, mode, "running", started, None, 0, None, None, None, None))
-    return run_id, started
+    run_id = 0
+    while True:
+        taken = max([run_id, *(i for i, _ in _event_files(spark, root).values()), *_compacted(spark, root)])
+        run_id = taken + 1
+        if _log(spark, root, (run_id, 0, table, mode, "running", started, None, 0, None, None, None, None)):
+            if run_id > max(_compacted(spark, root), default=0):
+                return run_id, started
+            # Another driver finished and compacted this id since the listing.
+            delete_path(spark, f"{_runs_path(root)}/events/{run_id}-0.json")
 
 
 def _finish(spark, root, run_id, table, mode, started, rows, status, details="",
             source_max=None, target_max=None, next_cutoff=None):
     _log(spark, root, (run_id, 1, table, mode, status, started, _now(), int(rows),
                        (details or "")[: model.MAX_ERROR_CHARS], source_max, target_max, next_cutoff))
+    if status == "success":
+        base = _marks_path(root, table)
+        create_file(spark, f"{base}/{run_id}.json", json.dumps({"target_max_timestamp": target_max and target_max.isoformat()}))
+        for n in list_files(spark, base):
+            if n.endswith(".json") and int(n[:-5]) < run_id:
+                delete_path(spark, f"{base}/{n}")
+    if len(_event_files(spark, root)) > COMPACT_AFTER:
+        compact_runs(spark, root)
+
+
+def _marks_path(root, table):
+    return f"{root}/_sync_marks/{table}"
+
+
+# --- layouts -------------------------------------------------------------------
+
+def _layout_path(root, table):
+    return f"{root}/_layouts/{table}"
+
+
+def stored_layout(spark: SparkSession, root: str, table: str) -> list[LayoutColumn]:
+    """The newest layout of a replica table; empty if it has none."""
+    names = [n for n in list_files(spark, _layout_path(root, table)) if n.endswith(".json")]
+    if not names:
+        return []
+    return [LayoutColumn(**c) for c in json.loads(read_text(spark, f"{_layout_path(root, table)}/{max(names, key=lambda n: int(n[:-5]))}"))]
+
+
+def ensure_layout(spark: SparkSession, root: str, table: str, source: DataFrame, run_id: int) -> list[LayoutColumn]:
+    """The table's layout, created from the source or extended by its new columns."""
+    stored = stored_layout(spark, root, table)
+    layout = merged_layout(stored, source, run_id)
+    if layout != stored and not create_file(spark, f"{_layout_path(root, table)}/{run_id}.json", json.dumps([asdict(c) for c in layout])):
+        raise RuntimeError(f"layout {run_id} of {table} exists")
+    return layout
+
+
+def replica_types(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
+    """Per column of the replicas: its types, the run that added it, and how many rows and
+    non-NULL values the replica holds, counted in one pass over each table."""
+    parts = []
+    for table in tables:
+        layout, df = stored_layout(spark, root, table), read_replica(spark, root, table)
+        if df is None or not layout:
+            continue
+        seen = dict(df.dtypes)
+        counted = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c.name}`")).alias(f"c{i}") for i, c in enumerate(layout)])
+        parts.append(counted.select(F.col("n").alias("n_rows"), F.explode(F.array(*[F.struct(
+            F.lit(i + 1).cast("long").alias("ordinal_position"), F.lit(c.name).alias("column_name"), F.lit(c.target_type).alias("target_type"),
+            F.lit(seen[c.name]).alias("stored_type"), F.lit(c.since_run).cast("long").alias("since_run"), F.col(f"c{i}").alias("n_values"))
+            for i, c in enumerate(layout)])).alias("x")).select(F.lit(table).alias("table_name"), "x.*", "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def iso(ts: datetime) -> str:
@@ -141,49 +260,65 @@ def _versions(spark, base):
     return sorted(out)
 
 
-def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame, keep_versions: int = 3) -> int:
-    """Truncate-and-reload as a new complete version; returns the run id.
+PUBLISHED = "_PUBLISHED"
 
-    After the run is recorded as successful, versions older than the newest
-    ``keep_versions`` successful ones are removed (readers of a recent older
-    version keep working).
+
+def sync_full(spark: SparkSession, root: str, table: str, source: DataFrame, keep_versions: int = 3,
+              keep_hours: float = 24) -> int:
+    """Truncate-and-reload as a new complete version in the table's layout; returns the run id.
+
+    After the version is published, older ones are removed, except the newest
+    ``keep_versions`` and those published within ``keep_hours``, which
+    readers that planned before may still be reading.
     """
     run_id, started = _begin(spark, root, table, "full")
     try:
+        layout = ensure_layout(spark, root, table, source, run_id)
         obs = Observation(f"full_{run_id}")
-        source.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(
-            f"{table_path(root, table)}/v={run_id}")
+        path = f"{table_path(root, table)}/v={run_id}"
+        conform(source, layout).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
         rows = int(observed(obs, ["rows"])["rows"] or 0)
+        touch(spark, f"{path}/{PUBLISHED}")
         _finish(spark, root, run_id, table, "full", started, rows, "success")
     except Exception as exc:
         _finish(spark, root, run_id, table, "full", started, 0, "failed", str(exc))
         raise
-    _drop_old_versions(spark, root, table, keep_versions)
+    _drop_old_versions(spark, root, table, keep_versions, keep_hours)
     return run_id
 
 
-def _drop_old_versions(spark: SparkSession, root: str, table: str, keep: int) -> None:
-    ok = {r[0] for r in sync_runs(spark, root).filter(
-        (F.col("table_name") == table) & (F.col("status") == "success")).select("id").collect()}
+def _published(spark: SparkSession, base: str) -> dict[int, int]:
+    """Published versions with their time in milliseconds."""
+    out = {}
+    for name in list_dirs(spark, base):
+        if name.startswith("v="):
+            at = list_files(spark, f"{base}/{name}").get(PUBLISHED)
+            if at is not None:
+                out[int(name[2:])] = at
+    return out
+
+
+def _drop_old_versions(spark: SparkSession, root: str, table: str, keep: int, hours: float) -> None:
     base = table_path(root, table)
-    names = [n for n in list_dirs(spark, base) if n.startswith("v=")]
-    good = sorted(int(n[2:]) for n in names if int(n[2:]) in ok)
-    if len(good) <= keep:
+    done = _published(spark, base)
+    if len(done) <= keep:
         return
-    floor = good[-keep]
-    for n in names:
-        if int(n[2:]) < floor:
-            delete_path(spark, f"{base}/{n}")
+    floor = sorted(done)[-keep]
+    before = (_now().timestamp() - hours * 3600) * 1000
+    for name in list_dirs(spark, base):
+        v = int(name[2:]) if name.startswith("v=") else floor
+        # A version that was never published is what a failed run left behind.
+        if v < floor and done.get(v, 0) <= before:
+            delete_path(spark, f"{base}/{name}")
 
 
 def read_full(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """Newest version written by a successful run."""
-    runs = sync_runs(spark, root).filter((F.col("table_name") == table) & (F.col("status") == "success"))
-    ok = {r[0] for r in runs.select("id").collect()}
-    versions = [v for v in _versions(spark, table_path(root, table)) if v in ok]
-    if not versions:
+    """Newest published version, in the table's layout."""
+    base = table_path(root, table)
+    done = _published(spark, base)
+    if not done:
         return None
-    return spark.read.parquet(f"{table_path(root, table)}/v={versions[-1]}")
+    return spark.read.schema(layout_schema(stored_layout(spark, root, table))).parquet(f"{base}/v={max(done)}")
 
 
 # --- incremental -------------------------------------------------------------
@@ -192,19 +327,19 @@ def read_incremental(spark: SparkSession, root: str, table: str) -> DataFrame |
     p = table_path(root, table)
     if not list_dirs(spark, p):
         return None
-    return spark.read.option("mergeSchema", "true").parquet(p)  # days written before a column was added lack it
+    # Days written before a column was added lack it; the layout has it, so it reads as NULL.
+    schema = layout_schema(stored_layout(spark, root, table)).add("date", T.DateType())
+    return spark.read.schema(schema).parquet(p)
 
 
 def _target_high_water(spark, root, table, ts) -> datetime | None:
-    """Target high-water mark recorded by the table's latest successful run
-    (one filtered top-1 over the small run log); scan only if none exists."""
-    ev = _events(spark, root)
-    if ev is not None:
-        last = (ev.filter((F.col("table_name") == table) & (F.col("event_seq") == 1)
-                          & (F.col("status") == "success"))
-                .orderBy(F.col("id").desc()).select("target_max_timestamp").limit(1).collect())
-        if last and last[0][0] is not None:
-            return last[0][0]
+    """Target high-water mark of the table's latest successful run (one small
+    file); scan only if none is recorded."""
+    names = [n for n in list_files(spark, _marks_path(root, table)) if n.endswith(".json")]
+    if names:
+        mark = json.loads(read_text(spark, f"{_marks_path(root, table)}/{max(names, key=lambda n: int(n[:-5]))}"))["target_max_timestamp"]
+        if mark:
+            return datetime.fromisoformat(mark)
     cur = read_incremental(spark, root, table)
     return cur.agg(F.max(ts)).first()[0] if cur is not None else None
 
@@ -212,8 +347,9 @@ def _target_high_water(spark, root, table, ts) -> datetime | None:
 def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFrame,
                      overlap_hours: float = 0, ts: str = "timestamp") -> int:
     """Delete target rows at or after the cutoff, copy source rows at or
-    after it. Returns the run id. Source rows with a NULL timestamp are not
-    copied; their number is reported in the run details."""
+    after it, cast to the table's layout. Returns the run id. Source rows with a
+    NULL timestamp or one before 1900 are not copied; their numbers are reported in the
+    run details, counted by one job whose predicates reach the source."""
     run_id, started = _begin(spark, root, table, "incremental")
     rows = 0
     hwm = cutoff = None
@@ -221,6 +357,7 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
         hwm = _target_high_water(spark, root, table, ts)
         cutoff = BASELINE if hwm is None else max(hwm - timedelta(hours=overlap_hours), BASELINE)
         path = table_path(root, table)
+        layout = ensure_layout(spark, root, table, source, run_id)
         current = read_incremental(spark, root, table)
         cut_day = cutoff.date()
 
@@ -228,15 +365,13 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
         obs = Observation(f"inc_{run_id}")
         # The write also reports the days it covers (a set bounded by the
         # overlap window), so the source tail is scanned once.
-        tail = src_tail.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(ts).alias("max_ts"),
+        tail = conform(src_tail, layout).observe(obs, F.count(F.lit(1)).alias("rows"), F.max(ts).alias("max_ts"),
                                 F.collect_set(F.to_date(F.col(ts))).alias("days"))
         tail = tail.withColumn("date", F.to_date(F.col(ts)))
-        keep_days = set()
+        kept = Observation(f"kept_{run_id}")
         if current is not None:
             keep = current.filter((F.col("date") == date_lit(cut_day)) & (F.col(ts) < ts_lit(cutoff)))
-            if not keep.isEmpty():
-                keep_days.add(cut_day.isoformat())
-            tail = tail.unionByName(keep, allowMissingColumns=True)  # the source may have gained columns
+            tail = tail.unionByName(keep.observe(kept, F.count(F.lit(1)).alias("rows")))
         (tail.hint("rebalance", "date")
          .sortWithinPartitions("date", *[c for c in ("ID", "type") if c in tail.columns], ts)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -246,14 +381,18 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
             # Metrics were lost: no day may be removed on that ground.
             raise RuntimeError(f"no metrics of the write of {table}, though its source has rows")
         rows = int(m["rows"] or 0)
-        keep_days |= {d.isoformat() for d in (m["days"] or []) if d is not None}
+        keep_days = {d.isoformat() for d in (m["days"] or []) if d is not None}
+        if current is not None and observed(kept, ["rows"])["rows"] != 0:  # lost metrics keep the day
+            keep_days.add(cut_day.isoformat())
 
         # Day partitions at or after the cutoff day without rows now are gone at the source.
         for name in list_dirs(spark, path):
             if name.startswith("date=") and name[5:] >= cut_day.isoformat() and name[5:] not in keep_days:
                 delete_path(spark, f"{path}/{name}")
 
-        nulls = source.filter(F.col(ts).isNull()).count()
+        odd = source.filter(F.col(ts).isNull() | (F.col(ts) < ts_lit(BASELINE))).agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.col(ts)).alias("early")).first()
+        nulls, early = odd["n"] - odd["early"], odd["early"]
         if m["max_ts"] is not None:
             target_max = m["max_ts"]
         else:
@@ -262,7 +401,8 @@ def sync_incremental(spark: SparkSession, root: str, table: str, source: DataFra
         source_max = m["max_ts"] if m["max_ts"] is not None else source.agg(F.max(ts)).first()[0]
         next_cutoff = (max(target_max - timedelta(hours=overlap_hours), BASELINE)
                        if target_max is not None else BASELINE)
-        details = f"cutoff={iso(cutoff)}" + (f"; null_timestamps={nulls}" if nulls else "")
+        details = f"cutoff={iso(cutoff)}" + (f"; null_timestamps={nulls}" if nulls else "") + (
+            f"; before_1900={early}" if early else "")
         _finish(spark, root, run_id, table, "incremental", started, rows, "success", details,
                 source_max, target_max, next_cutoff)
     except Exception as exc:

@@ -8,6 +8,7 @@ the case in local tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -117,3 +118,55 @@ def touch(spark: SparkSession, path: str) -> None:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.create(hpath, True).close()
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small new file; False, and nothing written, when it exists. The file system decides
+    who is first, so of several drivers creating one path exactly one gets True."""
+    fs, hpath = _fs(spark, path)
+    fs.mkdirs(hpath.getParent())
+    if fs.getScheme() == "file":
+        # Hadoop's local file system looks and then creates; a hard link is one step.
+        local = hpath.toUri().getPath()
+        draft = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
+        with open(draft, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(draft, local)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(draft)
+    try:
+        out = fs.create(hpath, False)
+    except Exception as exc:  # noqa: BLE001
+        if "AlreadyExists" in str(exc) or "already exists" in str(exc):
+            return False
+        raise
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, hpath = _fs(spark, path)
+    stream = fs.open(hpath)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names of the files in a folder (none if it is missing) with their time of change in milliseconds."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        return {}
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(hpath) if s.isFile()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,60 @@ def target_schema(described_rows) -> T.StructType:
     return T.StructType(fields)
 
 
+def target_type_of(data_type: str, udt_name: str = "") -> str:
+    """The type map for one name on the driver (``target_type_name`` is the same for a column)."""
+    base = re.sub(r"\s*\(.*\)$", "", data_type.strip().lower())
+    base = model.SPARK_TYPE_SYNONYMS.get(base, base)
+    return next((to for name, udt, to in model.TYPE_NAME_MAP if base == name or (udt and udt_name.lower() == udt)),
+                model.TYPE_NAME_DEFAULT)
+
+
+@dataclass(frozen=True)
+class LayoutColumn:
+    """A column of a replica table: its type at the source, in the replica, and the run that added it."""
+
+    name: str
+    source_type: str
+    target_type: str
+    nullable: bool
+    since_run: int
+
+    @property
+    def spark_type(self) -> T.DataType:
+        return model.TARGET_SPARK_TYPES[self.target_type]
+
+
+def merged_layout(stored: list[LayoutColumn], source: DataFrame, run_id: int) -> list[LayoutColumn]:
+    """The stored columns as they are, then the source's other columns through the type
+    map, in the source's order. A column that the source has lost stays; a column
+    that joins a table already filled can be NULL, as older rows lack it."""
+    have = {c.name.lower() for c in stored}
+    new = [LayoutColumn(f.name, f.dataType.simpleString(), target_type_of(f.dataType.simpleString()),
+                        f.nullable or bool(stored), run_id)
+           for f in source.schema.fields if f.name.lower() not in have]
+    return stored + new
+
+
+def layout_schema(layout: list[LayoutColumn]) -> T.StructType:
+    return T.StructType([T.StructField(c.name, c.spark_type, c.nullable) for c in layout])
+
+
+def conform(df: DataFrame, layout: list[LayoutColumn]) -> DataFrame:
+    """``df`` in the layout's columns, order and types. Absent columns are NULL. A value
+    that the type cannot hold, or a NULL in a column without NULLs, fails the job that reads it."""
+    have = {f.name.lower(): f for f in df.schema.fields}
+    out = []
+    for c in layout:
+        field = have.get(c.name.lower())
+        col = F.lit(None) if field is None else F.col(f"`{field.name}`")
+        if field is None or field.dataType != c.spark_type:
+            col = col.cast(c.spark_type)
+        if not c.nullable and (field is None or field.nullable):
+            col = F.coalesce(col, F.raise_error(F.lit(f"NULL in column {c.name}, which allows none")).cast(c.spark_type))
+        out.append(col.alias(c.name))
+    return df.select(*out)
+
+
 def missing_columns(df: DataFrame, required) -> list[str]:
     """Required columns absent from ``df`` (schema only, no job)."""
     have = set(df.columns)

@@ -22,7 +22,7 @@ def test_entry_runs(spark):
     assert set(s) <= set(q)
     from sensorframe.plans import registry
     assert set(registry.Q) <= set(q)
-    assert set(registry.Q) - set(registry.SQL) == {"describe_table"}
+    assert set(registry.Q) == set(registry.SQL)
 
 
 def test_range_and_channel_pushed_to_scan(spark):

@@ -1,6 +1,7 @@
 """Replication (FIXTURES §4), stream ingest, snapshot append and read-through."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def test_full_refresh_keeps_recent_versions(spark):
     root = work_dir(spark, "synctest")
     meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
     for _ in range(5):
-        sync.sync_full(spark, root, "h", meta, keep_versions=2)
+        sync.sync_full(spark, root, "h", meta, keep_versions=2, keep_hours=0)
     assert sorted(list_dirs(spark, root + "/h")) == ["v=4", "v=5"]
     assert sync.read_full(spark, root, "h").count() == 1
 
@@ -251,3 +252,97 @@ def test_snapshot_dedup_only_after_plain_appends(spark):
     snapshot.append_facts(spark, root, _facts(spark, [(T[1], 5)]), skip_existing=False)
     read = snapshot.read_snapshot(spark, root, ids, ["a"], T[0], T[3] + timedelta(hours=1))
     assert sorted(r["value"] for r in read.collect()) == [5.0, 11.0, 30.0, 40.0]
+
+
+def test_full_refresh_spares_versions_in_use(spark):
+    from sensorframe.session import list_dirs
+    root = work_dir(spark, "synctest")
+    meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
+    sync.sync_full(spark, root, "h", meta)
+    planned = sync.read_full(spark, root, "h")
+    for _ in range(4):
+        sync.sync_full(spark, root, "h", meta.union(meta), keep_versions=2)
+    assert planned.count() == 1 and len(list_dirs(spark, root + "/h")) == 5
+
+
+def test_replica_layout_is_applied_and_grows(spark):
+    root = work_dir(spark, "synctest")
+    first = spark.createDataFrame([(T0, 1, "1.5", [1.0]), (T0 + timedelta(hours=9), 9, "9", [])], "timestamp timestamp_ntz, ID int, value string, list array<double>")
+    run = sync.sync_incremental(spark, root, "t", first, 0)
+    got = sync.read_incremental(spark, root, "t")
+    assert [(c, k) for c, k in got.dtypes] == [("timestamp", "timestamp_ntz"), ("ID", "int"), ("value", "string"), ("list", "string"), ("date", "date")]
+    # The source now has wider and narrower types, a new column and no list.
+    later = spark.createDataFrame([(T0 + timedelta(days=1), 2, 2.5, Decimal("7.25"))], "timestamp timestamp_ntz, ID long, value double, price decimal(9,2)")
+    second = sync.sync_incremental(spark, root, "t", later, 0)
+    got = sync.read_incremental(spark, root, "t").orderBy("timestamp")
+    assert dict(got.dtypes)["price"] == "decimal(38,18)"
+    assert [(r.ID, r.value, r.list, None if r.price is None else float(r.price)) for r in got.collect()] == [
+        (1, "1.5", "[1.0]", None), (2, "2.5", None, 7.25)]
+    layout = sync.stored_layout(spark, root, "t")
+    assert [(c.name, c.target_type, c.since_run) for c in layout] == [
+        ("timestamp", "TIMESTAMP WITHOUT TIME ZONE", run), ("ID", "INTEGER", run), ("value", "TEXT", run), ("list", "TEXT", run),
+        ("price", "NUMERIC", second)]
+    types = {r.column_name: r for r in sync.replica_types(spark, root, ["t", "missing"]).collect()}
+    assert types["price"].n_values == 1 and types["price"].n_rows == 2 and types["price"].stored_type == "decimal(38,18)"
+
+
+def test_replica_refuses_what_the_layout_cannot_hold(spark):
+    root = work_dir(spark, "synctest")
+    one = spark.range(1).selectExpr("id", "cast(id as smallint) AS small")
+    sync.sync_full(spark, root, "h", one)
+    assert not sync.stored_layout(spark, root, "h")[0].nullable
+    for bad in (spark.range(1).selectExpr("cast(null as bigint) AS id", "cast(1 as smallint) AS small"),
+                spark.range(1).selectExpr("id", "100000 AS small")):
+        with pytest.raises(Exception):
+            sync.sync_full(spark, root, "h", bad)
+        assert [tuple(r) for r in sync.read_full(spark, root, "h").collect()] == [(0, 0)]
+
+
+def test_type_map_is_one_rule(spark):
+    from sensorframe.functions.expressions import target_type_name
+    from sensorframe.sources.schema import target_type_of
+    names = [n for n, _, _ in model.TYPE_NAME_MAP] + list(model.SPARK_TYPE_SYNONYMS) + ["decimal(10,2)", "DOUBLE", "json", "array<int>", "Varchar (9)"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", target_type_name(F.col("n")).alias("t")).collect()
+    assert {r.n: r.t for r in rows} == {n: target_type_of(n) for n in names}
+
+
+def test_runs_at_the_same_time_have_their_own_ids(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    root = work_dir(spark, "synctest")
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda k: sync._begin(spark, root, f"t{k}", "full")[0], range(40)))
+    assert sorted(ids) == list(range(1, 41))
+    meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
+    with ThreadPoolExecutor(2) as pool:
+        two = list(pool.map(lambda n: sync.sync_full(spark, root, n, meta), ["a", "b"]))
+    assert sorted(two) == [41, 42]
+    assert {r["id"] for r in sync.sync_runs(spark, root).filter("status = 'success'").collect()} == {41, 42}
+
+
+def test_run_log_compaction_keeps_every_run(spark, monkeypatch):
+    from sensorframe.session import list_files
+    root = work_dir(spark, "synctest")
+    meta = spark.createDataFrame([(1, "t", "B", "F", "A", "V")], model.META_SCHEMA)
+    sync._begin(spark, root, "stuck", "full")
+    monkeypatch.setattr(sync, "COMPACT_AFTER", 6)
+    before = None
+    for _ in range(5):
+        sync.sync_full(spark, root, "h", meta)
+    runs = lambda: sorted((r["id"], r["table_name"], r["status"], r["rows_loaded"], r["finished_at"] is None) for r in sync.sync_runs(spark, root).collect())
+    before = runs()
+    assert before == [(1, "stuck", "running", 0, True)] + [(i, "h", "success", 1, False) for i in range(2, 7)]
+    assert len(list_files(spark, root + "/_sync_runs/events")) <= 8
+    sync.compact_runs(spark, root)
+    assert runs() == before and list(list_files(spark, root + "/_sync_runs/events")) == ["1-0.json"]
+    assert sync.sync_full(spark, root, "h", meta) == 7
+    assert {r["table_name"]: r["run_status"] for r in sync.sync_state(spark, root).collect()} == {"stuck": "running", "h": "success"}
+
+
+def test_incremental_run_takes_few_jobs(spark):
+    root = _seeded(spark)
+    src = _facts(spark, SOURCE + [(datetime(1850, 1, 1), 1)])
+    spark.sparkContext.setJobGroup("few-jobs", "one run")
+    run = sync.sync_incremental(spark, root, "t", src, 1)
+    spark.sparkContext.setJobGroup("", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 5
+    assert "before_1900=1" in sync.sync_runs(spark, root).filter(F.col("id") == run).first()["details"]
