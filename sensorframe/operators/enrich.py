@@ -36,12 +36,12 @@ def semi_keys(facts: DataFrame, ids: DataFrame, channels: DataFrame,
     Semi joins: duplicate keys on the right add no rows.
     """
     i = bounded_broadcast(ids.select(F.col(ids.columns[0]).cast("bigint").alias("ID")), broadcast_max_rows)
-    c = F.broadcast(channels.select(F.col(channels.columns[0]).alias("type")))
+    c = bounded_broadcast(channels.select(F.col(channels.columns[0]).alias("type")), broadcast_max_rows)
     return facts.join(i, "ID", "left_semi").join(c, "type", "left_semi").select(*model.FACT_COLUMNS)
 
 
 def values_without_data(selected: DataFrame, data: DataFrame, col: str = "vanity") -> DataFrame:
-    """Chosen values (e.g. vanities) with no row in ``data``."""
+    """Chosen values (e.g. vanities) with no row in ``data``, of which only the distinct values are shuffled."""
     s = selected.select(col).filter(F.col(col).isNotNull()).distinct()
-    present = data.select(col).filter(F.col(col).isNotNull())
+    present = data.select(col).filter(F.col(col).isNotNull()).distinct()
     return s.join(present, col, "left_anti")

@@ -9,13 +9,12 @@ Semantics (pandas ``groupby(keys).resample(freq)``):
 * the series axis is not padded to the query range.
 
 Plan shape: one partial/final aggregation on ``(keys, bin)`` (map-side
-combine, so a hot sensor is pre-reduced before the shuffle), then one window
-on the *aggregated* rows to find each bin's successor, then ``sequence`` +
-``posexplode`` to emit the gap bins. The expansion happens last so the
-shuffles carry sparse rows only. No self-join, no calendar table. After
-aggregation a series holds at most (time span / bin step) rows whatever the
-raw volume, so windows per series are safe even for a sensor that holds a
-third of the readings.
+combine, so a hot sensor is pre-reduced before the shuffle; the median is put
+together from several tasks, see ``quantiles``), then one window on the
+*aggregated* rows to find each bin's successor. Every stretch from a bin to its
+successor is cut at fixed calendar spans, the pieces are dealt by (series, span), and
+``sequence`` + ``explode`` emits their bins, so a series over decades expands in
+many tasks. The shuffles carry sparse rows only. No self-join, no calendar table.
 """
 
 from __future__ import annotations
@@ -24,9 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe import model
-from sensorframe.functions.bins import bin_label, bin_start, bin_step
+from sensorframe.functions.bins import bin_label, bin_start, bin_step, freq
 from sensorframe.operators.enrich import meta_keyed
 from sensorframe.operators.joins import bounded_broadcast
+from sensorframe.operators.quantiles import median_by
 
 AGG_FUNCS = tuple(model.AGG_FUNCTION_NAMES)
 
@@ -41,8 +41,19 @@ def _agg_expr(func: str, value: str = "value") -> Column:
         return F.max(v)
     if func == "min":
         return F.min(v)
-    # The reference's last branch: anything else is the median.
-    return F.median(v)
+    raise ValueError(f"no plain aggregate for {func!r}")
+
+
+def _sparse(binned: DataFrame, keys, func: str) -> DataFrame:
+    """``(keys, value)`` of the occupied bins; the reference's last branch: anything else is the median."""
+    if func in ("mean", "sum", "max", "min"):
+        return binned.groupBy(*keys).agg(_agg_expr(func).alias("value"))
+    return median_by(binned, keys)
+
+
+#: Days of the pieces that a series' axis is cut into, by bin: some thousands of bins each.
+#: Weeks and months are not cut, as a century has a few thousand of them.
+SPAN_DAYS = {"15min": 32, "hour": 128, "day": 4096}
 
 
 def _fill_value(func: str) -> Column:
@@ -55,6 +66,18 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     first and last bin. Gap bins get the function's empty value."""
     keys = list(keys)
     step = bin_step(frequency)
+    span = SPAN_DAYS.get(freq(frequency).name)
+    w = Window.partitionBy(*keys).orderBy(bin_col)
+    nxt = F.lead(bin_col).over(w)
+    rows = sparse.withColumn("_last", F.coalesce(nxt - step, F.col(bin_col)))
+    if span:
+        number = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / span).cast("int")
+        begin = lambda p: F.date_add(F.lit("1970-01-01").cast("date"), p * span).cast("timestamp_ntz")
+        rows = rows.withColumn("_span", F.explode(F.sequence(number(F.col(bin_col)), number(F.col("_last")))))
+        rows = rows.withColumns({"_from": F.greatest(F.col(bin_col), begin(F.col("_span"))),
+                                 "_to": F.least(F.col("_last"), begin(F.col("_span") + 1) - step)})
+    else:
+        rows = rows.withColumns({"_span": F.lit(0), "_from": F.col(bin_col), "_to": F.col("_last")})
     # The expansion multiplies rows after this shuffle, so its size says
     # little about the work behind it: fix the partition count (AQE does not
     # coalesce an explicit count) instead of letting small sparse input
@@ -62,14 +85,11 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     spark = sparse.sparkSession
     conf = spark.conf.get("spark.sql.shuffle.partitions")
     parts = int(conf) if str(conf).isdigit() else spark.sparkContext.defaultParallelism
-    sparse = sparse.repartition(parts, *keys)
-    w = Window.partitionBy(*keys).orderBy(bin_col)
-    nxt = F.lead(bin_col).over(w)
-    with_last = sparse.withColumn("_last", F.coalesce(nxt - step, F.col(bin_col)))
-    seq = with_last.select(*keys, value,
-                           F.posexplode(F.sequence(F.col(bin_col), F.col("_last"), step)).alias("_pos", "_bin"))
+    rows = rows.repartition(parts, *keys, "_span")
+    seq = rows.select(*keys, value, F.col(bin_col).alias("_own"),
+                      F.explode(F.sequence(F.col("_from"), F.col("_to"), step)).alias("_bin"))
     return seq.select(*keys, F.col("_bin").alias(bin_col),
-                      F.when(F.col("_pos") == 0, F.col(value)).otherwise(_fill_value(func)).alias(value))
+                      F.when(F.col("_bin") == F.col("_own"), F.col(value)).otherwise(_fill_value(func)).alias(value))
 
 
 def resample(df: DataFrame, frequency: str, func: str = "mean", keys=None,
@@ -83,32 +103,37 @@ def resample(df: DataFrame, frequency: str, func: str = "mean", keys=None,
     for k in keys:
         clean = clean.filter(F.col(k).isNotNull())
     binned = clean.select(*keys, bin_start(F.col(ts), frequency).alias("_bin"), F.col(value).alias("value"))
-    sparse = binned.groupBy(*keys, "_bin").agg(_agg_expr(func).alias("value"))
+    sparse = _sparse(binned, [*keys, "_bin"], func)
     dense = gap_fill(sparse, keys, "_bin", frequency, func) if fill else sparse
     return dense.select(*keys, bin_label(F.col("_bin"), frequency).alias("timestamp"), "value")
 
 
+def complete_meta(meta: DataFrame) -> DataFrame:
+    """Metadata rows without NULLs as ``(ID, attributes, _mult)``; _mult counts equal rows."""
+    m = meta_keyed(meta).dropna(subset=["ID", *model.META_ATTRS])
+    return m.groupBy("ID", *model.META_ATTRS).agg(F.count(F.lit(1)).alias("_mult"))
+
+
 def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str = "mean",
                     fill: bool = True) -> DataFrame:
     """Enrich-then-resample, computed as aggregate-then-enrich.
 
     Equal to ``resample(enrich(facts, meta), ...)``, but the aggregation runs
-    on the four narrow fact columns, the gap fill is partitioned by
-    ``(ID, type)`` only, and metadata (a dimension) is joined to the dense
-    bins. When its size check allows a broadcast, that join adds no shuffle
-    and the output stays hash-partitioned by ``(ID, type)``, so a following
-    rolling mean needs no exchange; a larger metadata table is joined by
-    sort-merge instead. Duplicate metadata rows are kept as a
+    on the four narrow fact columns, series without metadata are dropped before the gap
+    fill, and metadata (a dimension) is joined to the dense bins, by broadcast when its
+    size check allows it and by sort-merge otherwise. Duplicate metadata rows are kept as a
     multiplicity so ``sum`` still counts each copy, as the fan-out join would.
     """
     f = facts.filter(F.col("timestamp").isNotNull() & F.col("ID").isNotNull() & F.col("type").isNotNull())
     binned = f.select("ID", "type", bin_start(F.col("timestamp"), frequency).alias("_bin"), "value")
-    sparse = binned.groupBy("ID", "type", "_bin").agg(_agg_expr(func).alias("value"))
-    dense = gap_fill(sparse, ["ID", "type"], "_bin", frequency, func) if fill else sparse
-    m = meta_keyed(meta)
-    for a in model.META_ATTRS:
-        m = m.filter(F.col(a).isNotNull())
-    m = bounded_broadcast(m.groupBy("ID", *model.META_ATTRS).agg(F.count(F.lit(1)).alias("_mult")))
+    sparse = _sparse(binned, ["ID", "type", "_bin"], func)
+    m = bounded_broadcast(complete_meta(meta))
+    if fill:
+        # Series without metadata go before their bins are made.
+        known = sparse.join(m.select("ID"), "ID", "left_semi")
+        dense = gap_fill(known, ["ID", "type"], "_bin", frequency, func)
+    else:
+        dense = sparse
     joined = dense.join(m, "ID", "inner")
     if func == "sum":
         joined = joined.withColumn("value", F.col("value") * F.col("_mult"))

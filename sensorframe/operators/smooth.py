@@ -4,18 +4,17 @@
 ``(ID, type)`` ordered by timestamp (tie: value): NULLs are skipped, one
 non-null value is enough, ``n <= 0`` switches it off.
 
-A plain window partitioned by series puts a whole series in one task, and
-one sensor can hold a third of the data. A first aggregation measures the
-longest series; if it fits in one block the plain window is used (bounded,
-one shuffle). Otherwise the series is cut into blocks of ``block_rows``
-consecutive rows and each block also receives the last ``n-1`` rows of the
+A plain window partitioned by series would put a whole series in one task, and
+one sensor can hold a third of the data. The series is cut into blocks of
+``block_rows`` consecutive rows and each block also receives the last ``n-1`` rows of the
 block before it (a halo). Every block is then an independent window
-partition; halo rows are dropped after the average.
+partition; halo rows are dropped after the average. Every series goes this way, whatever its size.
 
-The row index that defines blocks is built without a series-wide window:
-rows are counted per (series, day) (partial aggregate), offsets are running
-sums over those counts (one row per series-day), and each row's index is its
-offset plus its number within (series, day).
+The row index that defines blocks is built without a window over a series or a
+day: rows are counted per (series, minute) (partial aggregate), minutes are summed up
+within their day and days within their series (running sums over those counts), and each
+row's index is its minute's offset plus its number within the minute. The largest single
+task holds one minute of one series, or one block.
 """
 
 from __future__ import annotations
@@ -26,14 +25,24 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 1 << 16
 
 
-def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestamp",
-                 value: str = "value", tie=("value",), block_rows: int = DEFAULT_BLOCK_ROWS,
-                 chunk: str = "day") -> DataFrame:
-    """Rolling mean of the last ``n`` rows per series (see module doc).
+def _row_offsets(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """``(_o0, _o1, ..., _off)``: rows of the series before each of its minutes."""
+    before = lambda *part: Window.partitionBy(*part)
+    upto = (Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_day", F.to_date("_minute"))
+    days = counts.groupBy(*keys, "_day").agg(F.sum("_cnt").alias("_cnt"))
+    days = days.select(*[F.col(k).alias(f"_d{i}") for i, k in enumerate([*keys, "_day"])],
+                       F.coalesce(F.sum("_cnt").over(before(*keys).orderBy("_day").rowsBetween(*upto)), F.lit(0)).alias("_days"))
+    within = counts.withColumn("_in", F.coalesce(F.sum("_cnt").over(
+        before(*keys, "_day").orderBy("_minute").rowsBetween(*upto)), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_d{i}")) for i, k in enumerate([*keys, "_day"])]
+    return within.join(days, same).select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate([*keys, "_minute"])],
+                                          (F.col("_days") + F.col("_in")).alias("_off"))
 
-    ``chunk`` ("day" or "hour") is the unit rows are numbered in before the
-    offsets are added: the largest single task holds one chunk of one series.
-    """
+
+def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestamp",
+                 value: str = "value", tie=("value",), block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Rolling mean of the last ``n`` rows per series (see module doc)."""
     if not n or n <= 1:
         return df
     keys = list(keys)
@@ -42,29 +51,14 @@ def rolling_mean(df: DataFrame, n: int, keys=("ID", "type"), ts: str = "timestam
     block = max(int(block_rows), n)
     halo = n - 1
 
-    # Size check: when no series is longer than one block, one window
-    # partition per series is bounded and needs a single shuffle.
-    longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if longest <= block:
-        plain = Window.partitionBy(*keys).orderBy(F.col(ts), *[F.col(t) for t in tie]).rowsBetween(-halo, 0)
-        null_key = F.lit(False)
-        for k in keys:
-            null_key = null_key | F.col(k).isNull()
-        return df.withColumn(value, F.when(null_key, F.lit(None).cast("double"))
-                             .otherwise(F.avg(F.col(value)).over(plain))).select(*cols)
-
-    unit = F.to_date(F.col(ts)) if chunk == "day" else F.window(F.col(ts), "1 hour").start
-    d = df.withColumn("_day", unit)
-    counts = d.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    okeys = keys + ["_day"]
-    offsets = counts.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(okeys)],
-                            F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-
-    within = Window.partitionBy(*keys, "_day").orderBy(F.col(ts), *[F.col(t) for t in tie])
+    # ``window`` would drop rows without a timestamp, ``date_trunc`` would bring in the session's zone.
+    d = df.withColumn("_minute", F.expr(f"make_timestamp_ntz(year(`{ts}`), month(`{ts}`), day(`{ts}`), hour(`{ts}`), minute(`{ts}`), 0)"))
+    offsets = _row_offsets(d, keys, ts)
+    okeys = [*keys, "_minute"]
+    within = Window.partitionBy(*okeys).orderBy(F.col(ts), *[F.col(t) for t in tie])
     d = d.withColumn("_rn", F.row_number().over(within))
     cond = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(okeys)]
-    d = d.join(offsets, cond, "inner").select(*cols, "_rn", "_off", "_day")
+    d = d.join(offsets, cond, "inner").select(*cols, "_rn", "_off")
     idx = F.col("_off") + F.col("_rn") - 1                      # 0-based index in the series
     home = F.floor(idx / block)
     in_tail = (idx % block) >= (block - halo)

@@ -415,7 +415,7 @@ SELECT count(*) AS data_points, count(DISTINCT "ID") AS sensors,
        count(DISTINCT "type") + coalesce(max(CASE WHEN "type" IS NULL THEN 1 ELSE 0 END), 0) AS channels,
        min("timestamp") AS first_ts, max("timestamp") AS last_ts FROM res""")
 def kpis_q(spark, d):
-    return kpis.kpis(resample.resample_series(dt.facts(spark, d), _meta(spark, d), "day", "mean"))
+    return kpis.resampled_kpis(dt.facts(spark, d), _meta(spark, d), "day")
 
 
 @query("kpi_text", f"""{BASE}, {_resampled_cte('day', 'mean')},
@@ -426,7 +426,7 @@ SELECT replace(format('{{:,}}', n), ',', '.') AS data_points_text, CAST(s AS VAR
        CAST(c AS VARCHAR) AS channels_text, strftime(a, '%Y-%m-%d') || ' → ' || strftime(z, '%Y-%m-%d') AS date_range_text
 FROM k""")
 def kpi_text(spark, d):
-    return kpis.kpi_text(kpis.kpis(resample.resample_series(dt.facts(spark, d), _meta(spark, d), "day", "mean")))
+    return kpis.kpi_text(kpis.resampled_kpis(dt.facts(spark, d), _meta(spark, d), "day"))
 
 
 @query("binary_series", f"""{BASE},

@@ -131,7 +131,7 @@ def create_file(spark: SparkSession, path: str, text: str) -> bool:
     who is first, so of several drivers creating one path exactly one gets True."""
     fs, hpath = _fs(spark, path)
     fs.mkdirs(hpath.getParent())
-    if fs.getScheme() == "file":
+    if fs.getUri().getScheme() == "file":
         # Hadoop's local file system looks and then creates; a hard link is one step.
         local = hpath.toUri().getPath()
         draft = f"{os.path.dirname(local)}/.{uuid.uuid4().hex}"
