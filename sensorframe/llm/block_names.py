@@ -69,7 +69,8 @@ def text_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = texts.select("row", F.struct("doc_id", "n_chars", F.sha2(F.col("t").cast("binary"), 256).alias(
         "text_sha256"), n.alias("blocks")).alias("info"), cut.alias("cut"))
     # A text's facts travel with its first block only.
-    rows = (texts.select("row", "info", F.posexplode("cut").alias("i", "block"))
+    # Outer, though no cut is empty: else Spark checks its size below the projection and normalises the text again for every block.
+    rows = (texts.select("row", "info", F.posexplode_outer("cut").alias("i", "block"))
             .select("row", "i", F.when(F.col("i") == 0, F.col("info")).alias("info"), "block"))
     names = saved(name_rows(rows, ["block"], "blocks"), "block-names")
     out = names.filter("info.blocks = 1").select("row", "info", "name")
