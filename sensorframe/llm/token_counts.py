@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,29 +88,43 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _invert(path: str, block_chars: int):
+    """(doc_id, n_bytes, text) -> a row for each pre-token of a block of documents, and one without a
+    pre-token that holds the documents' facts. Documents are numbered here, once,
+    so that both kinds of rows agree whatever order the input comes in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(path)
+        base = TaskContext.get().partitionId() << 40
+        held, ids, sizes, chars = defaultdict(list), [], [], 0
+
+        def block():
+            blank = [None] * len(held)
+            return pa.RecordBatch.from_arrays([
+                pa.array([*held, None], pa.string()), pa.array([base] * (len(held) + 1), pa.int64()),
+                list_column([*(np.array(x, np.int32) for x in held.values()), np.empty(0, np.int32)], pa.int32()),
+                pa.array([*blank, ids], pa.list_(pa.int64())), pa.array([*blank, sizes], pa.list_(pa.int64()))],
+                names=["pretoken", "base", "held", "doc_ids", "sizes"])
+
         for batch in batches:
-            rows, texts = batch.column(0).to_numpy(zero_copy_only=False).tolist(), batch.column(1)
-            held, chars, base = defaultdict(list), 0, None
-            for i, row in enumerate(rows):
+            texts = batch.column(2)
+            for i, (doc, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 text = texts[i].as_py()
                 counted, special = cutter.count(text)
-                base = row if base is None else base
-                # The row's own entry comes first, so that texts without tokens are counted too.
+                # The document's own entry comes first, so that texts without tokens are counted too.
                 for t, n in (("", special), *counted.items()):
-                    at = (row - base) << 16
+                    at = len(ids) << 16
                     while n > SHORT:
                         held[t].append(at | SHORT)
                         n -= SHORT
                     held[t].append(at | n)
+                ids.append(doc)
+                sizes.append(size)
                 chars += len(text)
-                if chars >= block_chars or i + 1 == len(rows) or not 0 <= rows[i + 1] - base <= SHORT:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(list(held), pa.string()), pa.array([base] * len(held), pa.int64()),
-                        list_column([np.array(x, np.int32) for x in held.values()], pa.int32())],
-                        names=["pretoken", "base", "held"])
-                    held, chars, base = defaultdict(list), 0, None
+                if chars >= block_chars or len(ids) > SHORT:
+                    yield block()
+                    base += len(ids)
+                    held, ids, sizes, chars = defaultdict(list), [], [], 0
+        if ids:
+            yield block()
     return run
 
 
@@ -133,10 +148,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     (no bytes, no tokens); repeated rows are counted one by one; no rows
     give no rows. ``over_limit``: more than ``limit`` tokens.
     """
-    rows = doc_texts(docs).withColumn("row", F.monotonically_increasing_id())
-    facts = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    blocks = saved(rows.select("row", "text").mapInArrow(
-        _invert(path, block_chars), "pretoken string, base long, held array<int>"), "pretokens")
+    rows = doc_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    saved_rows = saved(rows.mapInArrow(_invert(path, block_chars),
+                                       "pretoken string, base long, held array<int>, doc_ids array<long>, sizes array<long>"), "pretokens")
+    blocks = saved_rows.filter("pretoken IS NOT NULL").select("pretoken", "base", "held")
+    facts = (saved_rows.filter("pretoken IS NULL").select("base", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("i", "d"))
+             .select((F.col("base") + F.col("i")).alias("row"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_bytes")))
     words = blocks.select("pretoken").distinct().mapInArrow(_pieces(path), "word string, pieces int")
     sums = (blocks.join(words, F.col("pretoken") == F.col("word"))
             .select("pieces", "base", F.explode("held").alias("e"))
