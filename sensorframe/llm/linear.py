@@ -31,14 +31,19 @@ class Adam:
         return self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.999 ** self.t)) + 1e-8)
 
 
-def pack(rows: list[tuple[list[int], list[float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])]).astype(np.int64)
-    ind = np.concatenate([np.asarray(i, np.int64) for i, _ in rows]) if rows else np.empty(0, np.int64)
-    val = np.concatenate([np.asarray(v, np.float64) for _, v in rows]) if rows else np.empty(0)
-    return ind, val, ptr
-
-
 def sample_by_hash(ids, n: int, seed: int):
     """At most ``n`` rows of ``ids`` (doc_id, ...) in a seeded order of their ids."""
     from pyspark.sql import functions as F
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+
+
+def one_text_each(docs, chosen):
+    """(text, other columns of ``chosen``): one text for every id of ``chosen`` (doc_id, ..., a
+    bounded table without repeats), the first in order where rows repeat the id. A
+    partial aggregate picks it, so rows that share one id do not meet in a task."""
+    from pyspark.sql import functions as F
+
+    from .common import doc_texts
+    other = [c for c in chosen.columns if c != "doc_id"]
+    first = doc_texts(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return first.join(F.broadcast(chosen), "doc_id").select("text", *other)

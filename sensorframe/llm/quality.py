@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_texts, id_crc, mix64
-from .linear import Adam, back, sample_by_hash, score_rows, sigmoid
+from .linear import Adam, back, one_text_each, sample_by_hash, score_rows, sigmoid
 
 #: Hashed features: shares of characters and of pairs of them, and a few ratios of the whole text.
 NGRAMS, BITS, RATIOS = (1, 2), 12, 10
@@ -112,7 +112,7 @@ def _rows(docs: DataFrame, ids: DataFrame):
                 b.column(0), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()),
                 pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["kind", "i", "v"])
 
-    texts = doc_texts(docs).join(F.broadcast(ids), "doc_id").select("kind", "text")
+    texts = one_text_each(docs, ids).select("kind", "text")
     out: dict[int, list] = {0: [], 1: []}
     for r in texts.mapInArrow(run, "kind int, i binary, v binary").toLocalIterator():
         out[r["kind"]].append((bytes(r["i"]), bytes(r["v"])))
@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     documents by default), taken without their labels.
 
     The prior is the share of good rows among all of ``labels``. Labels that
-    are null or not 0/1 and ids that are null are left out. Without good
+    are null or not 0/1 and ids that are null are left out; of documents that repeat an id the
+    first text in order is learned. Without good
     texts or without unlabelled ones every text scores the prior (0.5
     without labels).
     """

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import doc_texts, id_crc, mix64, saved
-from .linear import Adam, back, pack, sample_by_hash, score_rows, sigmoid
+from .common import id_crc, mix64, saved
+from .linear import Adam, back, one_text_each, sample_by_hash, score_rows, sigmoid
 
 #: Lengths of the n-grams and hashed feature space.
 NGRAMS, BITS = (3, 4, 5, 6), 20
@@ -83,14 +83,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_ratio: flo
     """Model from at most ``sample`` labelled rows (doc_id, toxic) of ``labels``.
 
     Labels that are null or not 0/1 and rows without doc_id are left out; a doc_id
-    labelled twice counts as toxic if one row says so. Without labelled texts
+    labelled twice counts as toxic if one row says so, and of documents that repeat an
+    id the first text in order is learned. Without labelled texts
     of both classes the model scores every text with the share of toxic rows
     (0 without labels).
     """
     spark = docs.sparkSession
     ids = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     chosen = sample_by_hash(ids, sample, 5)  # at most `sample` ids: safe to broadcast
-    rows = saved(doc_texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "y"), "toxic-sample")
+    rows = saved(one_text_each(docs, chosen), "toxic-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
@@ -119,13 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, min_ratio: flo
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([
-                pa.array([present(t.as_py(), shared.value).tolist() for t in b.column(0)], pa.list_(pa.int32())),
+                pa.array([np.asarray(present(t.as_py(), shared.value), np.int32).tobytes() for t in b.column(0)], pa.binary()),
                 b.column(1)], names=["f", "y"])
 
-    got = [(r["f"], r["y"]) for r in rows.mapInArrow(features, "f array<int>, y int").toLocalIterator()]
-    got.sort()
-    used = np.unique(np.concatenate([np.asarray(f, np.int64) for f, _ in got]))
-    packed = pack([(np.searchsorted(used, f), ratio[np.asarray(f, np.int64)] / 4) for f, _ in got])
+    got = sorted((bytes(r["f"]), r["y"]) for r in rows.mapInArrow(features, "f binary, y int").toLocalIterator())  # at most `sample` rows
+    flat = np.frombuffer(b"".join(f for f, _ in got), np.int32)
+    used = np.unique(flat).astype(np.int64)
+    packed = (np.searchsorted(used, flat), ratio[flat].astype(np.float64) / 4,
+              np.concatenate([[0], np.cumsum([len(f) // 4 for f, _ in got])]).astype(np.int64))
     w, b = fit_logistic(packed, np.array([y for _, y in got], np.float64), len(used))
     weight = np.zeros(1 << BITS, np.float32)
     weight[used] = w * ratio[used] / 4

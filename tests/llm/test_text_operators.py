@@ -70,6 +70,44 @@ def test_token_counts(docs):
     assert token_counts.count_tokens(docs([]), path).count() == 0
 
 
+def test_token_counts_of_shuffled_rows(spark, docs):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    pairs = [(rng.choice([None, 1, 2, i]), " ".join(words(rng, rng.randrange(60)))) for i in range(300)]
+    expect = sorted(((-1 if i is None else i, len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in pairs))
+    frame = docs(pairs)
+    for shuffled in (frame.repartition(4), frame.repartition(3, "text").orderBy("text"), frame.unionByName(frame.limit(0)).repartition(2)):
+        got = token_counts.count_tokens(shuffled, path, block_chars=500).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in got) == expect
+    distinct = token_counts.count_tokens(frame.distinct(), path).collect()
+    assert {(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in distinct} == set(expect)
+
+
+def test_texts_are_normalised_once(docs, monkeypatch):
+    """The optimised plan of the first step holds the normalisation once, not in the lambda that cuts blocks."""
+    plans = []
+    keep = block_names.saved
+    monkeypatch.setattr(block_names, "saved", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    block_names.text_names(docs(CASES), block=64).count()
+    assert plans[0].count("translate(") == 1 and plans[0].count("Generate") == 1
+
+
+def test_one_id_on_many_rows_is_learned_once(spark, docs, monkeypatch):
+    pairs = [(1, f"you idiot number {i}") for i in range(400)] + [(i, f"a kind word {i}") for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, int(i == 1), int(i != 1)) for i in range(1, 40)], "doc_id long, toxic int, quality int")
+    sizes = []
+    keep = toxicity.saved
+    monkeypatch.setattr(toxicity, "saved", lambda df, name: (sizes.append(df.count()), keep(df, name))[1])
+    model = toxicity.fit(docs(pairs), labels, sample=39)
+    assert sizes == [39]
+    assert model.score("you idiot number 7") > model.score("a kind word 7")
+    learned = quality._rows(docs(pairs), spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, kind int"))
+    assert [len(learned[k][2]) - 1 for k in (0, 1)] == [1, 2]
+
+
 def test_fit_counts():
     rng = random.Random(5)
     for _ in range(200):
