@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,11 +21,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """Collects the folders that ``saved`` writes meanwhile, for whoever removes them."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the cluster's shared folder and read again: cuts
     the lineage and lets several consumers share one computation."""
     spark = df.sparkSession
     path = work_dir(spark, f"llm-{name}")
+    for folders in _noted:
+        folders.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
