@@ -19,6 +19,7 @@ from sensorframe.operators.indexing import global_index
 from sensorframe.plans import explore, quality, snapshot, sync
 from sensorframe.session import work_dir
 from sensorframe.sinks import csv as csv_sink
+from sensorframe.sources import chunked
 from sensorframe.sources import driver_tables as dt
 from sensorframe.sources.facts import read_timeseries, union_facts
 from sensorframe.sources.metadata import normalize_metadata
@@ -689,6 +690,33 @@ def read_through_growing(spark, d):
     return snapshot.read_through(spark, root, h, e, ids, ALL_CHANNELS, s2, e2, ROUTING)
 
 
+@query("read_through_quiet", f"""{BASE}
+SELECT * FROM facts WHERE "ID" IN {_EUROPE_IDS}
+  AND "timestamp" >= TIMESTAMP '2024-01-03' AND "timestamp" < TIMESTAMP '2024-01-09'""")
+def read_through_quiet(spark, d):
+    """Silent series of a settled range are covered too: the second call fetches nothing,
+    so it is given sources that would spoil the result."""
+    root = work_dir(spark, "quiet")
+    h, e, meta = dt.history(spark, d), dt.env(spark, d), _meta(spark, d)
+    ids = _ids_of(meta, facets.Selection(building=["EUROPE"]))
+    s1, e1 = filters.whole_days(date(2024, 1, 3), date(2024, 1, 8))
+    mark = datetime(2024, 1, 31)
+    snapshot.preload(spark, root, h, e, ids, ALL_CHANNELS, s1, e1, ROUTING, high_water=mark)
+    wrong = [t.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 1 SECOND")) for t in (h, e)]
+    return snapshot.read_through(spark, root, *wrong, ids, ALL_CHANNELS, s1, e1, ROUTING, high_water=mark)
+
+
+@query("chunked_scan", f"""{BASE}
+SELECT * FROM facts""")
+def chunked_scan(spark, d):
+    """The fact table copied in chunks: a first call that ends early, then one that goes on where it stopped."""
+    path = work_dir(spark, "chunked") + "/events"
+    f = dt.facts(spark, d)
+    chunked.copy_chunked(spark, path, f, "timestamp", rows=2_000, chunks_per_job=4, max_jobs=1)
+    chunked.copy_chunked(spark, path, f, "timestamp", rows=2_000)
+    return chunked.read_chunked(spark, path, f.schema)
+
+
 # --- replication -------------------------------------------------------------
 
 SYNC_TABLES = dict(zip(model.REPLICA_INCREMENTAL_TABLES, [dt.history, dt.env]))

@@ -8,7 +8,9 @@ Layout under ``root`` (a folder in shared storage):
 * ``meta/v=<n>/`` — metadata, one complete version per refresh; readers take
   the newest committed version, so a failed refresh never leaves a
   truncated table;
-* ``coverage/`` — ledger of loaded ranges ``(ID, type, from_ts, to_ts)``.
+* ``coverage/v=<n>/`` — ledger of loaded ranges ``(ID, type, from_ts, to_ts)``; loads
+  append to the newest version, and once it has many files adjacent and
+  overlapping ranges are merged into the next version.
 
 An append adds only rows whose ``(timestamp, ID, type)`` is not yet stored
 (anti join against the same days, after keeping one row per key of the
@@ -20,7 +22,7 @@ otherwise only the uncovered ranges are fetched from the source.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from sensorframe import model
 from sensorframe.functions.expressions import date_lit, ts_lit
 from sensorframe.operators.dedup import dedup_keep_first
 from sensorframe.operators.joins import bounded_broadcast
-from sensorframe.session import delete_path, list_dirs, observed, path_exists, touch
+from sensorframe.session import delete_path, list_dirs, list_files, observed, path_exists, touch
 from sensorframe.sources.facts import coerce_facts, empty_facts, read_timeseries
 from sensorframe.sources.metadata import empty_metadata, normalize_metadata
 
@@ -47,6 +49,37 @@ def _coverage_path(root):
     return f"{root}/coverage"
 
 
+#: Files of the ledger after which it is merged.
+COMPACT_AFTER = 64
+#: Hours after which a series' silence counts as final: what the source lacks that long before its
+#: newest reading is taken as never coming. The replication's overlap in service is as long.
+SETTLE_HOURS = 336
+
+
+def _ledger(spark: SparkSession, root: str) -> DataFrame | None:
+    done = _versions(spark, _coverage_path(root))
+    return spark.read.schema(COVERAGE_SCHEMA).parquet(f"{_coverage_path(root)}/v={done[-1]}") if done else None
+
+
+def merge_ranges(ranges: DataFrame) -> DataFrame:
+    """Adjacent and overlapping ``(ID, type, from_ts, to_ts)`` as one."""
+    w = Window.partitionBy("ID", "type").orderBy("from_ts", "to_ts")
+    ends = F.max("to_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(ends.isNull() | (ends < F.col("from_ts")), 1).otherwise(0)
+    runs = ranges.withColumn("_new", apart).withColumn("_run", F.sum("_new").over(w))
+    return (runs.groupBy("ID", "type", "_run").agg(F.min("from_ts").alias("from_ts"), F.max("to_ts").alias("to_ts"))
+            .select("ID", "type", "from_ts", "to_ts"))
+
+
+def compact_coverage(spark: SparkSession, root: str) -> None:
+    """The ledger merged into a new version; the old one goes when that is complete."""
+    done = _versions(spark, _coverage_path(root))
+    if done:
+        merge_ranges(_ledger(spark, root)).write.mode("overwrite").parquet(f"{_coverage_path(root)}/v={done[-1] + 1}")
+        for v in done:
+            delete_path(spark, f"{_coverage_path(root)}/v={v}")
+
+
 def _meta_path(root):
     return f"{root}/meta"
 
@@ -105,9 +138,9 @@ def append_facts(spark: SparkSession, root: str, facts: DataFrame,
            # AQE rebalance: right-sized files per (table, day), a hot day split over tasks
            .hint("rebalance", "source_table", "date")
            .sortWithinPartitions("source_table", "date", "ID", "type", "timestamp"))
-    out.write.mode("append").partitionBy("source_table", "date").parquet(_facts_path(root))
     if not skip_existing:
-        touch(spark, _dup_marker(root))
+        touch(spark, _dup_marker(root))  # first, so that a crash in between leaves no duplicates unread
+    out.write.mode("append").partitionBy("source_table", "date").parquet(_facts_path(root))
     return int(observed(obs, ["rows"])["rows"] or 0)
 
 
@@ -149,8 +182,12 @@ def _requests(ids: DataFrame, channels, start, end) -> DataFrame:
 
 
 def record_coverage(spark: SparkSession, root: str, ranges: DataFrame) -> None:
-    """Append ``(ID, type, from_ts, to_ts)`` rows to the ledger."""
-    ranges.select("ID", "type", "from_ts", "to_ts").write.mode("append").parquet(_coverage_path(root))
+    """Append ``(ID, type, from_ts, to_ts)`` rows to the ledger and merge it when it has grown."""
+    done = _versions(spark, _coverage_path(root))
+    path = f"{_coverage_path(root)}/v={done[-1] if done else 1}"
+    ranges.select("ID", "type", "from_ts", "to_ts").write.mode("append").parquet(path)
+    if len(list_files(spark, path)) > COMPACT_AFTER:
+        compact_coverage(spark, root)
 
 
 def missing_ranges(spark: SparkSession, root: str, ids: DataFrame, channels, start: datetime,
@@ -162,10 +199,9 @@ def missing_ranges(spark: SparkSession, root: str, ids: DataFrame, channels, sta
     are the missing ranges.
     """
     req = _requests(ids, channels, start, end)
-    cp = _coverage_path(root)
-    if not path_exists(spark, cp):
+    led = _ledger(spark, root)
+    if led is None:
         return req.select("ID", "type", F.col("req_from").alias("from_ts"), F.col("req_to").alias("to_ts"))
-    led = spark.read.schema(COVERAGE_SCHEMA).parquet(cp)
     iv = (led.join(req, ["ID", "type"])
           .filter((F.col("from_ts") < F.col("req_to")) & (F.col("to_ts") > F.col("req_from")))
           .select("ID", "type", "req_from", "req_to",
@@ -183,35 +219,52 @@ def missing_ranges(spark: SparkSession, root: str, ids: DataFrame, channels, sta
     return holes.unionByName(tails).unionByName(untouched)
 
 
-def _covered(spark: SparkSession, root: str, gaps: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """The parts of fetched ``gaps`` up to the last reading known of each
-    (ID, type): stored in ``[start, end)``, or the end of earlier coverage."""
+def _covered(spark: SparkSession, root: str, gaps: DataFrame, start: datetime, end: datetime,
+             settled: datetime | None) -> DataFrame:
+    """The parts of fetched ``gaps`` that need no further look: up to the last reading known of
+    each (ID, type), stored in ``[start, end)`` or the end of earlier coverage, and up to
+    ``settled`` whether there were readings or not."""
     marks = []
     stored = _stored(spark, root)
     if stored is not None:
         marks.append(stored.filter((F.col("date") >= date_lit(start)) & (F.col("date") <= date_lit(end))
                                    & (F.col("timestamp") >= ts_lit(start)) & (F.col("timestamp") < ts_lit(end)))
                      .select("ID", "type", F.col("timestamp").alias("seen")))
-    if path_exists(spark, _coverage_path(root)):
-        marks.append(spark.read.schema(COVERAGE_SCHEMA).parquet(_coverage_path(root)).select("ID", "type", F.col("to_ts").alias("seen")))
+    led = _ledger(spark, root)
+    if led is not None:
+        marks.append(led.select("ID", "type", F.col("to_ts").alias("seen")))
+    if settled is not None:
+        marks.append(gaps.select("ID", "type", ts_lit(settled).alias("seen")))
     if not marks:
         return gaps.limit(0)
-    seen = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
+    seen = marks[0]
+    for m in marks[1:]:
+        seen = seen.unionByName(m)
     return (gaps.join(seen.groupBy("ID", "type").agg(F.max("seen").alias("seen")), ["ID", "type"])
             .withColumn("to_ts", F.least("to_ts", "seen")).filter(F.col("from_ts") < F.col("to_ts"))
             # The ledger is read above and appended to by the caller.
             .select("ID", "type", "from_ts", "to_ts").checkpoint(eager=True))
 
 
+def source_high_water(*tables: DataFrame | None) -> datetime | None:
+    """Newest timestamp of the given tables."""
+    marks = [t.agg(F.max("timestamp")).first()[0] for t in tables if t is not None]
+    return max((m for m in marks if m is not None), default=None)
+
+
 def read_through(spark: SparkSession, root: str, history: DataFrame | None, env: DataFrame | None,
                  ids: DataFrame, channels, start: datetime, end: datetime,
                  routing: model.ChannelRouting = model.DEFAULT_ROUTING,
-                 snapshot_only: bool = False) -> DataFrame:
+                 snapshot_only: bool = False, high_water: datetime | None = None,
+                 settle_hours: float = SETTLE_HOURS) -> DataFrame:
     """Serve from the snapshot; fetch, append and record what it lacks.
 
     With ``snapshot_only`` the source is never read. A series counts as covered
-    only up to its last reading seen; what the source gains after that is
-    fetched by a later call (readings of one series arrive in time order).
+    up to its last reading seen (readings of one series arrive in time order), and
+    up to ``settle_hours`` before the source's newest reading in any case, so quiet
+    ranges are not fetched again; what the source gains after that is fetched by a later call.
+    ``high_water`` is the source's newest timestamp where the caller knows it (a
+    replica's state does); else it is looked up when something was fetched.
     """
     if not snapshot_only:
         gaps = missing_ranges(spark, root, ids, channels, start, end).checkpoint(eager=True)
@@ -223,16 +276,20 @@ def read_through(spark: SparkSession, root: str, history: DataFrame | None, env:
                        .filter((F.col("timestamp") >= F.col("from_ts")) & (F.col("timestamp") < F.col("to_ts")))
                        .select(*model.FACT_COLUMNS))
             append_facts(spark, root, fetched, routing, g[0], g[1])
-            record_coverage(spark, root, _covered(spark, root, gaps, g[0], g[1]))
+            newest = high_water or source_high_water(history, env)
+            settled = newest - timedelta(hours=settle_hours) if newest is not None else None
+            covered = _covered(spark, root, gaps, g[0], g[1], settled)
+            if not covered.isEmpty():
+                record_coverage(spark, root, covered)
     return read_snapshot(spark, root, ids, channels, start, end, routing)
 
 
 def preload(spark: SparkSession, root: str, history: DataFrame | None, env: DataFrame | None,
             ids: DataFrame, channels, start: datetime, end: datetime,
-            routing: model.ChannelRouting = model.DEFAULT_ROUTING) -> DataFrame:
+            routing: model.ChannelRouting = model.DEFAULT_ROUTING, **kw) -> DataFrame:
     """Materialise a scope x channels x range into the snapshot (only the
     uncovered parts are fetched) and return the stored rows of the range."""
-    return read_through(spark, root, history, env, ids, channels, start, end, routing)
+    return read_through(spark, root, history, env, ids, channels, start, end, routing, **kw)
 
 
 # --- metadata: versioned full refresh ---------------------------------------
