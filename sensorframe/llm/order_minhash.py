@@ -4,24 +4,26 @@ A text's runs of five words (k-mers) are labelled with their occurrence, so
 that repeats count. Every sketch value takes the ``PICKS`` k-mers with
 the smallest hashes under its own seed and keeps them in text order: equal
 values need the same k-mers in the same order, which follows edit similarity
-rather than plain overlap. Texts that share a sketch value are candidates;
-scattered edits lower the chance of that (measured in the README).
+rather than plain overlap. Texts that share a sketch value are candidates: two
+k-mers a value and 64 values find at least 9 in 10 pairs up to the least similarity
+that the alignment accepts (measured in the README and in the tests).
 Candidates are aligned word by word inside a band; at least ``SIMILARITY`` of
 the longer text must stay without edits.
 
 Copies with the same words collapse first. Every text is compared with the
 leader of its most shared sketch value (in large groups with a sub-leader, which
 is compared with the leader), and linked texts form classes; in every value,
-the first text of each class is then compared with the value's first text. Then members of one sketch value that
+the leader of each class is then compared with the value's leader. Leaders are the texts that
+share their values with the most others. Then members of one sketch value that
 are still in different classes are compared with each other, unless a bound
 on word counts already rules them out, and the classes are joined. Pairs inside
 one class need no comparison, because the classes would not change. A value
 with many members in several classes comes from a passage that unrelated
 texts share; its members are compared when they share one of their rarest
-words too. An edit changes one word, so that texts that pass the alignment have
-``SIMILARITY`` of the longer text's words in common, and each has a common one among
-its ``1 - SIMILARITY`` rarest: no pair that the alignment accepts is lost, and the
+pairs of words too, which all that pass the alignment do (``rare_kmers``): the
 classes are the same as if all members were compared. No sketch value is cut short.
+What is left is compared round by round, nearest first by the bound, so that a large
+group grows together by as many comparisons as it has texts.
 """
 
 from __future__ import annotations
@@ -40,12 +42,14 @@ from .common import WordIds, keep_rows, list_column, mix64, numbered, row_texts,
 from .components import components
 
 #: Words of a k-mer, k-mers of a sketch value, sketch values of a text, least similarity.
-KMER, PICKS, SKETCHES, SIMILARITY = 5, 4, 24, 0.8
+KMER, PICKS, SKETCHES, SIMILARITY = 5, 2, 64, 0.8
 #: Sub-leaders of one sketch value.
 SUBLEADERS = 256
 #: Members of a sketch value in several classes beyond which pairs are found by a shared rare word;
 #: it changes the work, not the classes.
 WIDE = 64
+#: Words of the k-mers of which members of such values must share a rare one.
+RARE = 2
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 128
 WORD = re.compile(r"\w+")
@@ -66,6 +70,10 @@ def labelled_kmers(ids: np.ndarray, k: int = KMER) -> np.ndarray:
     return mix64(grams + nth * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Hashes of k-mers under several seeds that are held at once.
+CELLS = 1 << 16
+
+
 def sketch(ids: np.ndarray, k: int = KMER, picks: int = PICKS, sketches: int = SKETCHES) -> np.ndarray:
     """Sketch values of a word sequence; none for fewer than ``k`` words. With
     fewer k-mers than ``picks`` all of them are taken."""
@@ -73,19 +81,23 @@ def sketch(ids: np.ndarray, k: int = KMER, picks: int = PICKS, sketches: int = S
     n = len(labelled)
     if not n:
         return np.empty(0, np.uint64)
-    take = min(picks, n)
-    out = np.empty(sketches, np.uint64)
-    for s in range(sketches):
-        h = (labelled ^ np.uint64((0x632BE59BD9B4E019 * (s + 1)) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+    take, step = min(picks, n), max(1, CELLS // n)
+    seeds = np.arange(1, sketches + 1, dtype=np.uint64)
+    out = []
+    for s in range(0, sketches, step):
+        v = seeds[s:s + step]
+        h = (labelled ^ (v * np.uint64(0x632BE59BD9B4E019))[:, None]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9FB21C651E98DF25)
-        at = np.sort(np.argpartition(h, take - 1)[:take]) if take < n else np.arange(n)
-        v = s + 1
-        for g in labelled[at].tolist():
-            v = ((v * 0xFF51AFD7ED558CCD) ^ g) & 0xFFFFFFFFFFFFFFFF
-            v ^= v >> 29
-        out[s] = v
-    return out
+        line, at = np.arange(len(v)), np.empty((len(v), take), np.int64)
+        for i in range(take):  # the smallest, then the smallest of the rest, ...
+            at[:, i] = h.argmin(axis=1)
+            h[line, at[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        for g in labelled[np.sort(at, axis=1)].T:  # in text order
+            v = (v * np.uint64(0xFF51AFD7ED558CCD)) ^ g
+            v ^= v >> np.uint64(29)
+        out.append(v)
+    return np.concatenate(out)
 
 
 def band_distance(a: list, b: list, most: int) -> int:
@@ -175,24 +187,33 @@ def _kmer_rows(k: int):
     return run
 
 
-def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = KMER) -> DataFrame:
-    """(row, kmer) for the k-mers among the ``1 - similarity`` rarest of a row of
-    ``texts`` (row, size, body) that another row has too. Two rows with
-    ``similarity`` of the longer one's k-mers in common share one of these: ranked
-    in one order, the rarest common k-mer can't come later in either. Rows are
-    ranked by the number of texts that hold the k-mer, then by hash. With ``k`` 1
-    that holds for every pair of word-edit similarity ``similarity``; one edit
-    breaks up to ``k`` k-mers, so that longer ones miss such pairs."""
+def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = RARE) -> DataFrame:
+    """(row, kmer) for the rarest k-mers of each row of ``texts`` (row, size, body),
+    as far as another row has them too. An edit breaks up to ``k`` k-mers, so a row
+    of n words lacks at most ``k * (1 - similarity) * n`` k-mers of a row that is
+    near to it, and the two share one among that many rarest and one more: ranked in
+    one order, the rarest common k-mer can't come later in either. K-mers that bring no
+new pair together are left out. That holds for
+    every pair of word-edit similarity ``similarity`` that has a k-mer in common at
+    all (for pairs of words and 0.8: from four words on). Rows are ranked by the number
+    of texts that hold the k-mer, then by hash."""
     kmers = saved(texts.select("row", "body").mapInArrow(_kmer_rows(k), "row long, kmer long"), "omh-kmers")
     held = saved(kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "omh-held")
     ranked = kmers.join(held, "kmer").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("texts", "kmer"))).alias("common"))
     total = F.col("size") - F.lit(k - 1)
-    rarest = total - F.ceil(similarity * total - 1e-9) + 1
+    rarest = F.least(total, F.floor(F.lit(k * (1 - similarity)) * F.col("size") + 1e-9) + 1)
     # k-mers that no other row holds come first.
     take = (rarest - (total - F.size("common"))).cast("int")
-    return (ranked.join(texts.select("row", "size"), "row").withColumn("take", take).filter("take > 0")
-            .select("row", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("x")).select("row", "x.kmer"))
+    first = (ranked.join(texts.select("row", "size"), "row").withColumn("take", take).filter("take > 0")
+             .select("row", F.slice("common", F.lit(1), F.col("take"))["kmer"].alias("kmers")))
+    rare = saved(first.select("row", F.explode(F.transform("kmers", lambda x, i: F.struct(
+        x.alias("kmer"), F.get("kmers", i - 1).alias("before")))).alias("x")).select("row", "x.*"), "omh-rare")
+    # A k-mer that follows one and the same k-mer in all its rows adds no pair to that one's; of a passage
+    # that many rows share, only the first k-mers are left.
+    plain = rare.groupBy("kmer").agg(F.min("before").alias("lo"), F.max("before").alias("hi"),
+                                     F.count_if(F.col("before").isNull()).alias("starts")).filter("lo = hi and starts = 0")
+    return rare.join(plain.select("kmer"), "kmer", "left_anti").select("row", "kmer")
 
 
 def _aligned(similarity: float):
@@ -211,7 +232,7 @@ def _aligned(similarity: float):
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, label: str) -> DataFrame:
     """``pairs`` (a, b) with ``same``; each side's text is fetched once per pair."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    used = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     bodies = saved(texts.join(used, "row", "left_semi").select("row", "body"), label + "-texts")
     left = bodies.select(F.col("row").alias("a"), F.col("body").alias("x"))
     right = bodies.select(F.col("row").alias("b"), F.col("body").alias("y"))
@@ -252,13 +273,15 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     # Values of one text need no comparison.
     many = drawn.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     live = saved(drawn.join(many, "value"), "omh-live")
+    # Of near copies of one text, those with the fewest edits share their values with the most texts; they lead.
+    weight = saved(live.groupBy("row").agg(F.sum("members").alias("weight"),
+                                           F.max(F.struct("members", "value"))["value"].alias("value")), "omh-weight")
     # First every text with the leader of its most shared value, through a sub-leader.
-    chosen = live.groupBy("row").agg(F.max(F.struct("members", "value"))["value"].alias("value")).withColumn(
-        "salt", F.pmod(F.xxhash64("row"), F.lit(SUBLEADERS)))
-    subs = saved(chosen.groupBy("value", "salt").agg(F.min("row").alias("sub")), "omh-subs")
-    heads = saved(subs.groupBy("value").agg(F.min("sub").alias("head")), "omh-heads")
-    to_sub = chosen.join(subs, ["value", "salt"]).select(F.col("sub").alias("a"), F.col("row").alias("b"))
-    to_head = subs.join(heads, "value").select(F.col("head").alias("a"), F.col("sub").alias("b"))
+    chosen = weight.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SUBLEADERS)))
+    subs = saved(chosen.groupBy("value", "salt").agg(_leader().alias("sub")), "omh-subs")
+    heads = saved(subs.groupBy("value").agg(F.max("sub").alias("head")), "omh-heads")
+    to_sub = _pair(chosen.join(subs, ["value", "salt"]), -F.col("sub.no"), F.col("row"))
+    to_head = _pair(subs.join(heads, "value"), -F.col("head.no"), -F.col("sub.no"))
 
     def test(pairs, done, step):
         fresh = pairs.filter("a <> b").distinct()
@@ -277,15 +300,16 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     tested = test(to_sub.unionByName(to_head), None, "omh-1")
     _, placed = classes_of(tested)
     # Then the first text of every class in a value with the value's first text.
-    firsts = saved(_mixed(placed).groupBy("value", "label").agg(F.min("row").alias("row")), "omh-firsts")
-    heads = saved(firsts.groupBy("value").agg(F.min("row").alias("head")), "omh-heads")
-    tested = test(firsts.join(heads, "value").select(F.col("head").alias("a"), F.col("row").alias("b")), tested, "omh-2")
-    _, placed = classes_of(tested)
+    firsts = saved(_mixed(placed).join(weight.select("row", "weight"), "row").groupBy("value", "label").agg(
+        _leader().alias("first")), "omh-firsts")
+    heads = saved(firsts.groupBy("value").agg(F.max("first").alias("head")), "omh-heads")
+    tested = test(_pair(firsts.join(heads, "value"), -F.col("head.no"), -F.col("first.no")), tested, "omh-2")
+    label, placed = classes_of(tested)
     # Last, members of one value in different classes, compared once each.
     split = saved(_mixed(placed), "omh-split")
     narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(None).cast("array<long>").alias("wide"))
     placed = saved(split.filter(F.col("members") > WIDE).groupBy("row", "label").agg(F.collect_set("value").alias("wide")), "omh-wide")
-    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity, 1)
+    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity)
     wide = _mixed(rare.join(placed.select("row", "label"), "row").select(F.col("kmer").alias("value"), "row", "label"))
     wide = wide.select("value", "row", "label").join(placed.select("row", "wide"), "row").select("value", "row", "label", "wide")
     # Dealt by row, so that the members of one value start in many tasks.
@@ -294,9 +318,31 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
                     & (F.col("l.label") != F.col("r.label"))
                     & F.coalesce(F.arrays_overlap("l.wide", "r.wide"), F.lit(True)) & _in_reach("l.", "r.", similarity)).select(
-        F.col("l.row").alias("a"), F.col("r.row").alias("b"))
-    tested = test(across, tested, "omh-3")
-    label, _ = classes_of(tested)
+        F.col("l.row").alias("a"), F.col("r.row").alias("b"), _least_edits("l.", "r.").alias("edits")).distinct()
+    left = saved(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-across")
+    # Round by round every class and every text first meets the one that word counts leave nearest;
+    # when that links nothing more, what is still in different classes is compared to the last pair.
+    linking = True
+    while True:
+        of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
+        left = saved(left.select("a", "b", "edits").join(of_a, "a", "left").join(of_b, "b", "left").select(
+            "a", "b", "edits", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
+            .join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-left")
+        if left.isEmpty():
+            break
+        nearest = left.select("a", "b")
+        if linking:
+            best = [left.groupBy(side).agg(F.min(F.struct("edits", "a", "b")).alias("p")).select("p.a", "p.b")
+                    for side in ("la", "lb", "a", "b")]
+            nearest = best[0].union(best[1]).union(best[2]).union(best[3]).distinct()
+        got = saved(verified(saved(nearest, "omh-pairs"), table, similarity, "omh-3"), "omh-tested")
+        tested = saved(tested.unionByName(got), "omh-tested")
+        linked = not got.filter("same").isEmpty()
+        if linked:
+            label, _ = classes_of(tested)
+        if not linking:
+            break
+        linking = linked
     links = tested.filter("same").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # Back to rows: every row takes the class of its representative.
@@ -312,6 +358,15 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
                     (F.col("row") == F.col("best.row")).alias("kept")))
 
 
+def _leader():
+    """The row of the greatest weight, then the first, as (weight, -row)."""
+    return F.max(F.struct("weight", (-F.col("row")).alias("no")))
+
+
+def _pair(df: DataFrame, x, y) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """Rows of ``placed`` (value, row, label) whose value has several labels,
     with the value's number of members."""
@@ -320,16 +375,20 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(several.select("value", "members"), "value").select("value", "row", "label", "members")
 
 
-def _in_reach(a: str, b: str, similarity: float):
-    """Whether word counts (columns size and slots of two sides) leave a pair
-    possible: an edit changes the counts of the slots by one up and one down at
-    most, so the larger of the words to add and the words to remove bounds the
-    edits from below."""
+def _least_edits(a: str, b: str):
+    """Edits that word counts (columns size and slots of two sides) leave needed at
+    least: an edit changes the counts of the slots by one up and one down at most, so
+    the larger of the words to add and the words to remove bounds them from below."""
     gain = F.aggregate(F.zip_with(F.col(a + "slots"), F.col(b + "slots"), lambda x, y: F.greatest(x - y, F.lit(0))),
                        F.lit(0), lambda s, x: s + x)
+    return F.greatest(gain, gain + F.col(b + "size") - F.col(a + "size"))
+
+
+def _in_reach(a: str, b: str, similarity: float):
+    """Whether word counts leave a pair possible."""
     na, nb = F.col(a + "size"), F.col(b + "size")
     most = F.lit(1 - similarity) * F.greatest(na, nb) + 1e-9
-    return (F.abs(na - nb) <= most) & (F.greatest(gain, gain + nb - na) <= most)
+    return (F.abs(na - nb) <= most) & (_least_edits(a, b) <= most)
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
