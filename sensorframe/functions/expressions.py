@@ -63,6 +63,11 @@ def ceil_div(a, b) -> Column:
     return F.floor((_c(a) + _c(b) - 1) / _c(b)).cast("long")
 
 
+def per_second(amount, seconds) -> Column:
+    """Amount per second; 0 when no time passed."""
+    return F.when(_c(seconds) > 0, _c(amount) / _c(seconds)).otherwise(F.lit(0.0))
+
+
 def channel_map_column(mapping: dict | None = None) -> Column:
     """Sensor type -> channel list as a ``map<string, array<string>>`` literal."""
     mapping = model.SENSOR_CHANNELS if mapping is None else mapping

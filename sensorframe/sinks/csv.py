@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe import model
-from sensorframe.session import observed
+from sensorframe.session import ensure_checkpoint_dir, observed
 
 WHOLE_SECONDS = "yyyy-MM-dd HH:mm:ss"
 WITH_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -42,7 +42,11 @@ def _writer(df: DataFrame, single_file: bool):
 
 def write_export_csv(df: DataFrame, path: str, single_file: bool = False,
                      timestamp_format: str | None = None) -> int:
-    """Write the export and return the number of rows written."""
+    """Write the export and return the number of rows written. Without a given format the rows are
+    kept in the checkpoint folder, so that the look for fractions and the write share one evaluation."""
+    if timestamp_format is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     fmt = timestamp_format or (WITH_MICROS if _has_fraction(df) else WHOLE_SECONDS)
     obs = Observation("export")
     watched = df.observe(obs, F.count(F.lit(1)).alias("rows"))
