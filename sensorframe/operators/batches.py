@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from time import perf_counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe import model
 from sensorframe.functions.expressions import per_second
-from sensorframe.operators.indexing import global_index
+from sensorframe.operators.indexing import global_index, running_sum
 from sensorframe.operators.joins import bounded_broadcast
 
 
@@ -29,8 +29,8 @@ def batch_load_stats(facts: DataFrame, ids: DataFrame, size: int = model.DEFAULT
                      id_col: str = "ID") -> DataFrame:
     """Per batch: ids, rows loaded, cumulative rows, and the batch count.
 
-    The batch table has one row per id; the per-batch table one row per
-    batch, and the running total is a window over those few rows.
+    The batch table has one row per id, the per-batch table one row per
+    batch; the running total is summed in blocks of batches.
     """
     b = batch_numbers(ids, size, id_col)
     total = b.agg(F.max("batch_no")).first()[0] or 0
@@ -38,10 +38,7 @@ def batch_load_stats(facts: DataFrame, ids: DataFrame, size: int = model.DEFAULT
     rows = facts.join(bounded_broadcast(b), "ID").groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"))
     stats = per_batch_ids.join(rows, "batch_no", "left").select(
         "batch_no", "n_ids", F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"))
-    # One row per batch (ids / size rows): the running total is a small window.
-    running = Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, 0)
-    return stats.select("batch_no", "n_ids", "rows", F.sum("rows").over(running).cast("long").alias("cum_rows"),
-                        F.lit(total).cast("long").alias("total_batches"))
+    return running_sum(stats, "batch_no", "rows", "cum_rows").withColumn("total_batches", F.lit(total).cast("long"))
 
 
 def load_batches(facts: DataFrame, ids: DataFrame, path: str, size: int = model.DEFAULT_BATCH_SIZE,

@@ -114,6 +114,13 @@ def complete_meta(meta: DataFrame) -> DataFrame:
     return m.groupBy("ID", *model.META_ATTRS).agg(F.count(F.lit(1)).alias("_mult"))
 
 
+def sparse_bins(facts: DataFrame, frequency: str, func: str = "mean") -> DataFrame:
+    """``(ID, type, _bin, value)``: the occupied bins of every series."""
+    f = facts.filter(F.col("timestamp").isNotNull() & F.col("ID").isNotNull() & F.col("type").isNotNull())
+    binned = f.select("ID", "type", bin_start(F.col("timestamp"), frequency).alias("_bin"), "value")
+    return _sparse(binned, ["ID", "type", "_bin"], func)
+
+
 def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str = "mean",
                     fill: bool = True) -> DataFrame:
     """Enrich-then-resample, computed as aggregate-then-enrich.
@@ -124,9 +131,7 @@ def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str
     size check allows it and by sort-merge otherwise. Duplicate metadata rows are kept as a
     multiplicity so ``sum`` still counts each copy, as the fan-out join would.
     """
-    f = facts.filter(F.col("timestamp").isNotNull() & F.col("ID").isNotNull() & F.col("type").isNotNull())
-    binned = f.select("ID", "type", bin_start(F.col("timestamp"), frequency).alias("_bin"), "value")
-    sparse = _sparse(binned, ["ID", "type", "_bin"], func)
+    sparse = sparse_bins(facts, frequency, func)
     m = bounded_broadcast(complete_meta(meta))
     if fill:
         # Series without metadata go before their bins are made.

@@ -461,21 +461,20 @@ SELECT {'p.vanity, ' if vanity_col else ''}p.group_no, p.group_count, {title} AS
 FROM pts p JOIN fl USING ({keys})"""
 
 
-Q["panels_by_channel"] = lambda spark, d: _rv(panels.panels_by_channel(
-    resample.resample_series(dt.facts(spark, d), _meta(spark, d), "day", "mean"), 12))
+Q["panels_by_channel"] = lambda spark, d: _rv(panels.resampled_panels(
+    dt.facts(spark, d), _meta(spark, d), "day", "mean", 12))
 SQL["panels_by_channel"] = _panel_sql(
     'group_no, "type"', "'Time series — ' || p.\"type\" || ' (group ' || p.group_no || '/' || p.group_count || ')'")
-Q["panels_all_channels"] = lambda spark, d: _rv(panels.panels_all_channels(
-    resample.resample_series(dt.facts(spark, d), _meta(spark, d), "day", "mean"), 12))
+Q["panels_all_channels"] = lambda spark, d: _rv(panels.resampled_panels(
+    dt.facts(spark, d), _meta(spark, d), "day", "mean", 12, by_channel=False))
 SQL["panels_all_channels"] = _panel_sql(
     "group_no", "'Time series (group ' || p.group_no || '/' || p.group_count || ')'")
 
 
 def panels_by_vanity(spark, d):
     meta = _meta(spark, d)
-    res = resample.resample_series(dt.facts(spark, d), meta, "day", "mean")
     chosen = facets.facet_filter(meta, facets.Selection(building=["ASIA"], area=["AUTOMOBILE"])).select("vanity")
-    return _rv(panels.panels_by_vanity(res, chosen, 12))
+    return _rv(panels.resampled_panels(dt.facts(spark, d), meta, "day", "mean", 12, vanities=chosen))
 
 
 Q["panels_by_vanity"] = panels_by_vanity

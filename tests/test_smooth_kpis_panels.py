@@ -106,3 +106,33 @@ def test_kpis_count_missing_channel(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1), 1.0, 1, None), (datetime(2024, 1, 2), 1.0, 1, "a")],
                                "timestamp timestamp_ntz, value double, ID long, type string")
     assert kpis.kpis(df).first().channels == 2
+
+
+@pytest.mark.parametrize("func, freq", [("mean", "H"), ("sum", "W"), ("sum", "D")])
+def test_resampled_panels_equal_panels_of_the_dense_frame(spark, facts_df, func, freq):
+    from sensorframe.operators import resample
+    facts = facts_df([("2024-01-01 00:10", 0.5, 1, "a"), ("2024-01-01 05:00", 0.5, 1, "a"), ("2024-03-01 00:00", 0.0, 2, "a"),
+                      ("2024-01-02 00:00", None, 3, "b"), ("2024-01-02 03:00", float("inf"), 3, "b"),
+                      ("2024-01-02 01:00", float("inf"), 4, "b"), ("2024-01-02 01:00", 7.0, 5, "a"), ("2024-01-02 01:00", 7.0, 9, "a"),
+                      (None, 7.0, 1, "a"), ("2024-01-02 01:00", 7.0, None, "a"), ("2024-01-02 01:00", 7.0, 1, None)])
+    # Sensor 1 is there twice with equal attributes and once under another name; sensor 5 lacks an attribute, 9 has no row.
+    meta = spark.createDataFrame([
+        (1, "x", "h", "1", "w", "t"), (1, "x", "h", "1", "w", "t"), (1, "y", "h", "1", "w", "t"), (2, "", "h", "1", "w", "t"),
+        (3, "", "h", "1", "w", "t"), (4, "y", "h", "1", "w", "t"), (5, "y", None, "1", "w", "t")],
+        "id long, vanity string, building string, floor string, area string, nodeTypeName string")
+    dense = resample.resample_series(facts, meta, freq, func)
+    chosen = ["x", ""]
+    for want, got in ((panels.panels_by_channel(dense, 2), panels.resampled_panels(facts, meta, freq, func, 2)),
+                      (panels.panels_all_channels(dense, 2), panels.resampled_panels(facts, meta, freq, func, 2, by_channel=False)),
+                      (panels.panels_by_vanity(dense, chosen, 1), panels.resampled_panels(facts, meta, freq, func, 1, vanities=chosen))):
+        assert got.columns == want.columns
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert panels.resampled_panels(facts.limit(0), meta, freq, func, 2).count() == 0
+
+
+def test_running_sum_over_blocks(spark):
+    from sensorframe.operators.indexing import running_sum
+    rows = [(i, i % 7) for i in range(1, 24)]
+    got = running_sum(spark.createDataFrame(rows, "k long, v long"), "k", "v", "s", block=5).orderBy("k").collect()
+    assert [r.s for r in got] == [sum(v for _, v in rows[:i]) for i in range(1, 24)]
