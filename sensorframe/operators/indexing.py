@@ -52,7 +52,8 @@ def table_page(df: DataFrame, page: int, page_size: int, order_cols=("timestamp"
 
     ``ORDER BY ... OFFSET ... LIMIT`` is planned as a per-partition top-k of
     (offset + limit) rows merged in one task, so a page costs one scan and
-    never sorts or numbers the whole result.
+    never sorts or numbers the whole result. For pages far in, or many of them,
+    write the table once with ``sinks.ordered``.
     """
     ordered = df.orderBy(*order_cols)
     return ordered.offset(page * page_size).limit(page_size) if page else ordered.limit(page_size)

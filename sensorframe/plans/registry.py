@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from sensorframe import model
 from sensorframe.operators import batches, dedup, enrich, facets, filters, kpis, panels, resample, smooth
-from sensorframe.operators.indexing import global_index
+from sensorframe.operators.joins import semi_join
 from sensorframe.plans import explore, quality, snapshot, sync
 from sensorframe.session import work_dir
 from sensorframe.sinks import csv as csv_sink
+from sensorframe.sinks import ordered
 from sensorframe.sources import chunked
 from sensorframe.sources import driver_tables as dt
 from sensorframe.sources.facts import read_timeseries, union_facts
@@ -230,6 +231,20 @@ def facet_count(spark, d):
                                                                nodeTypeName=["type_1", "type_2"]))
 
 
+@query("facet_scope", f"""{BASE},
+  scoped AS (SELECT 'all' AS scope, id FROM meta UNION ALL SELECT 'filter', id FROM meta
+             WHERE building IN ('AMERICA') AND "nodeTypeName" IN ('type_1', 'type_2'))
+SELECT scope, "type", count(*) AS n_rows, count(DISTINCT facts."ID") AS n_sensors FROM facts JOIN scoped ON facts."ID" = scoped.id GROUP BY 1, 2""")
+def facet_scope(spark, d):
+    """What a load brings, by channel, for every sensor and for those of the selection."""
+    meta, facts = _meta(spark, d), dt.facts(spark, d)
+    sel = facets.Selection(building=["AMERICA"], nodeTypeName=["type_1", "type_2"])
+    parts = [semi_join(facts, facets.scope_ids(meta, sel, scope), "ID").groupBy("type")
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ID").alias("n_sensors"))
+             .select(F.lit(scope).alias("scope"), "type", "n_rows", "n_sensors") for scope in ("all", "filter")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("filter_not_in", f"""{BASE}
 SELECT * FROM facts WHERE "type" NOT IN ('click', 'view') OR "type" IS NULL""")
 def filter_not_in(spark, d):
@@ -370,15 +385,30 @@ def chart_groups(spark, d):
 @query("sort_series", f"""{BASE}, {ENRICHED}
 SELECT *, row_number() OVER (ORDER BY "ID", "type", "timestamp", value) AS row_no FROM enriched""")
 def sort_series(spark, d):
-    e = enrich.enrich(dt.facts(spark, d), _meta(spark, d))
-    return global_index(e, ["ID", "type", "timestamp", "value"], "row_no")
+    path = work_dir(spark, "series")
+    ordered.write_ordered(enrich.enrich(dt.facts(spark, d), _meta(spark, d)), path, ["ID", "type", "timestamp", "value"])
+    return ordered.read_ordered(spark, path)
 
 
 @query("table_view", f"""{BASE}, {ENRICHED}
 SELECT *, row_number() OVER (ORDER BY "timestamp", "ID", "type", value) AS row_no FROM enriched""")
 def table_view(spark, d):
-    e = enrich.enrich(dt.facts(spark, d), _meta(spark, d))
-    return global_index(e, ["timestamp", "ID", "type", "value"], "row_no")
+    path = work_dir(spark, "view")
+    ordered.write_ordered(enrich.enrich(dt.facts(spark, d), _meta(spark, d)), path, ["timestamp", "ID", "type", "value"])
+    return ordered.read_ordered(spark, path)
+
+
+PAGE, PAGE_ROWS = 37, 100
+
+
+@query("table_deep_page", f"""{BASE}, {ENRICHED},
+  numbered AS (SELECT *, row_number() OVER (ORDER BY "timestamp", "ID", "type", value) AS row_no FROM enriched)
+SELECT * FROM numbered WHERE row_no > {PAGE * PAGE_ROWS} AND row_no <= {(PAGE + 1) * PAGE_ROWS}""")
+def table_deep_page(spark, d):
+    """One page far into the ordered table, from the files that hold it."""
+    path = work_dir(spark, "pages")
+    ordered.write_ordered(enrich.enrich(dt.facts(spark, d), _meta(spark, d)), path, ["timestamp", "ID", "type", "value"], 1000)
+    return ordered.read_page(spark, path, PAGE, PAGE_ROWS)
 
 
 @query("union_facts", f"""{BASE}
@@ -630,6 +660,31 @@ def snapshot_clear(spark, d):
     return snapshot.stats(spark, root)
 
 
+@query("snapshot_refill", f"""{BASE},
+  t(table_name, rows) AS (SELECT 'nodes_hierarchy_cache', count(*) FROM meta
+    UNION ALL SELECT 'nodes_history_cache', count(*) FILTER ("type" IN ('click', 'view')) FROM facts
+    UNION ALL SELECT 'nodes_history_env_cache', count(*) FILTER ("type" NOT IN ('click', 'view')) FROM facts)
+SELECT phase, table_name, CASE WHEN phase = 'filled' OR (phase = 'refilled' AND table_name = 'nodes_history_env_cache')
+                               THEN rows ELSE 0 END AS n_rows
+FROM t CROSS JOIN (VALUES ('filled'), ('cleared'), ('refilled')) p(phase)""")
+def snapshot_refill(spark, d):
+    """Counts of a snapshot that is filled, cleared and filled again with one of its tables."""
+    root = work_dir(spark, "refill")
+    phases = []
+
+    def note(phase):  # three rows, read before the next step changes the files
+        phases.append(snapshot.stats(spark, root).select(F.lit(phase).alias("phase"), "table_name", "n_rows").checkpoint())
+
+    snapshot.write_meta(spark, root, _meta(spark, d))
+    snapshot.append_facts(spark, root, dt.facts(spark, d), ROUTING)
+    note("filled")
+    snapshot.clear(spark, root)
+    note("cleared")
+    snapshot.append_facts(spark, root, dt.env(spark, d), ROUTING)
+    note("refilled")
+    return phases[0].unionByName(phases[1]).unionByName(phases[2])
+
+
 @query("meta_snapshot_scan", f"""{BASE}
 SELECT id, "nodeTypeName", building, floor, area, vanity FROM meta WHERE building <> 'AFRICA'""")
 def meta_snapshot_scan(spark, d):
@@ -818,6 +873,24 @@ def sync_state_latest(spark, d):
         "target_max_timestamp", "next_cutoff_timestamp", "last_error", "lag_micros")
 
 
+@query("state_listing", f"""{BASE},
+  t(table_name, sync_mode, last_rows_loaded, m) AS (
+    SELECT 'nodes_hierarchy', 'full', count(*), CAST(NULL AS TIMESTAMP) FROM meta
+    UNION ALL SELECT 'nodes_history', 'incremental', count(*), max("timestamp") FROM facts WHERE "type" IN ('click', 'view')
+    UNION ALL SELECT 'nodes_history_env', 'incremental', count(*), max("timestamp") FROM facts WHERE "type" NOT IN ('click', 'view'))
+SELECT row_number() OVER (ORDER BY table_name) AS pos, table_name, sync_mode, 'success' AS run_status, last_rows_loaded,
+       m AS source_max_timestamp, m AS target_max_timestamp, '' AS last_error FROM t""")
+def state_listing(spark, d):
+    """One replication cycle and its state as listed; ``pos`` is the place in the list."""
+    root = work_dir(spark, "listing")
+    sync.sync_all(spark, root, {FULL_TABLE: _meta(spark, d)}, {n: fn(spark, d) for n, fn in SYNC_TABLES.items()}, 0)
+    path = work_dir(spark, "listed")
+    listed = sync.state_listing(spark, root).select("table_name", "sync_mode", "run_status", "last_rows_loaded",
+                                                    "source_max_timestamp", "target_max_timestamp", "last_error")
+    ordered.write_ordered(listed, path, ["table_name"])
+    return ordered.read_ordered(spark, path, "pos")
+
+
 # Tables copied whole, tables copied by their time column, and the column that ``events`` gains after a first cycle.
 REPLICA_FULL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings", "labels"]
 REPLICA_BY_TIME = {"events": "ts"}

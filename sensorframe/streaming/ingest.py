@@ -20,7 +20,7 @@ outputs, so a replayed batch (after a failure) gives the same table.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,13 +67,22 @@ def read_late(spark: SparkSession, table: str) -> DataFrame | None:
 
 
 def merge_batch(spark: SparkSession, table: str, batch: DataFrame, batch_id: int,
-                overlap_hours: float) -> None:
-    """foreachBatch body: merge one micro-batch into ``table``."""
+                overlap_hours: float, start: datetime | None = None) -> None:
+    """foreachBatch body: merge one micro-batch into ``table``. ``start`` is the mark that holds before
+    any batch has left one, such as that of a replica that the stream takes over from."""
     rows = dedup_keep_first(batch.select(*model.FACT_COLUMNS).filter(F.col("timestamp").isNotNull()), KEY)
     # Several actions read the batch; a lost cached block is recomputed from
     # the landed files, which do not change.
     rows = rows.persist()
-    prior = _prior_mark(spark, table, batch_id)
+    try:
+        _merge(spark, table, rows, batch_id, overlap_hours, start)
+    finally:
+        rows.unpersist()
+
+
+def _merge(spark: SparkSession, table: str, rows: DataFrame, batch_id: int, overlap_hours: float,
+           start: datetime | None) -> None:
+    prior = _prior_mark(spark, table, batch_id) or start
     if prior is None:
         accepted, late = rows, None
     else:
@@ -99,13 +108,12 @@ def merge_batch(spark: SparkSession, table: str, batch: DataFrame, batch_id: int
     mark = max([m for m in (prior, new_mark) if m is not None], default=None)
     (spark.createDataFrame([(int(batch_id), mark)], HWM_SCHEMA).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(_hwm_path(table)))
-    rows.unpersist()
 
 
 def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                  overlap_hours: float = 336, schema: T.StructType = model.FACT_SCHEMA,
                  available_now: bool = True, interval: str = "900 seconds",
-                 max_files_per_trigger: int | None = None):
+                 max_files_per_trigger: int | None = None, start: datetime | None = None):
     """Start the stream; ``available_now`` processes what has landed and stops
     (tests, catch-up), otherwise it triggers every ``interval``."""
     reader = spark.readStream.schema(schema)
@@ -113,7 +121,7 @@ def start_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(landing)
     writer = (stream.writeStream.foreachBatch(
-        lambda df, bid: merge_batch(spark, table, df, bid, overlap_hours))
+        lambda df, bid: merge_batch(spark, table, df, bid, overlap_hours, start))
         .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()

@@ -222,6 +222,16 @@ def test_stream_batch_replay_is_idempotent(spark):
     assert ingest.read_late(spark, table).count() == 1
 
 
+def test_stream_starting_mark_makes_the_first_batch_late(spark):
+    table = f"{work_dir(spark, 'streammark')}/table"
+    day1 = datetime(2024, 1, 1)
+    batch = _facts(spark, [(day1, 10), (day1 + timedelta(hours=47), 20), (day1 + timedelta(hours=49), 30)])
+    for _ in range(2):  # a replay changes nothing
+        ingest.merge_batch(spark, table, batch, 0, 24, start=day1 + timedelta(hours=72))
+        assert [r[1] for r in ingest.read_table(spark, table).select(*model.FACT_COLUMNS).collect()] == [30.0]
+        assert sorted(r.value for r in ingest.read_late(spark, table).collect()) == [10.0, 20.0]
+
+
 def test_sync_crash_after_commit_recovers(spark, monkeypatch):
     """The driver dies after the data commit, before the run is recorded:
     the next run starts from the last recorded mark and gives the same table."""
