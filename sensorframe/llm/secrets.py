@@ -31,23 +31,42 @@ SMOOTH = 0.5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-^"
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, value),
-    in code points, end exclusive. The starts follow from the lengths of the text
-    between matches, so the pattern is the only thing that is searched."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sized = F.transform(values, lambda v, i: F.struct(
-        F.length(F.element_at(gaps, i + 1)).alias("gap"), v.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
-    return F.when(F.size(values) > 0, F.aggregate(sized, start, step, lambda a: a["out"])).otherwise(none)
+#: Running values are made piece by piece of so many elements, so that a step appends to a short array.
+PIECE = 64
+
+
+def running(values: str, start: int, step) -> Column:
+    """``step`` (such as a sum) of ``start`` and the elements of an int array up to each, as an array.
+    ``values`` names a column, as an expression would be made again for every piece.
+
+    Appending to one array copies it each time; here pieces of ``PIECE`` elements are put
+    together one by one, so the work stays in proportion to the length.
+    """
+    last = lambda a: F.element_at(a, -1)
+    count = F.size(values)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / PIECE).cast("int")),
+                         lambda p: F.slice(F.col(values), p * PIECE + 1, F.lit(PIECE)))
+
+    def piece(done, part):
+        one = F.aggregate(part, F.array(last(last(done))), lambda o, x: F.concat(o, F.array(step(last(o), x))))
+        return F.concat(done, F.array(F.slice(one, F.lit(2), F.lit(PIECE))))
+    whole = F.aggregate(pieces, F.array(F.array(F.lit(start))), piece)
+    return F.when(count > 0, F.slice(F.flatten(whole), F.lit(2), F.greatest(count, F.lit(1)))).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+
+def cells(text: Column, pattern: str) -> Column:
+    """(n, value) per match of a pattern: the characters from the end of the match before, and the
+    match. A last element holds the rest of the text and no value."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                      lambda gap, v: F.struct((F.length(gap) + F.coalesce(F.length(v), F.lit(0))).alias("n"), v.alias("value")))
+
+
+def located(cell: str, end: str) -> Column:
+    """Leftmost non-overlapping matches as an array of (start, end, value), in code points, end
+    exclusive, from the columns of their cells and of the running sums of the cells' ``n``."""
+    spans = F.zip_with(cell, end, lambda c, e: F.struct(
+        (e - F.length(c["value"])).alias("start"), e.alias("end"), c["value"].alias("value")))
+    return F.filter(spans, lambda x: x["value"].isNotNull())
 
 
 def _kind(spans: Column, kind: int) -> Column:
@@ -57,21 +76,37 @@ def _kind(spans: Column, kind: int) -> Column:
 
 def _pairs(token: Column) -> Column:
     """The adjacent character pairs of a token, with a start mark."""
-    marked = F.concat(F.lit("^"), token)
-    return F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.regexp_extract_all(F.concat(F.lit("^"), token), F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, tokens): the spans of the fixed patterns and the
-    other long tokens, which overlap none of them."""
+    other long tokens, which overlap none of them.
+
+    Columns that are used twice come from a projection of their own, so that none is made
+    again for each use or element; all work is in proportion to a text's length and matches.
+    """
     t = doc_texts(docs).withColumn("row", F.monotonically_increasing_id())
-    assign = F.filter(found(F.col("text"), ASSIGN), lambda x: F.length(
+    kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "token": TOKEN}
+    t = t.select("row", "doc_id", *[cells(F.col("text"), p).alias(k) for k, p in kinds.items()])
+    t = t.select("*", *[F.transform(k, lambda c: c["n"]).alias(f"{k}_n") for k in kinds])
+    t = t.select("*", *[running(f"{k}_n", 0, lambda a, x: a + x).alias(f"{k}_end") for k in kinds])
+    assign = F.filter(located("assign", "assign_end"), lambda x: F.length(
         F.regexp_extract(x["value"], ASSIGN, 2)) >= ASSIGN_VALUE)
     t = t.select("row", "doc_id", F.concat(
-        _kind(assign, 0), _kind(found(F.col("text"), ACCESS), 1), _kind(found(F.col("text"), HEX), 2)).alias("base"),
-        found(F.col("text"), TOKEN).alias("tokens"))
-    free = F.filter("tokens", lambda k: ~F.exists("base", lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"])))
-    return t.select("row", "doc_id", "base", free.alias("tokens"))
+        _kind(assign, 0), _kind(located("access", "access_end"), 1), _kind(located("hex", "hex_end"), 2)).alias("base"),
+        _kind(located("token", "token_end"), 3).alias("tokens"))
+    # In order of their starts, a token is free if no span before it ends behind its start and
+    # the next span starts behind its end.
+    t = t.select("row", "doc_id", "base", F.array_sort(F.concat("base", "tokens")).alias("all"))
+    far = 2**31 - 1
+    t = t.select("*", F.transform("all", lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(0))).alias("ends"),
+                 F.transform(F.reverse("all"), lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(far))).alias("starts"))
+    t = t.select("*", running("ends", 0, F.greatest).alias("upto"), running("starts", far, F.least).alias("back"))
+    free = F.filter(F.arrays_zip("all", "upto", F.reverse("back").alias("after")), lambda z: (
+        (z["all"]["kind"] == 3) & (z["upto"] <= z["all"]["start"]) & (z["after"] >= z["all"]["end"])))
+    return t.select("row", "doc_id", "base", F.transform(free, lambda z: F.struct(
+        z["all"]["start"].alias("start"), z["all"]["end"].alias("end"), z["all"]["value"].alias("value"))).alias("tokens"))
 
 
 def train(spans: DataFrame) -> DataFrame:
@@ -109,16 +144,15 @@ def scan(docs: DataFrame, min_llr: float = MIN_LLR) -> DataFrame:
     """
     spans = saved(base_spans(docs), "secret-spans")
     model = saved(train(spans), "secret-model")
-    scored = (spans.filter(F.size("tokens") > 0).select("row", F.posexplode("tokens").alias("i", "t"))
-              .select("row", "i", "t", F.explode(_pairs(F.col("t.value"))).alias("pair"))
+    # A token's text stays behind while its pairs are counted.
+    scored = (spans.select("row", F.posexplode("tokens").alias("i", "t"))
+              .select("row", "i", F.explode(_pairs(F.col("t.value"))).alias("pair"))
               .join(F.broadcast(model), "pair", "left")  # |ALPHABET|^2 rows, fixed
-              .groupBy("row", "i").agg(F.first("t").alias("t"), F.avg(F.coalesce("llr", F.lit(0.0))).alias("llr")))
-    added = scored.filter(F.col("llr") >= min_llr).groupBy("row").agg(
-        F.collect_list(F.struct(F.col("t.start").alias("start"), F.lit(3).alias("kind"), F.col("t.end").alias("end"),
-                                F.col("t.value").alias("value"))).alias("more"))
-    joined = spans.select("row", "doc_id", "base").join(added, "row", "left")
-    return joined.select("doc_id", F.array_sort(F.concat("base", F.coalesce(
-        "more", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")))).alias("spans"))
+              .groupBy("row", "i").agg(F.avg(F.coalesce("llr", F.lit(0.0))).alias("llr")))
+    added = scored.filter(F.col("llr") >= min_llr).groupBy("row").agg(F.collect_list("i").alias("added"))
+    joined = spans.join(added, "row", "left")
+    more = F.transform(F.coalesce("added", F.expr("CAST(array() AS array<int>)")), lambda i: F.get("tokens", i))
+    return joined.select("doc_id", F.array_sort(F.concat("base", _kind(more, 3))).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

@@ -1,7 +1,9 @@
 """The text operators against brute force, on small tables with nulls, empty
 and long texts, ties, repeated rows and extra columns."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -178,6 +180,66 @@ def base_spans(t):
     return sorted(out)
 
 
+def _spans_by_hand(text):
+    base = [(m.start(), 0, m.end(), m[0]) for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 12]
+    base += [(m.start(), k, m.end(), m[0]) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, text)]
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.TOKEN, text)]
+    return sorted(base), [t for t in tokens if not any(b[0] < t[1] and t[0] < b[2] for b in base)]
+
+
+def _secret_texts(seed, n):
+    rng = random.Random(seed)
+    some = lambda letters, a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    kinds = (lambda: some("abcdefgh", 1, 9), lambda: some("0123456789abcdef", 14, 40), lambda: "AKIA" + some("ABCDEFGH0123", 10, 20),
+             lambda: some(base64, 10, 50), lambda: "Api_Key = '" + some(base64, 8, 30) + "'", lambda: "token:" + some("0123456789abcdef", 10, 30),
+             lambda: "internal_function_name_of_" + some("abcdefgh", 3, 9), lambda: "é漢😀" + some(base64, 16, 20))
+    glue = (" ", "\n", ", ", "=", "")
+    return ["".join(rng.choice(kinds)() + rng.choice(glue) for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 400)))) for _ in range(n)]
+
+
+def test_secrets_against_brute_force(docs):
+    texts = _secret_texts(5, 40)
+    got = {r.doc_id: r for r in secrets.base_spans(docs(list(enumerate(texts)))).collect()}
+    pair_count = {0: collections.Counter(), 1: collections.Counter()}
+    for i, text in enumerate(texts):
+        base, tokens = _spans_by_hand(text)
+        assert sorted(tuple(x) for x in got[i].base) == base
+        assert [tuple(x) for x in got[i].tokens] == tokens
+        for _, kind, _, v in base:
+            v = re.match(secrets.ASSIGN, v)[2] if kind == 0 else v
+            pair_count[1].update(a + b for a, b in zip("^" + v, v))
+        for _, _, v in tokens:
+            if re.fullmatch("[A-Za-z_-]+", v):
+                pair_count[0].update(a + b for a, b in zip("^" + v, v))
+    k = len(secrets.ALPHABET) * secrets.SMOOTH
+
+    def llr(pair):
+        if not set(pair) <= set(secrets.ALPHABET):
+            return 0.0
+        share = [(c[pair] + secrets.SMOOTH) / (sum(c[pair[0] + x] for x in secrets.ALPHABET) + k) for c in (pair_count[1], pair_count[0])]
+        return math.log(share[0]) - math.log(share[1])
+    spans = {r.doc_id: [tuple(x) for x in r.spans] for r in secrets.scan(docs(list(enumerate(texts)))).collect()}
+    markov = 0
+    for i, text in enumerate(texts):
+        base, tokens = _spans_by_hand(text)
+        more = [(a, 3, b, v) for a, b, v in tokens if sum(llr(x + y) for x, y in zip("^" + v, v)) / len(v) >= secrets.MIN_LLR]
+        markov += len(more)
+        assert spans[i] == sorted(base + more)
+    assert markov > 20
+
+
+def test_secrets_of_very_long_texts(docs):
+    """A hex dump of 2 MB, a token of 1 MB and many short matches: work grows with the length."""
+    dump = "0123456789abcdef0123456789abcdef " * 60_000
+    blob = "Zk9" * 350_000
+    got = {r.doc_id: r for r in secrets.base_spans(docs([(1, dump), (2, blob), (3, "")])).selectExpr(
+        "doc_id", "size(base) AS n", "get(base, 59999).start AS at", "size(tokens) AS t", "length(get(tokens, 0).value) AS len").collect()}
+    assert (got[1].n, got[1].at, got[1].t) == (60_000, 33 * 59_999, 0)
+    assert (got[2].n, got[2].t, got[2].len) == (0, 1, 1_050_000)
+    assert secrets.scan(docs([(1, dump), (2, blob), (3, "")])).count() == 3
+
+
 def test_secrets(docs):
     rng = random.Random(9)
     code = lambda n, a: "".join(rng.choice(a) for _ in range(n))
