@@ -2,7 +2,7 @@
 
 A check is a requirement with a name and a finding: a function that returns
 None when the requirement holds, or what is wrong, or raises. Requirements on columns
-look at schemas only; the probe reads one week of one sensor.
+look at schemas only; reachability reads a row of each table, the probe one week of one sensor.
 """
 
 from __future__ import annotations
@@ -51,9 +51,13 @@ def quality_checks(spark: SparkSession, history: DataFrame | None, env: DataFram
     tables = {"history": history, "env": env, "metadata": meta_raw}
     probed: dict[str, int] = {}
 
-    def unresolved() -> str | None:
+    def unreachable() -> str | None:
         absent = [name for name, table in tables.items() if table is None or not table.schema.fields]
-        return f"No columns or no table: {absent}" if absent else None
+        if absent:
+            return f"No columns or no table: {absent}"
+        for table in tables.values():
+            table.limit(1).collect()  # opens the storage, whatever is in it, and raises if that can't be read
+        return None
 
     def probe() -> str | None:
         sensor = normalize_metadata(meta_raw).agg(F.min("id")).first()[0]
@@ -69,7 +73,7 @@ def quality_checks(spark: SparkSession, history: DataFrame | None, env: DataFram
         return "missing" if column is None or meta_raw.filter(F.col(f"`{column}`").isNotNull()).isEmpty() else None
 
     requirements = [
-        Requirement("Source reachable", unresolved),
+        Requirement("Source reachable", unreachable),
         Requirement("history columns", lambda: _lacking(history, READING)),
         Requirement("env columns", lambda: _lacking(env, READING)),
         Requirement("metadata columns", lambda: _lacking(meta_raw, SENSOR)),
