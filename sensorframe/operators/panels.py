@@ -175,7 +175,7 @@ def resampled_panels(facts: DataFrame, meta: DataFrame, frequency: str, func: st
             .checkpoint(eager=True))
     info = bounded_broadcast(info)
     charted = sparse.join(info.select("ID", "type"), ["ID", "type"], "left_semi")
-    dense = gap_fill(charted, ["ID", "type"], "_bin", frequency, func).join(info, ["ID", "type"])
+    dense = gap_fill(charted, ["ID", "type"], "_bin", frequency, func, info=info, on=["ID", "type"])
     if func == "sum":
         dense = dense.withColumn("value", F.col("value") * F.col("_mult"))
     return _points(dense.withColumn("timestamp", bin_label(F.col("_bin"), frequency)), _title(by_channel), lead)

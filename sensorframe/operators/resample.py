@@ -61,9 +61,11 @@ def _fill_value(func: str) -> Column:
 
 
 def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
-             value: str = "value") -> DataFrame:
+             value: str = "value", info: DataFrame | None = None, on=None) -> DataFrame:
     """Expand sparse ``(keys, bin, value)`` to every bin between each series'
-    first and last bin. Gap bins get the function's empty value."""
+    first and last bin. Gap bins get the function's empty value. The columns of
+    ``info`` are joined by ``on`` (some of the keys) before any bin is made, so that
+    the join and its shuffles see occupied bins only."""
     keys = list(keys)
     step = bin_step(frequency)
     span = SPAN_DAYS.get(freq(frequency).name)
@@ -78,6 +80,10 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
                                  "_to": F.least(F.col("_last"), begin(F.col("_span") + 1) - step)})
     else:
         rows = rows.withColumns({"_span": F.lit(0), "_from": F.col(bin_col), "_to": F.col("_last")})
+    extra = []
+    if info is not None:
+        extra = [c for c in info.columns if c not in on]
+        rows = rows.join(info, on)
     # The expansion multiplies rows after this shuffle, so its size says
     # little about the work behind it: fix the partition count (AQE does not
     # coalesce an explicit count) instead of letting small sparse input
@@ -86,9 +92,9 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     conf = spark.conf.get("spark.sql.shuffle.partitions")
     parts = int(conf) if str(conf).isdigit() else spark.sparkContext.defaultParallelism
     rows = rows.repartition(parts, *keys, "_span")
-    seq = rows.select(*keys, value, F.col(bin_col).alias("_own"),
+    seq = rows.select(*keys, *extra, value, F.col(bin_col).alias("_own"),
                       F.explode(F.sequence(F.col("_from"), F.col("_to"), step)).alias("_bin"))
-    return seq.select(*keys, F.col("_bin").alias(bin_col),
+    return seq.select(*keys, *extra, F.col("_bin").alias(bin_col),
                       F.when(F.col("_bin") == F.col("_own"), F.col(value)).otherwise(_fill_value(func)).alias(value))
 
 
@@ -126,20 +132,19 @@ def resample_series(facts: DataFrame, meta: DataFrame, frequency: str, func: str
     """Enrich-then-resample, computed as aggregate-then-enrich.
 
     Equal to ``resample(enrich(facts, meta), ...)``, but the aggregation runs
-    on the four narrow fact columns, series without metadata are dropped before the gap
-    fill, and metadata (a dimension) is joined to the dense bins, by broadcast when its
+    on the four narrow fact columns, series without metadata are dropped, and metadata (a
+    dimension) is joined to the occupied bins before the gap fill, by broadcast when its
     size check allows it and by sort-merge otherwise. Duplicate metadata rows are kept as a
     multiplicity so ``sum`` still counts each copy, as the fan-out join would.
     """
     sparse = sparse_bins(facts, frequency, func)
     m = bounded_broadcast(complete_meta(meta))
     if fill:
-        # Series without metadata go before their bins are made.
+        # Series without metadata go before their successors are looked up.
         known = sparse.join(m.select("ID"), "ID", "left_semi")
-        dense = gap_fill(known, ["ID", "type"], "_bin", frequency, func)
+        joined = gap_fill(known, ["ID", "type"], "_bin", frequency, func, info=m, on=["ID"])
     else:
-        dense = sparse
-    joined = dense.join(m, "ID", "inner")
+        joined = sparse.join(m, "ID", "inner")
     if func == "sum":
         joined = joined.withColumn("value", F.col("value") * F.col("_mult"))
     return joined.select(*model.SERIES_KEYS, bin_label(F.col("_bin"), frequency).alias("timestamp"), "value")

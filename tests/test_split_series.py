@@ -96,3 +96,32 @@ def test_kpis_without_the_dense_frame(spark, facts_df, meta_df, frequency):
     for facts in (facts_df(rows), facts_df(rows).limit(0)):
         expect = kpis.kpis(resample.resample_series(facts, meta, frequency, "mean")).collect()
         assert kpis.resampled_kpis(facts, meta, frequency).collect() == expect
+
+
+@pytest.mark.parametrize("func", ["mean", "sum"])
+def test_metadata_meets_occupied_bins_only(spark, facts_df, monkeypatch, func):
+    """With metadata too large to broadcast, no shuffle or sort comes after the bins are made."""
+    from sensorframe.operators import panels
+    facts = facts_df([("2024-01-01 00:05", 1.0, 1, "a"), ("2024-01-09 00:05", 3.0, 1, "a"), ("2024-01-02 00:00", 2.0, 2, "a"),
+                      ("2024-01-02 00:00", 2.0, 7, "a")])
+    meta = spark.createDataFrame([(1, "x", "B", "F", "A", "V"), (1, "x", "B", "F", "A", "V"), (1, "y", "B", "F", "A", "V"),
+                                  (2, "z", "B", "F", "A", "V")],
+                                 "id long, vanity string, building string, floor string, area string, nodeTypeName string")
+    makers = (lambda: resample.resample_series(facts, meta, "15min", func),
+              lambda: panels.resampled_panels(facts, meta, "15min", func, 2))
+    want = [sorted(map(str, make().collect())) for make in makers]
+    assert len(want[0]) == 2 * (8 * 96 + 1) + 1
+    monkeypatch.setattr("sensorframe.operators.joins.BROADCAST_MAX_BYTES", 1)
+    monkeypatch.setattr(resample, "bounded_broadcast", lambda df: df)
+    monkeypatch.setattr(panels, "bounded_broadcast", lambda df: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make, rows in zip(makers, want, strict=True):
+            df = make()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            above = plan[:plan.index("Generate explode(sequence(_from")]
+            assert "SortMergeJoin" in plan and not any(x in above for x in ("Join", "Exchange", "Sort"))
+            assert sorted(map(str, df.collect())) == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
