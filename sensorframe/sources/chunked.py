@@ -57,6 +57,15 @@ def _start(bound) -> Column:
     return ts_lit(bound.replace("T", " ")) if isinstance(bound, str) else F.lit(bound)
 
 
+def _chunk_of(key: Column, wave: list[dict]) -> Column:
+    """The number of the last of the wave's chunks that starts at or before the key. They are
+    in key order and halved at every step, so a row takes as many comparisons as there are halvings."""
+    if len(wave) == 1:
+        return F.lit(wave[0]["chunk"])
+    half = len(wave) // 2
+    return F.when(key < _start(wave[half]["first"]), _chunk_of(key, wave[:half])).otherwise(_chunk_of(key, wave[half:]))
+
+
 def _finished(spark: SparkSession, path: str) -> set[int]:
     return {int(n[:-5]) for n in list_files(spark, f"{path}/_chunks") if n.endswith(".json")}
 
@@ -85,12 +94,7 @@ def copy_chunked(spark: SparkSession, path: str, source: DataFrame, key: str, ro
         if wave:
             k = F.col(key)
             span = source.filter((k >= _start(wave[0]["first"])) & (k < _after(wave[-1]["last"], width)))
-            unit, number = _unit(k, source.schema[key].dataType, width), F.lit(None).cast("int")
-            # The wave's chunks are in key order: the last one that starts at or before the row's range holds it.
-            firsts = F.array(*[_start(c["first"]) for c in wave])
-            numbers = F.array(*[F.lit(c["chunk"]) for c in wave])
-            number = F.element_at(numbers, F.size(F.filter(firsts, lambda x: x <= unit)))
-            part = span.withColumn("chunk", number).filter(F.col("chunk").isin([c["chunk"] for c in wave]))
+            part = span.withColumn("chunk", _chunk_of(k, wave))
         else:
             part = source.filter(F.col(key).isNull()).withColumn("chunk", F.lit(NO_KEY))
         (part.hint("rebalance", "chunk").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -101,3 +101,19 @@ def test_quiet_ranges_are_fetched_once_and_the_ledger_is_merged(spark, monkeypat
     assert snapshot.missing_ranges(spark, root, ids, ["tempc"], DAY, DAY + timedelta(days=4)).count() == 0
     snapshot.read_through(spark, root, None, env, ids, ["tempc"], late, late + timedelta(hours=9))
     assert snapshot.missing_ranges(spark, root, ids, ["tempc"], late, late + timedelta(hours=9)).count() == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 256])
+def test_a_row_finds_its_chunk_by_halving(spark, n):
+    import bisect
+    firsts = [DAY + timedelta(hours=2 * i) for i in range(n)]
+    wave = [{"chunk": 10 + i, "first": f.isoformat()} for i, f in enumerate(firsts)]
+    keys = [f + timedelta(minutes=m) for f in firsts for m in (0, 59, 119)]
+    df = spark.createDataFrame([(k,) for k in keys], "k timestamp_ntz").select("k", chunked._chunk_of(F.col("k"), wave).alias("c"))
+    assert [r.c for r in df.orderBy("k").collect()] == [9 + bisect.bisect_right(firsts, k) for k in keys]
+    assert df.schema["c"].dataType.simpleString() == "int"
+    # n - 1 comparisons with the bare key in the tree, of which a row meets one per level; no search through a list.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "make_timestamp" not in plan
+    depth = lambda m: 0 if m == 1 else 1 + depth(m - m // 2)
+    assert depth(256) == 8
