@@ -27,6 +27,7 @@ from sensorframe.functions.bins import bin_label, bin_start, bin_step, freq
 from sensorframe.operators.enrich import meta_keyed
 from sensorframe.operators.joins import bounded_broadcast
 from sensorframe.operators.quantiles import median_by
+from sensorframe.operators.smooth import bin_number
 
 AGG_FUNCS = tuple(model.AGG_FUNCTION_NAMES)
 
@@ -61,18 +62,22 @@ def _fill_value(func: str) -> Column:
 
 
 def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
-             value: str = "value", info: DataFrame | None = None, on=None) -> DataFrame:
+             value: str = "value", info: DataFrame | None = None, on=None, most: int | None = None) -> DataFrame:
     """Expand sparse ``(keys, bin, value)`` to every bin between each series'
     first and last bin. Gap bins get the function's empty value. The columns of
     ``info`` are joined by ``on`` (some of the keys) before any bin is made, so that
-    the join and its shuffles see occupied bins only."""
+    the join and its shuffles see occupied bins only. With ``most`` only the first
+    ``most`` bins of every gap are made."""
     keys = list(keys)
     step = bin_step(frequency)
     span = SPAN_DAYS.get(freq(frequency).name)
     w = Window.partitionBy(*keys).orderBy(bin_col)
     nxt = F.lead(bin_col).over(w)
     rows = sparse.withColumn("_last", F.coalesce(nxt - step, F.col(bin_col)))
-    if span:
+    if most is not None:
+        made = F.least(F.lit(most), bin_number("_last", frequency) - bin_number(bin_col, frequency))
+        rows = rows.withColumn("_last", F.col(bin_col) + step * made)
+    if span and most is None:
         number = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / span).cast("int")
         begin = lambda p: F.date_add(F.lit("1970-01-01").cast("date"), p * span).cast("timestamp_ntz")
         rows = rows.withColumn("_span", F.explode(F.sequence(number(F.col(bin_col)), number(F.col("_last")))))
@@ -91,7 +96,8 @@ def gap_fill(sparse: DataFrame, keys, bin_col: str, frequency: str, func: str,
     spark = sparse.sparkSession
     conf = spark.conf.get("spark.sql.shuffle.partitions")
     parts = int(conf) if str(conf).isdigit() else spark.sparkContext.defaultParallelism
-    rows = rows.repartition(parts, *keys, "_span")
+    if most is None:
+        rows = rows.repartition(parts, *keys, "_span")
     seq = rows.select(*keys, *extra, value, F.col(bin_col).alias("_own"),
                       F.explode(F.sequence(F.col("_from"), F.col("_to"), step)).alias("_bin"))
     return seq.select(*keys, *extra, F.col("_bin").alias(bin_col),

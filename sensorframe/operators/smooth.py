@@ -93,13 +93,19 @@ def bin_number(ts, frequency: str):
 
 
 def rolling_mean_dense(df: DataFrame, n: int, frequency: str, keys=("ID", "type"), ts: str = "timestamp",
-                       value: str = "value") -> DataFrame:
+                       value: str = "value", fill: str | None = None) -> DataFrame:
     """Rolling mean over the last ``n`` rows of a gap-filled (dense) resampled
     frame, rows in order of their bin. A sensor with several metadata rows has
     several rows per bin; they count one by one, ordered by value (NULLs last).
     A resampled series holds at most (time span / bin step) rows per metadata row
     whatever the raw volume, so one window partition per series is bounded.
+
+    With ``fill`` (the resampling function) ``df`` holds the occupied bins only
+    (``resample_series(..., fill=False)``); the gaps are filled here and the result is that of
+    the dense frame, which is neither shuffled nor sorted.
     """
+    if fill is not None:
+        return _filled_rolling_mean(df, n, frequency, list(keys), ts, value, fill)
     if not n or n <= 1:
         return df
     keys = list(keys)
@@ -112,3 +118,35 @@ def rolling_mean_dense(df: DataFrame, n: int, frequency: str, keys=("ID", "type"
         null_key = null_key | F.col(c).isNull()
     out = rolled.withColumn(value, F.when(null_key, F.lit(None).cast("double")).otherwise(F.col("_rv")))
     return out.select(*cols)
+
+
+def _filled_rolling_mean(df: DataFrame, n: int, frequency: str, keys: list[str], ts: str, value: str, func: str) -> DataFrame:
+    """``rolling_mean_dense`` from the occupied bins. A gap bin's mean differs from the fill
+    value only if it is one of the first ``n - 1`` of its gap, so those are made first and
+    averaged; the others are made last, in the result's own plan.
+
+    Every series of ``keys`` has the same metadata rows in all its bins, ``_copies`` of them, so a
+    row's place in the dense series is known without the rows between.
+    """
+    from sensorframe.functions.bins import bin_label, bin_start
+    from sensorframe.operators.resample import gap_fill
+    cols = df.columns
+    series = [*keys, *[c for c in cols if c not in (*keys, ts, value)]]
+    rows = df.select(*series, bin_start(F.col(ts), frequency).alias("_bin"), value)
+    if n and n > 1:
+        # One exchange serves all windows, here and in gap_fill.
+        near = gap_fill(rows.repartition(*keys), series, "_bin", frequency, func, value, most=n - 1)
+        near = near.withColumn("_idx", bin_number("_bin", frequency))
+        one_bin = Window.partitionBy(*keys, "_idx")
+        near = near.withColumns({"_nth": F.row_number().over(one_bin.orderBy(F.col(value).asc_nulls_last())),
+                                 "_copies": F.count(F.lit(1)).over(one_bin)})
+        near = near.withColumn("_at", F.col("_idx") * F.col("_copies") + F.col("_nth"))
+        one = Window.partitionBy(*keys)
+        frame = one.orderBy("_at").rangeBetween(-(n - 1), 0)
+        if func == "sum":  # bins that are not made hold 0.0 and count
+            mean = F.sum(value).over(frame) / F.least(F.lit(n), F.col("_at") - F.min("_at").over(one) + 1)
+        else:
+            mean = F.avg(value).over(frame)
+        rows = near.withColumn(value, mean).select(*series, "_bin", value)
+    dense = gap_fill(rows, series, "_bin", frequency, func, value)
+    return dense.withColumn(ts, bin_label(F.col("_bin"), frequency)).select(*cols)

@@ -44,11 +44,12 @@ def load_series(spark: SparkSession, history: DataFrame, env: DataFrame, meta: D
     ids = chosen.select(F.col("id").alias("ID"))
     channels = resolve_channels(req.channels, req.routing)
     facts = read_timeseries(spark, history, env, ids, channels, req.start, req.end, req.routing)
+    rolling = req.rolling and req.rolling > 0
     if req.frequency:
-        out = resample_series(facts, meta, req.frequency, req.agg)
+        out = resample_series(facts, meta, req.frequency, req.agg, fill=not rolling)
     else:
         out = enrich(facts, meta)
-    if req.rolling and req.rolling > 0:
-        out = (rolling_mean_dense(out, req.rolling, req.frequency) if req.frequency
+    if rolling:
+        out = (rolling_mean_dense(out, req.rolling, req.frequency, fill=req.agg) if req.frequency
                else rolling_mean(out, req.rolling))
     return out

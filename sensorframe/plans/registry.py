@@ -370,8 +370,8 @@ SELECT "ID", "type", vanity, building, floor, area, "nodeTypeName", "timestamp",
        round(avg(value) OVER (PARTITION BY "ID", "type" ORDER BY "timestamp"
              ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), {R}) AS value FROM res""")
 def resample_then_roll(spark, d):
-    res = resample.resample_series(dt.facts(spark, d), _meta(spark, d), "hour", "mean")
-    return _rv(smooth.rolling_mean_dense(res, 3, "hour"))
+    res = resample.resample_series(dt.facts(spark, d), _meta(spark, d), "hour", "mean", fill=False)
+    return _rv(smooth.rolling_mean_dense(res, 3, "hour", fill="mean"))
 
 
 @query("chart_groups", f"""{BASE}
