@@ -1,31 +1,39 @@
 """Token counts without token ids.
 
 A text is cut into pre-tokens as the tokenizer does before its merges. Blocks
-of documents are turned into one row per distinct pre-token, holding the
-documents and frequencies; the pieces of every distinct pre-token of the corpus
-are counted once by the library; the two are joined and summed by document.
+of documents are turned into their distinct pre-tokens, dealt into buckets by
+hash, and the documents and frequencies of each. The pre-tokens alone go to
+their buckets, where the pieces of every distinct pre-token of the corpus are
+counted once by the library; the numbers of pieces go back to the blocks, are
+joined to the frequencies and summed by document. All of these travel packed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, list_column, saved
+from .common import doc_texts, saved
 
 #: Characters of text that are inverted together; bounds a task's memory.
 BLOCK_CHARS = 6_000_000
-#: Largest offset of a document in its block and largest frequency of one entry: two bytes each of one integer.
+#: Largest offset of a document in its block.
 SHORT = 32_767
+#: Buckets of pre-tokens for each shuffle partition.
+BUCKETS = 2
+BLOCK_COLUMNS = ["base", "bucket", "pretokens", "doc_ids", "sizes", "special", "words", "docs", "times"]
 #: Last character of the part of Unicode that the fast path cuts by itself.
 LATIN = 0x24F
 
@@ -87,60 +95,108 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-def _invert(path: str, block_chars: int):
-    """(doc_id, n_bytes, text) -> a row for each pre-token of a block of documents, and one without a
-    pre-token that holds the documents' facts. Documents are numbered here, once,
-    so that both kinds of rows agree whatever order the input comes in."""
+def _pack(values: np.ndarray) -> bytes:
+    """An array of integers, all lowest bytes first, compressed."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return planes.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _invert(path: str, block_chars: int, buckets: int):
+    """(doc_id, n_bytes, text) -> for every block of documents one row for each bucket of its distinct
+    pre-tokens, and one without a bucket that holds the documents' facts and, for the pre-tokens in
+    the order of the buckets, the documents and frequencies. Both kinds are made here, once,
+    so that they agree whatever order the input comes in."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(path)
         base = TaskContext.get().partitionId() << 40
-        held, ids, sizes, chars = defaultdict(list), [], [], 0
+
+        def empty():
+            index: defaultdict = defaultdict()
+            index.default_factory = index.__len__
+            return index, [], [], [], array("i"), array("H"), array("I"), 0
+
+        index, ids, sizes, special, word, doc, times, chars = empty()
 
         def block():
-            blank = [None] * len(held)
+            words, pack = np.array([*index, None], object)[:-1], zstandard.ZstdCompressor(level=1)
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in index), np.int32, len(index))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            at = place[np.array(word, np.int32)]
+            line = np.argsort(at, kind="stable")
+            docs = np.array(doc, np.uint16)[line]
+            full, starts = np.unique(bucket[order], return_index=True)
+            packed = [pack.compress("\n".join(x).encode("utf-8", "surrogatepass")) for x in np.split(words[order], starts[1:])] if len(full) else []
+            blank = [None] * len(full)
+            one = lambda x, kind: pa.array([*blank, x], kind)
             return pa.RecordBatch.from_arrays([
-                pa.array([*held, None], pa.string()), pa.array([base] * (len(held) + 1), pa.int64()),
-                list_column([*(np.array(x, np.int32) for x in held.values()), np.empty(0, np.int32)], pa.int32()),
-                pa.array([*blank, ids], pa.list_(pa.int64())), pa.array([*blank, sizes], pa.list_(pa.int64()))],
-                names=["pretoken", "base", "held", "doc_ids", "sizes"])
+                pa.array([base] * (len(full) + 1), pa.int64()), pa.array([*full.tolist(), None], pa.int32()),
+                pa.array([*packed, None], pa.binary()),
+                one(ids, pa.list_(pa.int64())), one(sizes, pa.list_(pa.int64())), one(special, pa.list_(pa.int64())),
+                one(_pack(np.bincount(at, minlength=len(order)).astype(np.uint32)), pa.binary()),
+                # Steps from one document to the next; they wrap around where the next pre-token begins.
+                one(_pack(np.diff(docs, prepend=np.uint16(0))), pa.binary()),
+                one(_pack(np.array(times, np.uint32)[line]), pa.binary())], names=BLOCK_COLUMNS)
 
         for batch in batches:
             texts = batch.column(2)
-            for i, (doc, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for i, (d, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 text = texts[i].as_py()
-                counted, special = cutter.count(text)
-                # The document's own entry comes first, so that texts without tokens are counted too.
-                for t, n in (("", special), *counted.items()):
-                    at = len(ids) << 16
-                    while n > SHORT:
-                        held[t].append(at | SHORT)
-                        n -= SHORT
-                    held[t].append(at | n)
-                ids.append(doc)
+                counted, specials = cutter.count(text)
+                word.extend(map(index.__getitem__, counted))
+                doc.extend([len(ids)] * len(counted))
+                times.extend(counted.values())
+                ids.append(d)
                 sizes.append(size)
+                special.append(specials)
                 chars += len(text)
                 if chars >= block_chars or len(ids) > SHORT:
                     yield block()
                     base += len(ids)
-                    held, ids, sizes, chars = defaultdict(list), [], [], 0
+                    index, ids, sizes, special, word, doc, times, chars = empty()
         if ids:
             yield block()
     return run
 
 
 def _pieces(path: str):
+    """Numbers of pieces of the pre-tokens of every (base, bucket). Rows come bucket by bucket, so that
+    the library sees every distinct pre-token once and only one bucket's are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
-        lib = Tokenizer.from_file(path)
+        lib, unpack = Tokenizer.from_file(path), zstandard.ZstdDecompressor()
+        known, current = {}, None
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            # The empty string stands for special strings, one token each.
-            sizes = [1 if w == "" else len(e.ids) for w, e in zip(
-                words, lib.encode_batch(words, add_special_tokens=False), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32())], names=["word", "pieces"])
+            out = []
+            for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != current:
+                    known, current = {}, bucket
+                words = unpack.decompress(packed.as_py()).decode("utf-8", "surrogatepass").split("\n")
+                fresh = [w for w in words if w not in known]
+                known.update(zip(fresh, (len(e.ids) for e in lib.encode_batch(fresh, add_special_tokens=False)), strict=True))
+                out.append(_pack(np.fromiter(map(known.__getitem__, words), np.uint32, len(words))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())],
+                                             names=["base", "bucket", "pieces"])
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_ids, sizes, special, words, docs, times, pieces) of a block -> (doc_id, n_bytes, n_tokens)."""
+    for batch in batches:
+        for ids, sizes, special, words, docs, times, pieces in zip(*batch.columns, strict=True):
+            each = np.concatenate([np.empty(0, np.uint32), *(_unpack(x, np.uint32) for x in pieces.as_py() or ())])
+            tokens = np.repeat(each, _unpack(words.as_py(), np.uint32)).astype(np.int64) * _unpack(times.as_py(), np.uint32)
+            total = np.array(special.as_py(), np.int64)
+            np.add.at(total, np.cumsum(_unpack(docs.as_py(), np.uint16), dtype=np.uint16), tokens)
+            yield pa.RecordBatch.from_arrays([ids.values, sizes.values, pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_bytes, n_tokens, over_limit).
 
@@ -149,15 +205,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, block_chars: int
     give no rows. ``over_limit``: more than ``limit`` tokens.
     """
     rows = doc_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    saved_rows = saved(rows.mapInArrow(_invert(path, block_chars),
-                                       "pretoken string, base long, held array<int>, doc_ids array<long>, sizes array<long>"), "pretokens")
-    blocks = saved_rows.filter("pretoken IS NOT NULL").select("pretoken", "base", "held")
-    facts = (saved_rows.filter("pretoken IS NULL").select("base", F.posexplode(F.arrays_zip("doc_ids", "sizes")).alias("i", "d"))
-             .select((F.col("base") + F.col("i")).alias("row"), F.col("d.doc_ids").alias("doc_id"), F.col("d.sizes").alias("n_bytes")))
-    words = blocks.select("pretoken").distinct().mapInArrow(_pieces(path), "word string, pieces int")
-    sums = (blocks.join(words, F.col("pretoken") == F.col("word"))
-            .select("pieces", "base", F.explode("held").alias("e"))
-            .groupBy((F.col("base") + F.shiftright("e", 16)).alias("row"))
-            .agg(F.sum(F.col("pieces") * F.col("e").bitwiseAND(F.lit(0xFFFF))).alias("n_tokens")))
-    return facts.join(sums, "row").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = saved(rows.mapInArrow(
+        _invert(path, block_chars, BUCKETS * parts),
+        "base long, bucket int, pretokens binary, doc_ids array<long>, sizes array<long>, special array<long>, "
+        "words binary, docs binary, times binary"), "pretokens")
+    pieces = (blocks.filter("bucket IS NOT NULL").select("base", "bucket", "pretokens")
+              .repartition(parts, "bucket").sortWithinPartitions("bucket")
+              .mapInArrow(_pieces(path), "base long, bucket int, pieces binary"))
+    by_block = pieces.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("bucket", "pieces")))["pieces"].alias("pieces"))
+    counted = (blocks.filter("bucket IS NULL").drop("bucket", "pretokens").join(by_block, "base", "left")
+               .select("doc_ids", "sizes", "special", "words", "docs", "times", "pieces")
+               .mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -87,6 +87,24 @@ def test_token_counts_of_shuffled_rows(spark, docs):
     assert {(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_tokens) for r in distinct} == set(expect)
 
 
+def test_rare_pre_tokens_travel_packed(spark, docs, monkeypatch):
+    """Nothing that is written or exchanged has a row for each pre-token: texts of words that no other text has
+    take a row for each block and bucket, and are counted as the library does; one frequency is beyond two bytes."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    kept, saved = [], token_counts.saved
+    monkeypatch.setattr(token_counts, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    letters = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+    texts = [" ".join(f"z{letters[i]}{letters[j]}q" for j in range(100)) for i in range(60)] + ["u " * 70_000 + "v"]
+    got = token_counts.count_tokens(docs(list(enumerate(texts))).coalesce(1), path, block_chars=20_000).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = kept[0].filter("bucket IS NULL").count()
+    assert 1 < blocks < 10
+    assert kept[0].count() <= blocks * (1 + token_counts.BUCKETS * parts) < 100 * 60 / 4
+
+
 def test_texts_are_normalised_once(docs, monkeypatch):
     """The optimised plan of the first step holds the normalisation once, not in the lambda that cuts blocks."""
     plans = []
