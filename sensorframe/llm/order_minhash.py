@@ -22,8 +22,8 @@ with many members in several classes comes from a passage that unrelated
 texts share; its members are compared when they share one of their rarest
 pairs of words too, which all that pass the alignment do (``rare_kmers``): the
 classes are the same as if all members were compared. No sketch value is cut short.
-What is left is compared round by round, nearest first by the bound, so that a large
-group grows together by as many comparisons as it has texts.
+What is left is compared at once where it is a few pairs for each text, and else round by
+round, nearest first by the bound, so that a large group grows together by as many comparisons as it has texts.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ SUBLEADERS = 256
 WIDE = 64
 #: Words of the k-mers of which members of such values must share a rare one.
 RARE = 2
+#: Places, by hash, that tell roughly how many texts hold a k-mer; it changes the work, not the classes.
+PLACES = 1 << 18
+#: Pairs for each different text up to which what is left is compared at once, without rounds; it changes the
+#: work and which links form the classes, not the classes.
+AT_ONCE = 4
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 128
 WORD = re.compile(r"\w+")
@@ -159,61 +164,103 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h1.append(int.from_bytes(d[:8], "little", signed=True))
             h2.append(int.from_bytes(d[8:], "little", signed=True))
             size.append(len(w))
-            slots.append(np.bincount((w % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32))
+            slots.append(np.bincount((w % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).clip(max=32767).astype(np.int16))
             sketches.append(sketch(w).view(np.int64))
             body.append(pack.compress(" ".join(words).encode("utf-8", "surrogatepass")))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()),
-             list_column(slots, pa.int32()), list_column(sketches, pa.int64()), pa.array(body, pa.binary())],
+             list_column(slots, pa.int16()), list_column(sketches, pa.int64()), pa.array(body, pa.binary())],
             names=["row", "doc_id", "h1", "h2", "size", "slots", "sketch", "body"])
 
 
-def _kmer_rows(k: int):
+def _kmers_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
+    """(batch, place in it, number of words, labelled k-mers) for every row of (body, ...)."""
+    ids, unpack = WordIds(), zstandard.ZstdDecompressor()
+    for b in batches:
+        for i, x in enumerate(b.column(0)):
+            words = unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass").split(" ")
+            yield b, i, len(words), labelled_kmers(ids.of(words), k)
+
+
+def _places(kmers: np.ndarray, places: int) -> np.ndarray:
+    """The two places of every k-mer, the second ones after all first ones."""
+    at = np.uint64(places)
+    return np.stack([kmers % at, mix64(kmers) % at + at]).astype(np.int64)
+
+
+def _place_counts(k: int, places: int):
+    """(place, texts): how many texts of the task hold the k-mers of each place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unpack = WordIds(), zstandard.ZstdDecompressor()
-        for b in batches:
-            rows = b.column(0).to_numpy(zero_copy_only=False)
-            held_rows, held, size = [], [], 0
-            for i, x in enumerate(b.column(1)):
-                words = unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass").split(" ")
-                kmers = labelled_kmers(ids.of(words), k).view(np.int64)
-                held_rows.append(np.full(len(kmers), rows[i]))
-                held.append(kmers)
-                size += len(kmers)
-                if size > 500_000 or i + 1 == len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held_rows), pa.int64()),
-                                                      pa.array(np.concatenate(held), pa.int64())], names=["row", "kmer"])
-                    held_rows, held, size = [], [], 0
+        total, held, size = np.zeros(2 * places, np.int64), [], 0
+        for _, _, _, kmers in _kmers_of(batches, k):
+            held.append(_places(kmers, places).ravel())
+            size += len(kmers)
+            if size > 500_000:
+                total += np.bincount(np.concatenate(held), minlength=2 * places)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=2 * places)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["place", "texts"])
+    return run
+
+
+def _rarest(k: int, similarity: float, counts):
+    """(row, label, kmer, before): the rarest k-mers of each row of (body, row, label), each with the one ranked before it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = counts.value
+        held, size = [], 0
+
+        def out():
+            rows, labels, kmers = zip(*held, strict=True)
+            times = [len(x) for x in kmers]
+            every = np.concatenate(kmers).view(np.int64)
+            first = np.zeros(len(every), bool)
+            first[np.cumsum([0, *times[:-1]])] = True
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(rows, times), pa.int64()), pa.array(np.repeat(labels, times), pa.int64()),
+                pa.array(every), pa.array(np.roll(every, 1), mask=first)], names=["row", "label", "kmer", "before"])
+        for b, i, n, kmers in _kmers_of(batches, k):
+            if not len(kmers):
+                continue
+            rarest = min(len(kmers), int(k * (1 - similarity) * n + 1e-9) + 1)
+            order = np.lexsort((kmers, texts[_places(kmers, len(texts) // 2)].min(axis=0)))[:rarest]
+            held.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), kmers[order]))
+            size += rarest
+            if size > 500_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
     return run
 
 
 def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = RARE) -> DataFrame:
-    """(row, kmer) for the rarest k-mers of each row of ``texts`` (row, size, body),
-    as far as another row has them too. An edit breaks up to ``k`` k-mers, so a row
+    """(row, label, kmer) for the rarest k-mers of each row of ``texts`` (row, body and, if there are
+    classes, label), as far as a row of another class has them too. An edit breaks up to ``k`` k-mers, so a row
     of n words lacks at most ``k * (1 - similarity) * n`` k-mers of a row that is
     near to it, and the two share one among that many rarest and one more: ranked in
     one order, the rarest common k-mer can't come later in either. K-mers that bring no
-new pair together are left out. That holds for
+    new pair together are left out. That holds for
     every pair of word-edit similarity ``similarity`` that has a k-mer in common at
-    all (for pairs of words and 0.8: from four words on). Rows are ranked by the number
-    of texts that hold the k-mer, then by hash."""
-    kmers = saved(texts.select("row", "body").mapInArrow(_kmer_rows(k), "row long, kmer long"), "omh-kmers")
-    held = saved(kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "omh-held")
-    ranked = kmers.join(held, "kmer").groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("texts", "kmer"))).alias("common"))
-    total = F.col("size") - F.lit(k - 1)
-    rarest = F.least(total, F.floor(F.lit(k * (1 - similarity)) * F.col("size") + 1e-9) + 1)
-    # k-mers that no other row holds come first.
-    take = (rarest - (total - F.size("common"))).cast("int")
-    first = (ranked.join(texts.select("row", "size"), "row").withColumn("take", take).filter("take > 0")
-             .select("row", F.slice("common", F.lit(1), F.col("take"))["kmer"].alias("kmers")))
-    rare = saved(first.select("row", F.explode(F.transform("kmers", lambda x, i: F.struct(
-        x.alias("kmer"), F.get("kmers", i - 1).alias("before")))).alias("x")).select("row", "x.*"), "omh-rare")
+    all (for pairs of words and 0.8: from four words on). K-mers are ranked by the number
+    of texts that hold one of the same place, of ``PLACES`` by hash (the lesser of two such numbers), then by hash: any one
+    order finds the same pairs near, and this one needs a table of fixed size and no join of all k-mers with their counts."""
+    spark = texts.sparkSession
+    counted = (texts.select("body").mapInArrow(_place_counts(k, PLACES), "place int, texts long")
+               .groupBy("place").agg(F.sum("texts").alias("texts")).toArrow())
+    counts = np.zeros(2 * PLACES, np.int64)
+    counts[counted["place"].to_numpy()] = counted["texts"].to_numpy()
+    label = F.col("label" if "label" in texts.columns else "row").cast("long").alias("label")
+    rare = saved(texts.select("body", F.col("row").cast("long"), label).mapInArrow(
+        _rarest(k, similarity, spark.sparkContext.broadcast(counts)),
+        "row long, label long, kmer long, before long"), "omh-rare")
     # A k-mer that follows one and the same k-mer in all its rows adds no pair to that one's; of a passage
     # that many rows share, only the first k-mers are left.
-    plain = rare.groupBy("kmer").agg(F.min("before").alias("lo"), F.max("before").alias("hi"),
-                                     F.count_if(F.col("before").isNull()).alias("starts")).filter("lo = hi and starts = 0")
-    return rare.join(plain.select("kmer"), "kmer", "left_anti").select("row", "kmer")
+    several = rare.groupBy("kmer").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("before").alias("first"), F.max("before").alias("last"),
+        F.count_if(F.col("before").isNull()).alias("starts")).filter("lo < hi and (first < last or starts > 0)")
+    return rare.join(several.select("kmer"), "kmer").select("row", "label", "kmer")
 
 
 def _aligned(similarity: float):
@@ -258,7 +305,7 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     source = row_texts(docs)
     doc_type = source.schema["doc_id"].dataType.simpleString()
     table = saved(source.mapInArrow(
-        _sketch_rows, f"row long, doc_id {doc_type}, h1 long, h2 long, size int, slots array<int>, "
+        _sketch_rows, f"row long, doc_id {doc_type}, h1 long, h2 long, size int, slots array<smallint>, "
                       "sketch array<long>, body binary"), "omh-table")
     # Copies collapse to their first row; texts without words stay apart.
     own = F.when(F.col("size") == 0, F.col("row")).otherwise(F.lit(-1))
@@ -294,26 +341,29 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
 
     def classes_of(tested):
         label = components(tested.filter("same").select("a", "b"))
-        return label, live.join(label, live["row"] == label["node"], "left").select(
-            "value", "row", F.coalesce("label", "row").alias("label"))
+        who = weight.join(label, weight["row"] == label["node"], "left").select(
+            F.col("row").alias("node"), F.coalesce("label", "row").alias("label"), "weight")
+        return label, live.join(who, live["row"] == who["node"]).select("value", "row", "label", "weight")
 
     tested = test(to_sub.unionByName(to_head), None, "omh-1")
     _, placed = classes_of(tested)
     # Then the first text of every class in a value with the value's first text.
-    firsts = saved(_mixed(placed).join(weight.select("row", "weight"), "row").groupBy("value", "label").agg(
+    firsts = saved(_mixed(placed).groupBy("value", "label").agg(
         _leader().alias("first")), "omh-firsts")
     heads = saved(firsts.groupBy("value").agg(F.max("first").alias("head")), "omh-heads")
     tested = test(_pair(firsts.join(heads, "value"), -F.col("head.no"), -F.col("first.no")), tested, "omh-2")
     label, placed = classes_of(tested)
     # Last, members of one value in different classes, compared once each.
-    split = saved(_mixed(placed), "omh-split")
-    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(None).cast("array<long>").alias("wide"))
+    split = saved(_mixed(placed.drop("weight")), "omh-split")
+    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(False).alias("by_kmer"))
     placed = saved(split.filter(F.col("members") > WIDE).groupBy("row", "label").agg(F.collect_set("value").alias("wide")), "omh-wide")
-    rare = rare_kmers(table.select("row", "size", "body").join(placed, "row", "left_semi"), similarity)
-    wide = _mixed(rare.join(placed.select("row", "label"), "row").select(F.col("kmer").alias("value"), "row", "label"))
-    wide = wide.select("value", "row", "label").join(placed.select("row", "wide"), "row").select("value", "row", "label", "wide")
+    rare = rare_kmers(table.select("row", "body").join(placed.select("row", "label"), "row"), similarity)
+    # Facts join only the rows of values and k-mers that are left.
+    known = facts.join(placed.select("row", "wide"), "row", "left")
+    wide = rare.select(F.col("kmer").alias("value"), "row", "label", F.lit(True).alias("by_kmer"))
     # Dealt by row, so that the members of one value start in many tasks.
-    keyed = saved(narrow.unionByName(wide).join(facts, "row").repartition("row"), "omh-keyed")
+    keyed = saved(narrow.unionByName(wide).join(known, "row").withColumn("wide", F.when(F.col("by_kmer"), F.col("wide")))
+                  .repartition("row"), "omh-keyed")
     l, r = keyed.alias("l"), keyed.alias("r")
     across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
                     & (F.col("l.label") != F.col("r.label"))
@@ -321,15 +371,18 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
         F.col("l.row").alias("a"), F.col("r.row").alias("b"), _least_edits("l.", "r.").alias("edits")).distinct()
     left = saved(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-across")
     # Round by round every class and every text first meets the one that word counts leave nearest;
-    # when that links nothing more, what is still in different classes is compared to the last pair.
-    linking = True
+    # when that links nothing more, or pairs are few for the texts, what is still in different classes is
+    # compared to the last pair.
+    linking, few = True, AT_ONCE * reps.count()
     while True:
         of_a, of_b = (label.select(F.col("node").alias(x), F.col("label").alias("l" + x)) for x in "ab")
         left = saved(left.select("a", "b", "edits").join(of_a, "a", "left").join(of_b, "b", "left").select(
             "a", "b", "edits", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb")
             .join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-left")
-        if left.isEmpty():
+        pairs = left.count()
+        if not pairs:
             break
+        linking = linking and pairs > few
         nearest = left.select("a", "b")
         if linking:
             best = [left.groupBy(side).agg(F.min(F.struct("edits", "a", "b")).alias("p")).select("p.a", "p.b")
@@ -368,11 +421,11 @@ def _pair(df: DataFrame, x, y) -> DataFrame:
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of ``placed`` (value, row, label) whose value has several labels,
+    """Rows of ``placed`` (value, row, label, ...) whose value has several labels,
     with the value's number of members."""
     several = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
                                           F.count(F.lit(1)).alias("members")).filter("lo < hi")
-    return placed.join(several.select("value", "members"), "value").select("value", "row", "label", "members")
+    return placed.join(several.select("value", "members"), "value")
 
 
 def _least_edits(a: str, b: str):

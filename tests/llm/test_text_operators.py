@@ -442,6 +442,27 @@ def test_rare_kmers_are_shared_by_near_texts(spark):
     assert all(len(k) <= int(0.4 * len(texts[i]) + 1e-9) + 1 for i, k in rare.items())
 
 
+def test_classes_do_not_depend_on_places_and_rounds(spark, docs, monkeypatch):
+    """Classes are the same whether k-mers are ranked by many places or by one, and whether pairs are compared
+    at once or in rounds; and no table of all k-mers with their rows is written."""
+    rng, names, saved = random.Random(5), [], order_minhash.saved
+    passage, pairs = words(rng, 100), []
+    for i in range(20):
+        text = words(rng, 12, 10 ** 6) + passage + words(rng, 12, 10 ** 6)
+        pairs += [(i, " ".join(text)), (50 + i, " ".join(text[:5] + text[9:] + ["new", f"n{i}"]))]
+    monkeypatch.setattr(order_minhash, "WIDE", 2)
+    monkeypatch.setattr(order_minhash, "saved", lambda df, name: names.append(name) or saved(df, name))
+
+    def classes(places, at_once):
+        monkeypatch.setattr(order_minhash, "PLACES", places)
+        monkeypatch.setattr(order_minhash, "AT_ONCE", at_once)
+        return {r.doc_id: (r.class_id, r.class_size) for r in order_minhash.near_duplicates(docs(pairs)).collect()}
+    found = classes(1 << 18, 10 ** 6)
+    assert "omh-rare" in names and "omh-kmers" not in names
+    assert all(found[i][0] == found[50 + i][0] for i in range(20))
+    assert classes(1, 0) == found
+
+
 def test_sketches_find_accepted_pairs():
     """Of pairs with up to nearly a fifth of the words replaced, at least 9 in 10 share a sketch value."""
     rng = np.random.default_rng(3)
