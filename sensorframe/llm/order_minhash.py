@@ -20,7 +20,8 @@ on word counts already rules them out, and the classes are joined. Pairs inside
 one class need no comparison, because the classes would not change. A value
 with many members in several classes comes from a passage that unrelated
 texts share; its members are compared when they share one of their rarest
-pairs of words too, which all that pass the alignment do (``rare_kmers``): the
+pairs of words too, which all that pass the alignment do (``rare_kmers``), and when their
+words themselves (``bags``) and not only rough counts of them leave the pair possible: the
 classes are the same as if all members were compared. No sketch value is cut short.
 What is left is compared at once where it is a few pairs for each text, and else round by
 round, nearest first by the bound, so that a large group grows together by as many comparisons as it has texts.
@@ -48,6 +49,8 @@ SUBLEADERS = 256
 #: Members of a sketch value in several classes beyond which pairs are found by a shared rare word;
 #: it changes the work, not the classes.
 WIDE = 64
+#: Members of a k-mer that one task compares with all of its members.
+DEAL = 64
 #: Words of the k-mers of which members of such values must share a rare one.
 RARE = 2
 #: Places, by hash, that tell roughly how many texts hold a k-mer; it changes the work, not the classes.
@@ -57,6 +60,8 @@ PLACES = 1 << 18
 AT_ONCE = 4
 #: Slots of the word counts that bound the edits between two texts from below.
 SLOTS = 128
+#: Words of a text up to which its words bound the edits too, where many texts meet; it changes the work, not the classes.
+BAG = 4096
 WORD = re.compile(r"\w+")
 
 
@@ -236,7 +241,7 @@ def _rarest(k: int, similarity: float, counts):
 
 
 def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = RARE) -> DataFrame:
-    """(row, label, kmer) for the rarest k-mers of each row of ``texts`` (row, body and, if there are
+    """(row, label, kmer, members) for the rarest k-mers of each row of ``texts`` (row, body and, if there are
     classes, label), as far as a row of another class has them too. An edit breaks up to ``k`` k-mers, so a row
     of n words lacks at most ``k * (1 - similarity) * n`` k-mers of a row that is
     near to it, and the two share one among that many rarest and one more: ranked in
@@ -259,8 +264,37 @@ def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = RARE)
     # that many rows share, only the first k-mers are left.
     several = rare.groupBy("kmer").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("before").alias("first"), F.max("before").alias("last"),
-        F.count_if(F.col("before").isNull()).alias("starts")).filter("lo < hi and (first < last or starts > 0)")
-    return rare.join(several.select("kmer"), "kmer").select("row", "label", "kmer")
+        F.count_if(F.col("before").isNull()).alias("starts"), F.count(F.lit(1)).alias("members")).filter(
+        "lo < hi and (first < last or starts > 0)")
+    return rare.join(several.select("kmer", "members"), "kmer").select("row", "label", "kmer", "members")
+
+
+def _bag_rows(most: int):
+    """(row, words): the labelled words of each row of (body, row), 16 bits of each, null for more than ``most`` words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            rows, words = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.list_(pa.int16()))],
+                                              names=["row", "words"])
+        for b, i, n, words in _kmers_of(batches, 1):
+            bag = np.unique(words.astype(np.uint16)).view(np.int16) if n <= most else None
+            held.append((b.column(1)[i].as_py(), bag))
+            size += 0 if bag is None else len(bag)
+            if size > 500_000 or len(held) >= 10_000:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+    return run
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """(row, words) for each row of ``texts`` (row, body): its words as a set of small numbers, the first, second, ...
+    of equal words by different ones. An edit takes one word away and adds one at most, and words that fall on
+    one number only lower the difference, so what one text has and the other lacks bounds the edits from below."""
+    return texts.select("body", F.col("row").cast("long")).mapInArrow(_bag_rows(BAG), "row long, words array<smallint>")
 
 
 def _aligned(similarity: float):
@@ -355,19 +389,24 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     label, placed = classes_of(tested)
     # Last, members of one value in different classes, compared once each.
     split = saved(_mixed(placed.drop("weight")), "omh-split")
-    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(False).alias("by_kmer"))
+    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(False).alias("by_kmer"), F.lit(1).alias("parts"))
     placed = saved(split.filter(F.col("members") > WIDE).groupBy("row", "label").agg(F.collect_set("value").alias("wide")), "omh-wide")
     rare = rare_kmers(table.select("row", "body").join(placed.select("row", "label"), "row"), similarity)
     # Facts join only the rows of values and k-mers that are left.
-    known = facts.join(placed.select("row", "wide"), "row", "left")
-    wide = rare.select(F.col("kmer").alias("value"), "row", "label", F.lit(True).alias("by_kmer"))
+    held = placed.select("row", "wide").join(bags(table.select("row", "body").join(placed.select("row"), "row", "left_semi")), "row")
+    known = facts.join(held, "row", "left")
+    wide = rare.select(F.col("kmer").alias("value"), "row", "label", F.lit(True).alias("by_kmer"),
+                       F.ceil(F.col("members") / DEAL).cast("int").alias("parts"))
     # Dealt by row, so that the members of one value start in many tasks.
-    keyed = saved(narrow.unionByName(wide).join(known, "row").withColumn("wide", F.when(F.col("by_kmer"), F.col("wide")))
+    keyed = saved(narrow.unionByName(wide).join(known, "row").withColumns({x: F.when(F.col("by_kmer"), F.col(x)) for x in ("wide", "words")})
                   .repartition("row"), "omh-keyed")
-    l, r = keyed.alias("l"), keyed.alias("r")
-    across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
-                    & (F.col("l.label") != F.col("r.label"))
-                    & F.coalesce(F.arrays_overlap("l.wide", "r.wide"), F.lit(True)) & _in_reach("l.", "r.", similarity)).select(
+    # A k-mer of many members is compared in parts: a part of them with all of them.
+    l = keyed.withColumn("part", F.pmod(F.hash("row"), "parts")).alias("l")
+    r = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
+    across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.part") == F.col("r.part"))
+                    & (F.col("l.row") < F.col("r.row")) & (F.col("l.label") != F.col("r.label"))
+                    & F.coalesce(F.arrays_overlap("l.wide", "r.wide"), F.lit(True)) & _in_reach("l.", "r.", similarity)
+                    & F.coalesce(_bag_edits("l.", "r.") <= _most_edits("l.", "r.", similarity), F.lit(True))).select(
         F.col("l.row").alias("a"), F.col("r.row").alias("b"), _least_edits("l.", "r.").alias("edits")).distinct()
     left = saved(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-across")
     # Round by round every class and every text first meets the one that word counts leave nearest;
@@ -437,11 +476,20 @@ def _least_edits(a: str, b: str):
     return F.greatest(gain, gain + F.col(b + "size") - F.col(a + "size"))
 
 
+def _bag_edits(a: str, b: str):
+    """Edits that the words of two sides (``bags``) leave needed at least; null where a side has none."""
+    x, y = F.col(a + "words"), F.col(b + "words")
+    return F.greatest(F.array_size(x), F.array_size(y)) - F.array_size(F.array_intersect(x, y))
+
+
+def _most_edits(a: str, b: str, similarity: float):
+    return F.lit(1 - similarity) * F.greatest(F.col(a + "size"), F.col(b + "size")) + 1e-9
+
+
 def _in_reach(a: str, b: str, similarity: float):
     """Whether word counts leave a pair possible."""
-    na, nb = F.col(a + "size"), F.col(b + "size")
-    most = F.lit(1 - similarity) * F.greatest(na, nb) + 1e-9
-    return (F.abs(na - nb) <= most) & (_least_edits(a, b) <= most)
+    most = _most_edits(a, b, similarity)
+    return (F.abs(F.col(a + "size") - F.col(b + "size")) <= most) & (_least_edits(a, b) <= most)
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:

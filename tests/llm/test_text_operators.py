@@ -463,6 +463,30 @@ def test_classes_do_not_depend_on_places_and_rounds(spark, docs, monkeypatch):
     assert classes(1, 0) == found
 
 
+def test_words_rule_out_texts_of_one_passage(docs, monkeypatch):
+    """Texts that share four fifths of their words and no other word are not compared with each other; near copies
+    among them are found, and classes are the same without the words and however members are dealt."""
+    rng, left, saved = random.Random(41), [], order_minhash.saved
+    pairs = []
+    for i in range(24):
+        text = words(rng, 170, 10 ** 6) + ["is", "onhe"] * 310
+        pairs.append((i, " ".join(text)))
+        if i % 6 == 0:
+            pairs.append((100 + i, " ".join(x if j >= 170 or j % 3 else f"new{i}x{j}" for j, x in enumerate(text))))
+    monkeypatch.setattr(order_minhash, "WIDE", 2)
+    monkeypatch.setattr(order_minhash, "saved",
+                        lambda df, name: left.append(df.count()) or saved(df, name) if name == "omh-across" else saved(df, name))
+
+    def classes(bag, deal):
+        monkeypatch.setattr(order_minhash, "BAG", bag)
+        monkeypatch.setattr(order_minhash, "DEAL", deal)
+        return {r.doc_id: (r.class_id, r.class_size) for r in order_minhash.near_duplicates(docs(pairs)).collect()}
+    found = classes(4096, 3)
+    assert all(found[i] == found[100 + i] == (i, 2) for i in range(0, 24, 6))
+    assert classes(0, 10 ** 6) == found
+    assert left[0] <= 28 < 100 < left[1]
+
+
 def test_sketches_find_accepted_pairs():
     """Of pairs with up to nearly a fifth of the words replaced, at least 9 in 10 share a sketch value."""
     rng = np.random.default_rng(3)
