@@ -62,6 +62,9 @@ AT_ONCE = 4
 SLOTS = 128
 #: Words of a text up to which its words bound the edits too, where many texts meet; it changes the work, not the classes.
 BAG = 4096
+#: Bits, by hash, of a text's words that rule out most pairs of a k-mer before the words themselves are
+#: fetched (a multiple of 64); it changes the work, not the classes.
+BITS = 512
 WORD = re.compile(r"\w+")
 
 
@@ -270,17 +273,22 @@ def rare_kmers(texts: DataFrame, similarity: float = SIMILARITY, k: int = RARE)
 
 
 def _bag_rows(most: int):
-    """(row, words): the labelled words of each row of (body, row), 16 bits of each, null for more than ``most`` words."""
+    """(row, words, bits): the labelled words of each row of (body, row), 16 bits of each, and which of ``BITS`` bits
+    they fall on; null for more than ``most`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out():
-            rows, words = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.list_(pa.int16()))],
-                                              names=["row", "words"])
+            rows, words, bits = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.list_(pa.int16())),
+                                               pa.array(bits, pa.list_(pa.int64()))], names=["row", "words", "bits"])
         for b, i, n, words in _kmers_of(batches, 1):
-            bag = np.unique(words.astype(np.uint16)).view(np.int16) if n <= most else None
-            held.append((b.column(1)[i].as_py(), bag))
+            bag = bits = None
+            if n <= most:
+                bag = np.unique(words.astype(np.uint16))
+                bits = np.packbits(np.bincount(bag % BITS, minlength=BITS) > 0).view(np.int64)
+                bag = bag.view(np.int16)
+            held.append((b.column(1)[i].as_py(), bag, bits))
             size += 0 if bag is None else len(bag)
             if size > 500_000 or len(held) >= 10_000:
                 yield out()
@@ -291,10 +299,12 @@ def _bag_rows(most: int):
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(row, words) for each row of ``texts`` (row, body): its words as a set of small numbers, the first, second, ...
-    of equal words by different ones. An edit takes one word away and adds one at most, and words that fall on
-    one number only lower the difference, so what one text has and the other lacks bounds the edits from below."""
-    return texts.select("body", F.col("row").cast("long")).mapInArrow(_bag_rows(BAG), "row long, words array<smallint>")
+    """(row, words, bits) for each row of ``texts`` (row, body): its words as a set of small numbers, the first, second, ...
+    of equal words by different ones, and the same as a set of still smaller ones, a bit each. An edit takes one word away
+    and adds one at most, and words that fall on one number only lower the difference, so what one text has and the other
+    lacks bounds the edits from below."""
+    return texts.select("body", F.col("row").cast("long")).mapInArrow(
+        _bag_rows(BAG), "row long, words array<smallint>, bits array<long>")
 
 
 def _aligned(similarity: float):
@@ -350,13 +360,13 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     reps = groups.filter("size >= " + str(KMER)).select(F.col("rep").alias("row"))
     drawn = saved(table.select("row", "size", "slots", "sketch").join(reps, "row", "left_semi")
                   .select("row", F.explode("sketch").alias("value")), "omh-values")
-    facts = table.select("row", "size", "slots")
     # Values of one text need no comparison.
     many = drawn.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     live = saved(drawn.join(many, "value"), "omh-live")
     # Of near copies of one text, those with the fewest edits share their values with the most texts; they lead.
     weight = saved(live.groupBy("row").agg(F.sum("members").alias("weight"),
                                            F.max(F.struct("members", "value"))["value"].alias("value")), "omh-weight")
+    facts = saved(table.select("row", "size", "slots").join(weight.select("row"), "row", "left_semi"), "omh-facts")
     # First every text with the leader of its most shared value, through a sub-leader.
     chosen = weight.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SUBLEADERS)))
     subs = saved(chosen.groupBy("value", "salt").agg(_leader().alias("sub")), "omh-subs")
@@ -389,25 +399,29 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     label, placed = classes_of(tested)
     # Last, members of one value in different classes, compared once each.
     split = saved(_mixed(placed.drop("weight")), "omh-split")
-    narrow = split.filter(F.col("members") <= WIDE).select("value", "row", "label", F.lit(False).alias("by_kmer"), F.lit(1).alias("parts"))
+    few = saved(split.filter(F.col("members") <= WIDE).select("value", "row", "label").join(facts, "row"), "omh-few")
+    # Both sides are the same rows, so that they are dealt out once.
+    l, r = few.alias("l"), few.alias("r")
+    across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.row") < F.col("r.row"))
+                    & (F.col("l.label") != F.col("r.label")) & _in_reach("l.", "r.", similarity)).select(*_pair_edits())
     placed = saved(split.filter(F.col("members") > WIDE).groupBy("row", "label").agg(F.collect_set("value").alias("wide")), "omh-wide")
-    rare = rare_kmers(table.select("row", "body").join(placed.select("row", "label"), "row"), similarity)
-    # Facts join only the rows of values and k-mers that are left.
-    held = placed.select("row", "wide").join(bags(table.select("row", "body").join(placed.select("row"), "row", "left_semi")), "row")
-    known = facts.join(held, "row", "left")
-    wide = rare.select(F.col("kmer").alias("value"), "row", "label", F.lit(True).alias("by_kmer"),
-                       F.ceil(F.col("members") / DEAL).cast("int").alias("parts"))
-    # Dealt by row, so that the members of one value start in many tasks.
-    keyed = saved(narrow.unionByName(wide).join(known, "row").withColumns({x: F.when(F.col("by_kmer"), F.col(x)) for x in ("wide", "words")})
-                  .repartition("row"), "omh-keyed")
-    # A k-mer of many members is compared in parts: a part of them with all of them.
-    l = keyed.withColumn("part", F.pmod(F.hash("row"), "parts")).alias("l")
-    r = keyed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
-    across = l.join(r, (F.col("l.value") == F.col("r.value")) & (F.col("l.part") == F.col("r.part"))
-                    & (F.col("l.row") < F.col("r.row")) & (F.col("l.label") != F.col("r.label"))
-                    & F.coalesce(F.arrays_overlap("l.wide", "r.wide"), F.lit(True)) & _in_reach("l.", "r.", similarity)
-                    & F.coalesce(_bag_edits("l.", "r.") <= _most_edits("l.", "r.", similarity), F.lit(True))).select(
-        F.col("l.row").alias("a"), F.col("r.row").alias("b"), _least_edits("l.", "r.").alias("edits")).distinct()
+    bodies = table.select("row", "body").join(placed.select("row", "label"), "row")
+    known = saved(placed.join(facts, "row").join(bags(bodies), "row"), "omh-known")
+    # Most rows of a rare k-mer share it by chance. Small bits of their words rule those out, so that only rows that
+    # may be near to another one take their words and counts along: k-mers are many for each text, these rows are few.
+    # Dealt by row, so that the members of one k-mer start in many tasks.
+    keyed = saved(rare_kmers(bodies, similarity).select(
+        F.col("kmer").alias("value"), "row", F.ceil(F.col("members") / DEAL).cast("int").alias("parts"))
+        .join(known.select("row", "label", "wide", "size", "bits"), "row").repartition("row"), "omh-keyed")
+    met = _held(keyed, F.arrays_overlap("l.wide", "r.wide")
+                & (F.abs(F.col("l.size") - F.col("r.size")) <= _most_edits("l.", "r.", similarity))
+                & F.coalesce(_bit_edits("l.", "r.") <= _most_edits("l.", "r.", similarity), F.lit(True)),
+                "left_semi", "value", "row", "parts")
+    met = saved(met.join(known.drop("bits"), "row").repartition("row"), "omh-met")
+    across = across.union(_held(
+        met, (F.col("l.row") < F.col("r.row")) & F.arrays_overlap("l.wide", "r.wide") & _in_reach("l.", "r.", similarity)
+        & F.coalesce(_bag_edits("l.", "r.") <= _most_edits("l.", "r.", similarity), F.lit(True)),
+        "inner", *_pair_edits())).distinct()
     left = saved(across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "omh-across")
     # Round by round every class and every text first meets the one that word counts leave nearest;
     # when that links nothing more, or pairs are few for the texts, what is still in different classes is
@@ -482,6 +496,32 @@ def _bag_edits(a: str, b: str):
     return F.greatest(F.array_size(x), F.array_size(y)) - F.array_size(F.array_intersect(x, y))
 
 
+def _bit_edits(a: str, b: str):
+    """The same by the bits of their words."""
+    def lacks(a, b):
+        return sum((F.bit_count(F.get(F.col(a + "bits"), i).bitwiseAND(F.bitwise_not(F.get(F.col(b + "bits"), i))))
+                    for i in range(BITS // 64)), F.lit(0))
+    return F.greatest(lacks(a, b), lacks(b, a))
+
+
+def _pair_edits():
+    """A pair of the sides l and r with the edits that word counts leave needed."""
+    return F.col("l.row").alias("a"), F.col("r.row").alias("b"), _least_edits("l.", "r.").alias("edits")
+
+
+def _held(keyed: DataFrame, condition, how: str, *columns) -> DataFrame:
+    """Rows of ``keyed`` (value, row, label, parts, ...) joined as l and r with those of the same value and another label. A value
+    of many members is compared in parts, a part of them with all of them; of the others both sides are the same
+    rows and columns, so that they are dealt out once."""
+    apart = (F.col("l.value") == F.col("r.value")) & (F.col("l.label") != F.col("r.label")) & (F.col("l.row") != F.col("r.row")) & condition
+    few = keyed.filter("parts = 1").drop("parts")
+    many = keyed.filter("parts > 1")
+    l = many.withColumn("part", F.pmod(F.hash("row"), "parts")).alias("l")
+    r = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("r")
+    out = few.alias("l").join(few.alias("r"), apart, how).withColumn("parts", F.lit(1)).select(*columns)
+    return out.union(l.join(r, (F.col("l.part") == F.col("r.part")) & apart, how).select(*columns))
+
+
 def _most_edits(a: str, b: str, similarity: float):
     return F.lit(1 - similarity) * F.greatest(F.col(a + "size"), F.col(b + "size")) + 1e-9
 

@@ -487,6 +487,33 @@ def test_words_rule_out_texts_of_one_passage(docs, monkeypatch):
     assert left[0] <= 28 < 100 < left[1]
 
 
+def test_rows_that_share_a_kmer_by_chance_bring_no_words(docs, monkeypatch):
+    """Texts of one passage share pairs of other words by chance: such rows are ruled out before words and counts are
+    joined to them; near copies among them are found, whatever the bits are and however members are dealt."""
+    rng, made, saved = random.Random(17), {}, order_minhash.saved
+    passage, phrases, pairs = words(rng, 130, 10 ** 6), [words(rng, 2, 10 ** 6) for _ in range(30)], []
+    for i in range(40):
+        text = [*passage]
+        for _ in range(10):
+            text += words(rng, 9, 10 ** 6) + rng.choice(phrases)
+        pairs.append((i, " ".join(text)))
+        if i % 8 == 0:
+            pairs.append((100 + i, " ".join(x if j < 130 or j % 4 else f"new{i}x{j}" for j, x in enumerate(text))))
+    monkeypatch.setattr(order_minhash, "WIDE", 2)
+    monkeypatch.setattr(order_minhash, "saved", lambda df, name: made.setdefault(name, []).append(saved(df, name)) or made[name][-1])
+
+    def classes(bits, deal):
+        made.clear()
+        monkeypatch.setattr(order_minhash, "BITS", bits)
+        monkeypatch.setattr(order_minhash, "DEAL", deal)
+        found = {r.doc_id: (r.class_id, r.class_size) for r in order_minhash.near_duplicates(docs(pairs)).collect()}
+        return found, made["omh-keyed"][-1].count(), made["omh-met"][-1].count(), made["omh-keyed"][-1].columns
+    found, keyed, met, columns = classes(512, 64)
+    assert all(found[i] == found[100 + i] == (i, 2) for i in range(0, 40, 8))
+    assert keyed > 4 * met > 0 and not {"words", "slots"} & set(columns)
+    assert classes(64, 2)[0] == found
+
+
 def test_sketches_find_accepted_pairs():
     """Of pairs with up to nearly a fifth of the words replaced, at least 9 in 10 share a sketch value."""
     rng = np.random.default_rng(3)
