@@ -491,14 +491,14 @@ def test_rows_that_share_a_kmer_by_chance_bring_no_words(docs, monkeypatch):
     """Texts of one passage share pairs of other words by chance: such rows are ruled out before words and counts are
     joined to them; near copies among them are found, whatever the bits are and however members are dealt."""
     rng, made, saved = random.Random(17), {}, order_minhash.saved
-    passage, phrases, pairs = words(rng, 130, 10 ** 6), [words(rng, 2, 10 ** 6) for _ in range(30)], []
+    passage, phrases, pairs = words(rng, 110, 10 ** 6), [words(rng, 2, 10 ** 6) for _ in range(30)], []
     for i in range(40):
         text = [*passage]
         for _ in range(10):
-            text += words(rng, 9, 10 ** 6) + rng.choice(phrases)
+            text += words(rng, 6, 10 ** 6) + rng.choice(phrases)
         pairs.append((i, " ".join(text)))
         if i % 8 == 0:
-            pairs.append((100 + i, " ".join(x if j < 130 or j % 4 else f"new{i}x{j}" for j, x in enumerate(text))))
+            pairs.append((100 + i, " ".join(x if j < 110 or j % 4 else f"new{i}x{j}" for j, x in enumerate(text))))
     monkeypatch.setattr(order_minhash, "WIDE", 2)
     monkeypatch.setattr(order_minhash, "saved", lambda df, name: made.setdefault(name, []).append(saved(df, name)) or made[name][-1])
 
