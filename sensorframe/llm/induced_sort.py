@@ -84,12 +84,23 @@ class DiskQueue:
                 got.append((np.asarray(run[3][lo:hi]), np.asarray(run[4][lo:hi])))
                 run[2] += 1
         self.runs = [r for r in self.runs if r[2] < len(r[0])]
-        got += self.fresh.pop(symbol, [])
+        fresh = self.fresh.pop(symbol, [])
+        self.held -= sum(len(x) for x, _ in fresh)
+        got += fresh
         if not got:
             return None
-        out = np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])
-        self.held = sum(len(x) for p in self.fresh.values() for x, _ in p) if len(self.fresh) < 64 else max(self.held - len(out[0]), 0)
-        return out
+        return got[0] if len(got) == 1 else (np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
+
+
+def by_head(heads: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(symbol, places of it in ``heads``), by symbol."""
+    order = np.argsort(heads, kind="stable")
+    ordered = heads[order]
+    cuts = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)).tolist()
+    lo = 0
+    for hi in cuts if len(ordered) else ():
+        yield int(ordered[lo]), order[lo:hi]
+        lo = hi
 
 
 class Between:
@@ -105,21 +116,16 @@ class Between:
         prefixes), by symbol."""
         least = np.minimum.accumulate(prefix)
         rest = np.minimum.accumulate(prefix[::-1])[::-1]
-        order = np.argsort(heads, kind="stable")
-        ordered = heads[order]
-        cuts = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered))
-        seen, lo = {}, 0
-        for hi in cuts if len(ordered) else ():
-            group, symbol = order[lo:hi], int(ordered[lo])
+        seen = {}
+        for symbol, group in by_head(heads):
             where = at[group]
             out = np.empty(len(group), np.uint8)
             before = self.since.get(symbol)
             out[0] = 1 if before is None else min(min(before, int(least[where[0]])) + 1, depth)
             if len(group) > 1:
                 low = np.minimum.reduceat(prefix[:where[-1] + 1], where[:-1] + 1)
-                out[1:] = np.minimum(low.astype(np.int64) + 1, depth)
+                out[1:] = np.minimum(low, depth - 1) + np.uint8(1)
             seen[symbol] = int(rest[where[-1] + 1]) if where[-1] + 1 < len(prefix) else depth
-            lo = hi
             yield symbol, group, out
         whole = int(least[-1])
         self.since = {s: min(v, whole) for s, v in self.since.items()} | seen
@@ -127,47 +133,68 @@ class Between:
 
 def types(t: np.ndarray) -> np.ndarray:
     """True for S-type positions. The last symbol is the smallest and S-type."""
-    n = len(t)
     differs = np.flatnonzero(t[1:] != t[:-1])  # position before a change
-    nearest = np.searchsorted(differs, np.arange(n - 1))
-    at = differs[nearest]
-    return np.append(t[at] < t[at + 1], True)
-
-
-def common(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix of suffixes ``a`` and ``b``, pair by pair, up to ``depth``."""
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for d in range(depth):
-        x, y = a[live] + d, b[live] + d
-        ok = (x < len(t)) & (y < len(t))
-        ok[ok] = t[x[ok]] == t[y[ok]]
-        live = live[ok]
+    return np.append(np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1)), True)
+
+
+def packed(t: np.ndarray) -> np.ndarray:
+    """The 64 bits from every position of ``t`` on, zeros behind the end: as many
+    symbols as fit, the first in the lowest bits."""
+    if t.itemsize == 8:
+        return t.view(np.uint64)
+    low = np.append(t, np.zeros(8 // t.itemsize, t.dtype)).astype(t.dtype.newbyteorder("<"), copy=False)
+    return np.ndarray(len(t), "<u8", low, strides=t.strides)
+
+
+def common(words: np.ndarray, bits: int, a: np.ndarray, b: np.ndarray, depth: int, enough: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of the different suffixes ``a`` and ``b``, pair by pair, up to
+    ``depth``; a pair with ``enough`` symbols in common may count less than it has. ``words`` are the
+    ``packed`` text of symbols of ``bits`` bits. The end of the text, which is there once, ends every prefix."""
+    out = np.full(len(a), depth, np.int64)
+    live, per = np.arange(len(a)), 64 // bits
+    for d in range(0, depth, per):
+        differ = words[a + d] ^ words[b + d]
+        equal = differ == 0
+        # Bits below the lowest that differs.
+        low = differ[~equal]
+        below = np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        out[live[~equal]] = np.minimum(below // bits + d, depth)
+        if enough is not None:
+            done = equal & (enough[live] <= d + per)
+            out[live[done]] = min(d + per, depth)
+            equal &= ~done
+        live, a, b = live[equal], a[equal], b[equal]
         if not len(live):
             break
-        out[live] = d + 1
     return out
 
 
-def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, lms_prefix: np.ndarray, depth: int,
+def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, lms_prefix: np.ndarray | None, depth: int,
            scratch: Scratch, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffixes in order, by first symbol from the largest to the smallest: for
     every symbol (suffixes ascending, common prefix with the one before).
-    ``lms`` holds the LMS suffixes, sorted by first symbol at least."""
+    ``lms`` holds the LMS suffixes, sorted by first symbol at least. Without
+    ``lms_prefix`` the order alone is made, and all prefixes are zeros."""
     symbols = np.unique(t)
-    heads = t[lms]
+    heads, words, order_only = t[lms], packed(t), lms_prefix is None
+    if order_only:
+        lms_prefix = np.zeros(len(lms), np.uint8)
     lo, hi = np.searchsorted(heads, symbols), np.searchsorted(heads, symbols, side="right")
     queue, kept, held = DiskQueue(scratch, 1, memory), {}, 0
+    before = np.append(np.int8(-1), s_type[:-1].astype(np.int8))  # type of the suffix that starts one further left
 
     def spread(block, prefix, between, queue, want_s):
-        before = block - 1
-        at = np.flatnonzero((block > 0) & (s_type[before] == want_s))
-        source = before[at]
+        at = np.flatnonzero(before[block] == want_s)
+        source = block[at] - 1
+        if order_only:
+            for symbol, group in by_head(t[source]):
+                queue.push(symbol, source[group], np.zeros(len(group), np.uint8))
+            return
         for symbol, group, values in between.prefixes(t[source], at, prefix, depth):
             queue.push(symbol, source[group], values)
 
     def edge(left, right):
-        return int(common(t, np.array([left]), np.array([right]), depth)[0])
+        return 0 if order_only else int(common(words, 8 * t.itemsize, np.array([left]), np.array([right]), depth)[0])
 
     for c, a, b in zip(symbols.tolist(), lo, hi, strict=True):
         between, parts = Between(), []
@@ -214,19 +241,28 @@ def induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, lms_prefix: np.nd
 def doubled(names: np.ndarray, reach: int) -> np.ndarray:
     """Order of the suffixes of ``names`` by their first ``reach`` names at
     least, by prefix doubling."""
-    n, step = len(names), 1
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1
+    n = len(names)
+    # As many names as fit in 62 bits at first.
+    bits = int(names.max()).bit_length() + 1
+    step = max(1, 62 // bits)
+    key, after = np.zeros(n, np.int64), np.append(names.astype(np.int64) + 1, np.zeros(step, np.int64))
+    for j in range(step):
+        key = key << bits | after[j:j + n]
+    order = np.argsort(key)
+    slots, key = np.arange(n), key[order]
+    rank = np.zeros(n + 1, np.int64)  # of a suffix: the first place of its equals, from 1; 0 behind the end
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:n - step] = rank[step:]
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(1, ordered[1:] != ordered[:-1]))
-        rank, step = new, step * 2
-        if step >= reach or rank.max() == n:
+        # order[slots] has keys in order; those of one key stand side by side.
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        rank[order[slots]] = np.repeat(slots[at] + 1, size)
+        slots = slots[np.repeat(size > 1, size)]
+        if step >= reach or not len(slots):
             return order
+        pos = order[slots]
+        key = rank[pos] * (n + 2) + rank[np.minimum(pos + step, n)]
+        by = np.argsort(key)
+        order[slots], key, step = pos[by], key[by], step * 2
 
 
 def sort_lms(t: np.ndarray, s_type: np.ndarray, depth: int, scratch: Scratch, memory: int, base: int) -> np.ndarray:
@@ -238,14 +274,17 @@ def sort_lms(t: np.ndarray, s_type: np.ndarray, depth: int, scratch: Scratch, me
     first = at[np.argsort(t[at], kind="stable")]
     is_lms = np.zeros(len(t), bool)
     is_lms[at] = True
-    blocks = [x[is_lms[x]] for x, _ in induce(t, s_type, first, np.zeros(len(at), np.uint8), depth, scratch, memory)]
+    blocks = [x[is_lms[x]] for x, _ in induce(t, s_type, first, None, depth, scratch, memory)]
     order = np.concatenate(blocks[::-1])
     # Equal neighbours share a name: equal up to and including the next LMS symbol, or to the depth.
     length = np.diff(np.append(at, len(t) - 1)) + 1
-    of = np.searchsorted(at, order)
+    number = np.zeros(len(t), np.int64)
+    number[at] = np.arange(len(at))
+    of = number[order]
+    del number
     size = length[of]
-    same = common(t, order[:-1], order[1:], min(depth, int(size.max())))
     need = np.minimum(np.maximum(size[:-1], size[1:]), depth)
+    same = common(packed(t), 8 * t.itemsize, order[:-1], order[1:], min(depth, int(size.max())), need)
     names = np.cumsum(np.append(1, same < need))
     reduced = np.empty(len(at), np.int64)
     reduced[of] = names
@@ -255,7 +294,7 @@ def sort_lms(t: np.ndarray, s_type: np.ndarray, depth: int, scratch: Scratch, me
         return at[doubled(reduced, depth // 2 + 1)]
     r = np.append(reduced, 0)
     inner = sort_lms(r, types(r), depth, scratch, memory, base)
-    prefix = common(r, inner[:-1], inner[1:], depth) if len(inner) > 1 else np.empty(0, np.int64)
+    prefix = common(packed(r), 64, inner[:-1], inner[1:], depth) if len(inner) > 1 else np.empty(0, np.int64)
     got = [x for x, _ in induce(r, types(r), inner, np.append(0, prefix).astype(np.uint8), depth, scratch, memory)]
     ranked = np.concatenate(got[::-1])
     return at[ranked[ranked < len(at)]]
@@ -269,7 +308,8 @@ def sorted_suffixes(t: np.ndarray, depth: int, memory: int = MEMORY, base: int =
     try:
         s_type = types(t)
         lms = sort_lms(t, s_type, depth, scratch, memory, base)
-        prefix = np.append(0, common(t, lms[:-1], lms[1:], depth)).astype(np.uint8) if len(lms) else np.empty(0, np.uint8)
+        same = common(packed(t), 8 * t.itemsize, lms[:-1], lms[1:], depth) if len(lms) else np.empty(0, np.int64)
+        prefix = np.append(0, same).astype(np.uint8) if len(lms) else np.empty(0, np.uint8)
         yield from induce(t, s_type, lms, prefix, depth, scratch, memory)
     finally:
         scratch.close()

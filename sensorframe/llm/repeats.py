@@ -39,6 +39,8 @@ LENGTH, GRAM = 100, 32
 PIECE, SHARD, HOT = 1 << 18, 2_000_000, 20_000
 #: Bytes of text whose factors are compared before they are dealt.
 BLOCK = 4_000_000
+#: Bytes of short texts or factors that go through the array operations together.
+PACK = 1 << 17
 
 
 class Roller:
@@ -51,14 +53,24 @@ class Roller:
         self.down = np.cumprod(np.append(np.uint64(1), np.full(size, back, np.uint64)), dtype=np.uint64)
 
     def load(self, data: np.ndarray) -> None:
-        self.sums = np.append(np.uint64(0), np.cumsum(self.letters[data] * self.up[:len(data)], dtype=np.uint64))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        values = self.letters.take(data)
+        values *= self.up[:len(data)]
+        np.cumsum(values, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self.sums[end] - self.sums[start]) * self.down[start])
 
     def grams(self, size: int) -> np.ndarray:
         n = len(self.sums) - size
-        return mix64((self.sums[size:] - self.sums[:n]) * self.down[:n])
+        values = self.sums[size:] - self.sums[:n]
+        values *= self.down[:n]
+        return mix64(values)
+
+
+def every(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For every entry the ``counts`` numbers from ``begins`` on, one after the other."""
+    return np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
 
 
 def window_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -70,64 +82,104 @@ def window_least(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[:len(v) - (w - span)], v[w - span:]) if w > span else v
 
 
-def factors(data: np.ndarray, gram_hash: Roller, whole_hash: Roller, length: int, gram: int, piece: int):
-    """(gram hash, whole hash, first start, number of starts) of the factors
-    of one text, piece by piece. A piece's end cuts a factor in two, which then
+def pieces(texts: list[np.ndarray], length: int, piece: int, pack: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(number of the text, first byte, bytes) of the pieces that texts are cut
+    in, in order; short ones come together, up to ``pack`` bytes."""
+    which, at, parts, held = [], [], [], 0
+    for i, data in enumerate(texts):
+        for lo in range(0, len(data) - length + 1, piece):
+            part = data[lo:lo + piece + length - 1]
+            if parts and held + len(part) > pack:
+                yield np.array(which), np.array(at), parts
+                which, at, parts, held = [], [], [], 0
+            which.append(i)
+            at.append(lo)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        yield np.array(which), np.array(at), parts
+
+
+def factors(parts: list[np.ndarray], gram_hash: Roller, whole_hash: Roller, length: int, gram: int):
+    """(number of the part, gram hash, whole hash, first start, number of starts)
+    of the factors of some pieces of text. A piece's end cuts a factor in two, which then
     count as different factors of one gram."""
-    w = length - gram + 1
-    for at in range(0, len(data) - length + 1, piece):
-        part = data[at:at + piece + length - 1]
-        gram_hash.load(part)
-        whole_hash.load(part)
-        g = gram_hash.grams(gram)
-        # High bits of the hash, then the position: the leftmost of equal grams.
-        keys = (g >> np.uint64(20) << np.uint64(20)) | np.arange(len(g), dtype=np.uint64)
-        chosen = (window_least(keys, w) & np.uint64((1 << 20) - 1)).astype(np.int64)
-        first = np.append(0, np.flatnonzero(chosen[1:] != chosen[:-1]) + 1)
-        n = np.diff(np.append(first, len(chosen)))
-        whole = whole_hash.of(first, first + n + (length - 1))
-        # Where the gram lies inside is part of the name.
-        whole = mix64(whole + (chosen[first] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
-        yield g[chosen[first]], whole, first + at, n
+    data = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    symbols = data.astype(np.intp)
+    gram_hash.load(symbols)
+    whole_hash.load(symbols)
+    g = gram_hash.grams(gram)
+    # High bits of the hash, then the position: the leftmost of equal grams.
+    keys = g >> np.uint64(20)
+    keys <<= np.uint64(20)
+    keys |= np.arange(len(g), dtype=np.uint64)
+    sizes = np.array([len(p) for p in parts])
+    begins, counts = np.cumsum(sizes) - sizes, sizes - (length - 1)
+    # Starts of strings that end in their own part. Grams of different parts lie at different places.
+    starts = every(begins, counts)
+    chosen = (window_least(keys, length - gram + 1)[starts] & np.uint64((1 << 20) - 1)).astype(np.int64)
+    edge = np.append(0, np.flatnonzero(chosen[1:] != chosen[:-1]) + 1)
+    n = np.diff(np.append(edge, len(chosen)))
+    first, chosen = starts[edge], chosen[edge]
+    whole = whole_hash.of(first, first + n + (length - 1))
+    # Where the gram lies inside is part of the name.
+    whole = mix64(whole + (chosen - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64))
+    part = np.repeat(np.arange(len(parts)), counts)[edge]
+    return part, g[chosen], whole, first - begins[part], n
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        raw = [t.as_py().encode("utf-8") for t in b.column(2)]
+        raw = b.column(2).cast(pa.binary()).to_pylist()
         yield pa.RecordBatch.from_arrays([
             b.column(0), b.column(1), pa.array([len(x) for x in raw], pa.int64()),
             pa.array([z.compress(x) for x in raw], pa.binary())], names=["row", "doc_id", "n_bytes", "body"])
 
 
-def _unpack(body) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+def _unpack(bodies: pa.Array, order: list[int] | None = None) -> Iterator[bytes]:
+    z = zstandard.ZstdDecompressor()
+    for i in range(len(bodies)) if order is None else order:
+        yield z.decompress(bodies[i].as_buffer())
+
+
+def _distinct(parts: list[tuple]) -> pa.RecordBatch:
+    """Factors in order of (doc, row, start) -> the first of those that are equal."""
+    g, h, d, r, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.argsort(mix64(g) + h, kind="stable")
+    # Others between equals only leave a factor twice.
+    new = np.append(True, (g[by][1:] != g[by][:-1]) | (h[by][1:] != h[by][:-1]))
+    at = by[new]  # stable: the first in order of (doc, row, start)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[at]) for x in (g.view(np.int64), h.view(np.int64), d.astype(np.int64), r.astype(np.int64),
+                                   s.astype(np.int64))] + [pa.array(n[at].astype(np.int32))],
+        names=["gram", "whole", "doc", "row", "start", "n"])
 
 
-def _cut(length: int, gram: int, piece: int, block: int):
+def _cut(length: int, gram: int, piece: int, block: int, pack: int = PACK):
     """(row, doc, body) -> (gram, whole, doc, row, start, n): the first of equal
     factors in each block of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = Roller(0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, piece + length)
-        b = Roller(0xDA942042E4DD58B5, 0xC2B2AE3D27D4EB4F, piece + length)
+        size = max(piece + length, pack)
+        a = Roller(0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, size)
+        b = Roller(0xDA942042E4DD58B5, 0xC2B2AE3D27D4EB4F, size)
         for batch in batches:
             rows, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            order, parts, held = np.lexsort((rows, docs)).tolist(), [], 0
-            for i in order:
-                data = _unpack(batch.column(2)[i].as_py())
-                for g, h, s, n in factors(data, a, b, length, gram, piece):
-                    parts.append((g, h, np.full(len(g), docs[i]), np.full(len(g), rows[i]), s, n))
-                held += len(data)
-                if parts and (held >= block or i == order[-1]):
-                    g, h, d, r, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    by = np.lexsort((np.arange(len(g)), h, g))
-                    new = np.append(True, (g[by][1:] != g[by][:-1]) | (h[by][1:] != h[by][:-1]))
-                    at = by[new]  # stable: the first in order of (doc, row, start)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[at]) for x in (g.view(np.int64), h.view(np.int64), d.astype(np.int64), r.astype(np.int64),
-                                                   s.astype(np.int64))] + [pa.array(n[at].astype(np.int32))],
-                        names=["gram", "whole", "doc", "row", "start", "n"])
-                    parts, held = [], 0
+            order = np.lexsort((rows, docs))
+            rows, docs = rows[order], docs[order]
+            texts, lo, held = [], 0, 0
+            for i, raw in enumerate(_unpack(batch.column(2), order.tolist())):
+                texts.append(np.frombuffer(raw, np.uint8))
+                held += len(raw)
+                if held >= block or i == len(order) - 1:
+                    parts = []
+                    for which, at, some in pieces(texts, length, piece, pack):
+                        of, g, h, s, n = factors(some, a, b, length, gram)
+                        text = lo + which[of]
+                        parts.append((g, h, docs[text], rows[text], s + at[of], n))
+                    if parts:
+                        yield _distinct(parts)
+                    texts, lo, held = [], i + 1, 0
     return run
 
 
@@ -167,34 +219,60 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.append(0, np.cumsum(sizes)), [f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()]
 
 
-def _slices(length: int):
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each row's bytes, and all bytes in one array."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return offsets - offsets[0], data
+
+
+def _binary(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary column from its rows' bounds in ``data``."""
+    offsets = pa.py_buffer(bounds.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring rows of ``most`` bytes together, or of one larger row."""
+    lo, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > lo and held + size > most:
+            yield lo, i
+            lo, held = i, 0
+        held += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def _slices(length: int, pack: int = 8 * PACK):
     """(row, doc, body, want) -> (gram, doc, row, start, n, hot, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cuts, (gram, start, n, hot) = _lists(b.column(3))
             rows, docs = (b.column(k).to_numpy() for k in (0, 1))
-            for i in range(b.num_rows):
-                raw, at = _unpack(b.column(2)[i].as_py()).tobytes(), slice(cuts[i], cuts[i + 1])
-                parts = [raw[s:s + m + length - 1] for s, m in zip(start[at].tolist(), n[at].tolist(), strict=True)]
-                k = len(parts)
+            total = np.append(0, np.cumsum(n + (length - 1), dtype=np.int64))[cuts]
+            texts = _unpack(b.column(2))
+            for lo, hi in _chunks(np.diff(total), pack):
+                parts, at = [], slice(cuts[lo], cuts[hi])
+                for i in range(lo, hi):
+                    raw, one = next(texts), slice(cuts[i], cuts[i + 1])
+                    parts += [raw[s:e] for s, e in zip(start[one].tolist(), (start[one] + n[one] + (length - 1)).tolist(), strict=True)]
+                k = np.repeat(np.arange(lo, hi), np.diff(cuts[lo:hi + 1]))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(gram[at]), pa.array(np.full(k, docs[i])), pa.array(np.full(k, rows[i])), pa.array(start[at]),
+                    pa.array(gram[at]), pa.array(docs[k]), pa.array(rows[k]), pa.array(start[at]),
                     pa.array(n[at]), pa.array(hot[at].astype(bool)), pa.array(parts, pa.binary())],
                     names=["gram", "doc", "row", "start", "n", "hot", "part"])
     return run
 
 
-def _runs(rows, starts, sizes, new: list[np.ndarray]):
-    """(row, start, n) of the maximal runs of new starts in each factor."""
-    out_row, out_start, out_n = [], [], []
-    for r, s, keep in zip(rows, starts, new, strict=True):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            out_row.append(r)
-            out_start.append(s + lo)
-            out_n.append(hi - lo)
-    return pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out_start, pa.int64()),
-                                       pa.array(out_n, pa.int32())], names=["row", "start", "n"])
+def _runs(rows: np.ndarray, starts: np.ndarray, begins: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+    """(row, start, n) of the maximal runs of new starts in each factor.
+    ``begins`` are the factors' places in ``new``, where none touch."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], new.astype(np.int8), [0]])))
+    lo, hi = edge[::2], edge[1::2]
+    of = np.searchsorted(begins, lo, side="right") - 1
+    return pa.RecordBatch.from_arrays([pa.array(rows[of]), pa.array(starts[of] + lo - begins[of]),
+                                       pa.array((hi - lo).astype(np.int32))], names=["row", "start", "n"])
 
 
 def _sort_shard(length: int, memory: int | None, base: int | None):
@@ -202,26 +280,28 @@ def _sort_shard(length: int, memory: int | None, base: int | None):
     more = {k: v for k, v in (("memory", memory), ("base", base)) if v}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, starts, sizes, parts = [], [], [], []
+        rows, starts, sizes, lengths, parts = [], [], [], [], []
         for b in batches:
-            rows += b.column(2).to_pylist()
-            starts += b.column(3).to_pylist()
-            sizes += b.column(4).to_pylist()
-            parts += b.column(6).to_pylist()
+            if not b.num_rows:
+                continue
+            for k, column in ((2, rows), (3, starts), (4, sizes)):
+                column.append(b.column(k).to_numpy().astype(np.int64))
+            bounds, data = _bytes(b.column(6))
+            lengths.append(np.diff(bounds) + 1)
+            parts.append(data)
         if not rows:
             return
-        # Bytes as 2..257; 1 ends a factor, 0 the whole. Text order is the order of precedence.
-        lengths = np.array([len(p) for p in parts]) + 1
-        ends = np.cumsum(lengths)
-        t = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + 2
-        t[ends - 1] = 1
-        t = np.append(t, np.uint16(0))
+        rows, starts, sizes, lengths, data = (np.concatenate(x) for x in (rows, starts, sizes, lengths, parts))
         del parts
+        # Bytes from 2 on, which fit in one byte as UTF-8 has none above 244; 1 ends a factor, 0 the whole. Text order is the order of precedence.
+        ends = np.cumsum(lengths)
         begins = ends - lengths
-        valid = np.zeros(len(t) + 1, np.int32)
-        np.add.at(valid, begins, 1)
-        np.add.at(valid, begins + np.array(sizes), -1)
-        valid = np.cumsum(valid[:-1]) > 0
+        t = np.ones(ends[-1] + 1, np.uint8 if data.max() <= 253 else np.uint16)
+        t[-1] = 0
+        t[every(begins, lengths - 1)] = data.astype(t.dtype) + t.dtype.type(2)
+        del data
+        valid = np.zeros(len(t), bool)
+        valid[every(begins, sizes)] = True
         seen = np.zeros(len(t), bool)
         for suffixes, prefix in sorted_suffixes(t, length, **more):
             ok = valid[suffixes]
@@ -233,60 +313,66 @@ def _sort_shard(length: int, memory: int | None, base: int | None):
             least = np.minimum.reduceat(at, cut)
             seen[at] = True
             seen[least] = False
-        yield _runs(rows, starts, sizes, [~seen[a:a + n] for a, n in zip(begins.tolist(), sizes, strict=True)])
+        yield _runs(rows, starts, begins, valid & ~seen)
     return run
 
 
-def _strings(length: int):
+def _strings(length: int, pack: int = PACK):
     """Factors -> (a, b, doc, row, start): 128 bits of hash of every string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = Roller(0x5851F42D4C957F2D, 11, 1024), Roller(0xDA942042E4DD58B5, 13, 1024)
+        x = y = None
         for b in batches:
-            cols = [[], [], [], [], []]
-            for i in range(b.num_rows):
-                data = np.frombuffer(b.column(6)[i].as_py(), np.uint8)
-                n = b.column(4)[i].as_py()
-                at = np.arange(n)
-                for roller, c in ((x, cols[0]), (y, cols[1])):
-                    roller.load(data)
-                    c.append(roller.of(at, at + length).view(np.int64))
-                cols[2].append(np.full(n, b.column(1)[i].as_py()))
-                cols[3].append(np.full(n, b.column(2)[i].as_py()))
-                cols[4].append(at + b.column(3)[i].as_py())
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols],
-                                                 names=["a", "b", "doc", "row", "start"])
+            if not b.num_rows:
+                continue
+            bounds, data = _bytes(b.column(6))
+            docs, rows, starts, n = (b.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3, 4))
+            for lo, hi in _chunks(np.diff(bounds), pack):
+                some = data[bounds[lo]:bounds[hi]]
+                if x is None or len(some) >= len(x.up):
+                    x, y = (Roller(base, seed, max(pack, len(some))) for base, seed in ((0x5851F42D4C957F2D, 11), (0xDA942042E4DD58B5, 13)))
+                at = every(bounds[lo:hi] - bounds[lo], n[lo:hi])
+                of = np.repeat(np.arange(lo, hi), n[lo:hi])
+                hashes = []
+                for roller in (x, y):
+                    roller.load(some)
+                    hashes.append(roller.of(at, at + length).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (*hashes, docs[of], rows[of], starts[of] + at - (bounds[of] - bounds[lo]))],
+                    names=["a", "b", "doc", "row", "start"])
     return run
 
 
-def _rest(length: int):
+def _rest(length: int, pack: int = PACK):
     """(doc_id, n_bytes, body, new) -> what is left of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, spans, digests, kept = [], [], [], []
             cuts, (start, size) = _lists(b.column(3))
-            for i in range(b.num_rows):
-                data = _unpack(b.column(2)[i].as_py())
-                n = len(data) - length + 1
-                gone = np.zeros(len(data), bool)
-                if n > 0:
-                    at = slice(cuts[i], cuts[i + 1])
-                    new = (np.bincount(start[at], minlength=n + 1) - np.bincount(start[at] + size[at], minlength=n + 1))
-                    old = np.cumsum(new[:-1]) == 0
-                    # A byte goes when one of the last `length` starts is old.
-                    steps = np.zeros(len(data) + 1, np.int32)
-                    steps[:n] += old
-                    steps[length:length + n] -= old
-                    gone = np.cumsum(steps[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int(np.count_nonzero(gone & ~np.append(False, gone[:-1]))))
-                left = data[~gone].tobytes()
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
-                pa.array(digests), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            lengths = b.column(1).to_numpy()
+            texts = _unpack(b.column(2))
+            for lo, hi in _chunks(lengths, pack):
+                data = np.frombuffer(b"".join([next(texts) for _ in range(lo, hi)]), np.uint8)
+                bounds = np.append(0, np.cumsum(lengths[lo:hi]))
+                at, closed = slice(cuts[lo], cuts[hi]), bounds[:-1] + np.maximum(lengths[lo:hi] - (length - 1), 0)
+                new = start[at] + np.repeat(bounds[:-1], np.diff(cuts[lo:hi + 1]))
+                # Runs of starts that are not old: new ones, and a text's last bytes, where no string starts.
+                begin, end = np.append(new, closed), np.append(new + size[at], bounds[1:])
+                order = np.argsort(begin, kind="stable")
+                begin, end = begin[order], np.append(0, np.maximum.accumulate(end[order]))
+                old = np.flatnonzero(begin > end[:-1])
+                # A byte goes when one of the last `length` starts is old.
+                begin, end = end[old], begin[old] + (length - 1)
+                text = np.searchsorted(bounds, begin, side="right") - 1
+                opens = np.append(True, (begin[1:] > end[:-1]) | (text[1:] != text[:-1]))[:len(old)]
+                begin, end, text = begin[opens], end[np.append(opens[1:], True)[:len(old)]], text[opens]
+                removed = np.diff(np.append(0, np.cumsum(end - begin))[np.searchsorted(text, np.arange(hi - lo + 1))])
+                spans = np.bincount(text, minlength=hi - lo)
+                turns = np.diff(np.concatenate([[0], np.stack([begin, end], 1).ravel(), [len(data)]]))
+                left = data[np.repeat(np.arange(len(turns)) % 2 == 0, turns)] if len(old) else data
+                kept = _binary(bounds - np.append(0, np.cumsum(removed)), left)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(removed), pa.array(spans),
+                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in kept]), kept],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
     return run
 
 

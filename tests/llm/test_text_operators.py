@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import types as T
@@ -634,6 +635,53 @@ def test_remove_repeats(docs, settings):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeats_short_texts_go_together(monkeypatch):
+    """Array operations take many short texts at a time, with the factors of each text on its own."""
+    rng, loads, load = random.Random(9), [], repeats.Roller.load
+    monkeypatch.setattr(repeats.Roller, "load", lambda self, data: loads.append(len(data)) or load(self, data))
+    passage = " ".join(words(rng, 12, 60))
+    texts = ["", "short", *(" ".join(words(rng, 9, 60)) + passage + " ".join(words(rng, 9, 60)) for _ in range(300)), passage]
+    rows = list(range(len(texts)))
+    packed = pa.Table.from_batches(repeats._pack(iter([pa.RecordBatch.from_arrays(
+        [pa.array(rows), pa.array(rows), pa.array(texts)], names=["row", "doc_id", "text"])])))
+
+    def cut(table):
+        batches = table.select(["row", "doc_id", "body"]).to_batches()
+        return [r for b in repeats._cut(40, 16, 1 << 18, 4_000_000)(iter(batches)) for r in b.to_pylist()]
+    got = cut(packed)
+    assert 0 < len(loads) < 20
+    first = {}
+    for i in rows:
+        for r in cut(packed.slice(i, 1)):
+            first.setdefault((r["gram"], r["whole"]), r)
+    key = lambda r: (r["row"], r["start"])
+    assert sorted(got, key=key) == sorted(first.values(), key=key)
+    want = pa.array([[{"gram": 1, "start": 3, "n": 5, "hot": False}, {"gram": 2, "start": 7, "n": 2, "hot": True}]] * 300,
+                    pa.list_(pa.struct([("gram", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("hot", pa.bool_())])))
+    long = packed.slice(2, 300).combine_chunks().to_batches()[0]
+    sliced = list(repeats._slices(40)(iter([pa.RecordBatch.from_arrays(
+        [long.column(0), long.column(1), long.column(3), want], names=["row", "doc", "body", "want"])])))
+    assert len(sliced) == 1
+    assert [(r["row"], r["start"], r["n"], r["hot"], r["part"]) for r in sliced[0].to_pylist()] == [
+        (i, s, n, hot, texts[i].encode()[s:s + n + 39]) for i in range(2, 302) for s, n, hot in ((3, 5, False), (7, 2, True))]
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.int64])
+def test_common_prefixes_compare_words(kind):
+    rng = random.Random(4)
+    t = [rng.randrange(1, 3) for _ in range(40)]
+    t = np.array(t + t[:30] + t + [0], kind)
+    a, b = (np.array(x) for x in zip(*((i, j) for i in range(len(t)) for j in range(len(t)) if i != j), strict=True))
+    text = t.tolist()
+    true = np.array([next(m for m, (x, y) in enumerate(zip(text[i:], text[j:])) if x != y) for i, j in zip(a, b, strict=True)])  # noqa: B905
+    words_, bits = induced_sort.packed(t), 8 * t.itemsize
+    for depth in (1, 7, 8, 30, 100):
+        assert (induced_sort.common(words_, bits, a, b, depth) == np.minimum(true, depth)).all()
+        enough = np.array([rng.randrange(1, 40) for _ in a])
+        some = induced_sort.common(words_, bits, a, b, depth, enough)
+        assert (np.minimum(some, enough) == np.minimum(np.minimum(true, depth), enough)).all()
+
+
 def test_remove_repeats_empty(docs):
     assert repeats.remove_repeats(docs([])).count() == 0
     assert [r.n_removed for r in repeats.remove_repeats(docs([(1, "short"), (2, None)])).collect()] == [0, 0]
